@@ -188,8 +188,8 @@ def span_scores(gold: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
         predicted.select(*columns, F.lit(0).alias("g"), F.lit(1).alias("p"))
     ).groupBy(*columns).agg(F.max("g").alias("g"), F.max("p").alias("p"))
     counted = both.agg(
-        F.count_if("g = 1 AND p = 1").alias("tp"), F.count_if("g = 0 AND p = 1").alias("fp"),
-        F.count_if("g = 1 AND p = 0").alias("fn"),
+        F.count_if(F.expr("g = 1 AND p = 1")).alias("tp"), F.count_if(F.expr("g = 0 AND p = 1")).alias("fp"),
+        F.count_if(F.expr("g = 1 AND p = 0")).alias("fn"),
     )
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     zero = F.lit(0.0)

@@ -18,24 +18,20 @@ def with_bigrams(tokens: Column) -> Column:
     return F.concat(tokens, pairs)
 
 
-def term_counts(df: DataFrame, key: str, terms: Column) -> DataFrame:
-    """(key, term, tf) counted inside the row: sorted terms change at the start of each run.
+def term_rows(df: DataFrame, key: str, words: Column, bigrams: bool = False) -> DataFrame:
+    """(key, term) for every word, and every neighbouring pair where asked.
 
-    Counting in the row needs no shuffle, where grouping by key and term would move every term.
+    The raw rows are shuffled by key once, before they are cut into terms: text is several times
+    smaller than its terms, and everything later that groups by key stays where it is.
     """
-    rows = df.select(key, F.sort_array(terms).alias("_t"))
-    t = F.col("_t")
-    rows = rows.select(
-        key, "_t",
-        F.filter(
-            F.transform(t, lambda x, i: F.when((i == 0) | (x != F.get(t, i - 1)), i).otherwise(-1)),
-            lambda i: i >= 0,
-        ).alias("_starts"),
-    )
-    starts = F.col("_starts")
-    ends = F.concat(F.slice(starts, F.lit(2), F.size(t)), F.array(F.size(t)))
-    runs = F.zip_with(starts, ends, lambda a, b: F.struct(F.get(t, a).alias("term"), (b - a).cast("long").alias("tf")))
-    return rows.filter(F.size(t) > 0).select(key, F.inline(runs))
+    rows = df.repartition(key).select(key, words.alias("_words"))
+    terms = with_bigrams(F.col("_words")) if bigrams else F.col("_words")
+    return rows.select(key, F.explode(terms).alias("term"))
+
+
+def term_counts(df: DataFrame, key: str, words: Column, bigrams: bool = False) -> DataFrame:
+    """(key, term, tf)."""
+    return term_rows(df, key, words, bigrams).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(
@@ -64,31 +60,36 @@ def tfidf(
 
     Weight before the norm: (1 + ln tf) or tf, times ln((1 + n) / (1 + df)) + 1.
     """
-    tokens = word_tokens(F.col(text), stop_words)
-    rows = df.select(key, tokens.alias("_tokens"))
-    return tfidf_of_terms(rows, key, with_bigrams(F.col("_tokens")) if bigrams else F.col("_tokens"),
-                          max_features, min_df, max_df, sublinear)
+    rows = term_rows(df.select(key, text), key, word_tokens(F.col(text), stop_words), bigrams)
+    n_rows = df.agg(F.count(F.lit(1))).scalar()
+    counts = rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    kept = vocabulary(counts, n_rows, max_features, min_df, max_df)
+    idf = kept.select("term", smooth_idf(n_rows, F.col("df")).alias("idf"))
+    if max_features is not None and max_features <= BROADCAST_TERMS:
+        # terms out of the vocabulary go before they are counted
+        rows = rows.join(F.broadcast(idf), "term")
+        counts = rows.groupBy(key, "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
+    else:
+        counts = skew_join(counts, idf, ["term"])
+    return normalised(counts.select(key, "term", term_weight(sublinear).alias("weight")), key)
 
 
-def tfidf_of_terms(
-    df: DataFrame, key: str, terms: Column, max_features: int | None = None, min_df: int = 1,
-    max_df: float = 1.0, sublinear: bool = False,
-) -> DataFrame:
-    counts = term_counts(df, key, terms)
-    n_rows = df.agg(F.count(F.lit(1))).scalar()
-    terms_kept = vocabulary(counts, n_rows, max_features, min_df, max_df)
-    idf = F.ln((n_rows + F.lit(1.0)) / (F.col("df") + F.lit(1.0))) + F.lit(1.0)
-    return normalised(weighted_terms(counts, terms_kept.select("term", idf.alias("idf")), max_features, sublinear), key)
+BROADCAST_TERMS = 100_000
 
 
-def weighted_terms(counts: DataFrame, idf: DataFrame, max_features: int | None, sublinear: bool) -> DataFrame:
-    """Add the weight; a vocabulary of at most ``max_features`` rows is broadcast, a whole one is joined."""
-    if max_features is not None and max_features <= 100_000:
-        joined = counts.join(F.broadcast(idf), "term")
-    else:
-        joined = skew_join(counts, idf, ["term"])
-    tf = F.lit(1.0) + F.ln(F.col("tf").cast("double")) if sublinear else F.col("tf").cast("double")
-    return joined.withColumn("weight", tf * F.col("idf")).drop("idf", "tf")
+def smooth_idf(n_rows: Column, df: Column) -> Column:
+    return F.ln((n_rows + F.lit(1.0)) / (df + F.lit(1.0))) + F.lit(1.0)
+
+
+def term_weight(sublinear: bool) -> Column:
+    tf = F.col("tf").cast("double")
+    return (F.lit(1.0) + F.ln(tf) if sublinear else tf) * F.col("idf")
+
+
+def whole_weights(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+    """Normalised tf * idf over a vocabulary of any size; frequent terms are spread over tasks."""
+    joined = skew_join(counts, idf, ["term"])
+    return normalised(joined.select(key, "term", term_weight(False).alias("weight")), key)
 
 
 def normalised(weights: DataFrame, key: str) -> DataFrame:
@@ -99,12 +100,11 @@ def normalised(weights: DataFrame, key: str) -> DataFrame:
 
 def field_terms(fields: dict[str, Column], stop_words: list[str] = ()) -> Column:
     """Terms of several text fields, each marked with its field name."""
-    marked = [
-        F.transform(F.coalesce(word_tokens(col, list(stop_words)), F.array().cast("array<string>")),
-                    lambda t, name=name: F.concat(F.lit(f"{name}:"), t))
-        for name, col in fields.items()
-    ]
-    return F.concat(*marked)
+    def marked(name: str, col: Column) -> Column:
+        words = F.coalesce(word_tokens(col, list(stop_words)), F.array().cast("array<string>"))
+        return F.transform(words, lambda t: F.concat(F.lit(f"{name}:"), t))
+
+    return F.concat(*[marked(name, col) for name, col in fields.items()])
 
 
 # ---------------------------------------------------------------- labels

@@ -67,9 +67,9 @@ def permutation_importance(
     whole = model.transform(rows.select("truth", F.lit(-1).alias("repeat"), F.lit(-1).alias("j"), array_to_vector("x").alias("features")))
     columns = ["truth", "repeat", "j", F.col("prediction").cast("int").alias("guess")]
     counted = scored.select(*columns).unionByName(whole.select(*columns)).groupBy("j", "repeat").agg(
-        F.count_if("truth = 1 AND guess = 1").alias("tp"),
-        F.count_if("truth = 0 AND guess = 1").alias("fp"),
-        F.count_if("truth = 1 AND guess = 0").alias("fn"),
+        F.count_if(F.expr("truth = 1 AND guess = 1")).alias("tp"),
+        F.count_if(F.expr("truth = 0 AND guess = 1")).alias("fp"),
+        F.count_if(F.expr("truth = 1 AND guess = 0")).alias("fn"),
     ).withColumn("f1", f1())
     # features * repeats rows from here on
     base = counted.filter("j = -1").select("f1").scalar()

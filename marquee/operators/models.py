@@ -100,7 +100,7 @@ def fit_features(
     """
     lister = TermLister(inputCol=text, outputCol="terms")
     n = df.count()
-    counts = term_counts(lister.transform(df.select(key, text)), key, F.col("terms"))
+    counts = term_counts(df.select(key, text), key, word_tokens(F.coalesce(F.col(text), F.lit(""))), bigrams=True)
     terms = sorted((r["term"], r["df"]) for r in vocabulary(counts, F.lit(n), max_features, min_df, max_df).collect())
     idf = [math.log((1 + n) / (1 + d)) + 1 for _, d in terms]
     vocab = [t for t, _ in terms]

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marquee.operators.features import normalised, term_counts, vocabulary, weighted_terms
+from marquee.operators.features import smooth_idf, term_counts, vocabulary, whole_weights
 from marquee.runtime import skew_join
 
 DOC_BLOCK = 8192
@@ -16,25 +16,21 @@ QUERY_BLOCK = 256
 
 
 def tfidf_search(
-    docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, k: int,
+    docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, doc_terms: Column, query_terms: Column, k: int,
 ) -> DataFrame:
     """The ``k`` documents of highest cosine for each query, as (query_key, doc_key, score, rank).
 
-    ``docs`` and ``queries`` hold a key and an array column ``terms``. Document frequencies come from
-    the corpus; query terms the corpus does not know are dropped. Documents are reduced to the terms
+    ``doc_terms`` and ``query_terms`` are arrays of words made from the columns of their table.
+    Document frequencies come from the corpus; query terms the corpus does not know are dropped. Documents are reduced to the terms
     that queries use, both sides are cut into blocks of bounded size, and each block pair keeps its
     k best, so no term list is ever joined with all its documents and queries.
     """
-    counts = term_counts(docs, doc_key, F.col("terms"))
+    counts = term_counts(docs, doc_key, doc_terms)
     n_docs = docs.count()
-    idf = vocabulary(counts, F.lit(n_docs), None).select(
-        "term", (F.ln(F.lit(n_docs + 1.0) / (F.col("df") + F.lit(1.0))) + F.lit(1.0)).alias("idf")
-    )
-    query_weights = normalised(
-        weighted_terms(term_counts(queries, query_key, F.col("terms")), idf, None, False), query_key
-    )
+    idf = vocabulary(counts, F.lit(n_docs), None).select("term", smooth_idf(F.lit(n_docs), F.col("df")).alias("idf"))
+    query_weights = whole_weights(term_counts(queries, query_key, query_terms), idf, query_key)
     asked = query_weights.select("term").distinct()
-    doc_weights = skew_join(normalised(weighted_terms(counts, idf, None, False), doc_key), asked, ["term"], "left_semi")
+    doc_weights = skew_join(whole_weights(counts, idf, doc_key), asked, ["term"], "left_semi")
 
     def as_rows(weights: DataFrame, key: str, name: str) -> DataFrame:
         pairs = F.collect_list(F.struct("term", "weight"))

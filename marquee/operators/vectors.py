@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -263,17 +265,16 @@ def hashed_encoder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     """Unit vectors of hashed word counts: md5 of the word gives its place and its sign."""
 
     def encode(texts: list[str]) -> np.ndarray:
-        import hashlib
-
         out = np.zeros((len(texts), dim))
         seen: dict[str, tuple[int, float]] = {}
         for row, text in enumerate(texts):
-            for word in text.lower().split():
-                if word not in seen:
+            for word in re.split(r"[ \t\n\r\f\v]+", text.lower()):
+                if word and word not in seen:
                     digest = hashlib.md5(word.encode()).hexdigest()
                     seen[word] = int(digest[:8], 16) % dim, 1.0 if int(digest[8], 16) < 8 else -1.0
-                place, sign = seen[word]
-                out[row, place] += sign
+                if word:
+                    place, sign = seen[word]
+                    out[row, place] += sign
         norm = np.sqrt((out**2).sum(1, keepdims=True))
         return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marquee.fixed_values import STOP_WORDS
 from marquee.functions.text import word_tokens
 from marquee.functions.values import ratio
-from marquee.runtime import skew_join, stable_hash
+from marquee.runtime import HOT_KEYS, HOT_ROWS, skew_join, stable_hash
 
 
 def with_bigrams(tokens: Column) -> Column:
@@ -70,7 +70,7 @@ def tfidf(
         rows = rows.join(F.broadcast(idf), "term")
         counts = rows.groupBy(key, "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
     else:
-        counts = skew_join(counts, idf, ["term"])
+        return whole_weights(counts, kept.withColumn("idf", smooth_idf(n_rows, F.col("df"))), key, sublinear)
     return normalised(counts.select(key, "term", term_weight(sublinear).alias("weight")), key)
 
 
@@ -86,16 +86,20 @@ def term_weight(sublinear: bool) -> Column:
     return (F.lit(1.0) + F.ln(tf) if sublinear else tf) * F.col("idf")
 
 
-def whole_weights(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """Normalised tf * idf over a vocabulary of any size; frequent terms are spread over tasks."""
-    joined = skew_join(counts, idf, ["term"])
-    return normalised(joined.select(key, "term", term_weight(False).alias("weight")), key)
+def whole_weights(counts: DataFrame, idf: DataFrame, key: str, sublinear: bool = False) -> DataFrame:
+    """Normalised tf * idf over a vocabulary of any size, keeping the other columns of ``idf``.
+
+    ``idf`` has (term, df, idf, ...); its row frequencies tell which terms are hot and must be spread.
+    """
+    hot = idf.filter(F.col("df") >= HOT_ROWS).orderBy(F.desc("df"), "term").limit(HOT_KEYS).select("term")
+    joined = skew_join(counts, idf, ["term"], hot=hot).withColumn("weight", term_weight(sublinear))
+    return normalised(joined.drop("tf", "df", "idf"), key)
 
 
 def normalised(weights: DataFrame, key: str) -> DataFrame:
     """Divide by the L2 norm of the row; a row holds at most its own distinct terms."""
     norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))
-    return weights.select(key, "term", (F.col("weight") / norm).alias("weight"))
+    return weights.withColumn("weight", F.col("weight") / norm)
 
 
 def field_terms(fields: dict[str, Column], stop_words: list[str] = ()) -> Column:

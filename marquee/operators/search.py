@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marquee.operators.features import smooth_idf, term_counts, vocabulary, whole_weights
-from marquee.runtime import skew_join
+from marquee.runtime import cut_lineage
 
 DOC_BLOCK = 8192
 QUERY_BLOCK = 256
@@ -27,10 +27,13 @@ def tfidf_search(
     """
     counts = term_counts(docs, doc_key, doc_terms)
     n_docs = docs.count()
-    idf = vocabulary(counts, F.lit(n_docs), None).select("term", smooth_idf(F.lit(n_docs), F.col("df")).alias("idf"))
-    query_weights = whole_weights(term_counts(queries, query_key, query_terms), idf, query_key)
-    asked = query_weights.select("term").distinct()
-    doc_weights = skew_join(whole_weights(counts, idf, doc_key), asked, ["term"], "left_semi")
+    idf = vocabulary(counts, F.lit(n_docs), None).withColumn("idf", smooth_idf(F.lit(n_docs), F.col("df")))
+    # written once: it is read for the queries and for the documents
+    idf = cut_lineage(idf)
+    query_weights = cut_lineage(whole_weights(term_counts(queries, query_key, query_terms), idf, query_key))
+    asked = query_weights.select("term").distinct().withColumn("asked", F.lit(True))
+    # the norm of a document needs all its terms, its score only those that are asked for
+    doc_weights = whole_weights(counts, idf.join(asked, "term", "left"), doc_key).filter("asked")
 
     def as_rows(weights: DataFrame, key: str, name: str) -> DataFrame:
         pairs = F.collect_list(F.struct("term", "weight"))

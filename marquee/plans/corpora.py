@@ -94,9 +94,9 @@ TAG_SQL = f"""
     {GENERATED_SQL},
     names AS (SELECT lower(entity) AS run, min(label) AS label FROM dict GROUP BY 1),
     words AS (SELECT DISTINCT o_orderkey, string_split(text, ' ') AS w FROM gold),
-    at AS (SELECT o_orderkey, w, unnest(range(len(w))) AS i FROM words),
-    run AS (SELECT o_orderkey, w, i, 1 AS n, lower(w[i + 1]) AS run FROM at
-            UNION ALL SELECT o_orderkey, w, i, 2, lower(w[i + 1] || ' ' || w[i + 2]) FROM at WHERE i + 2 <= len(w)),
+    spots AS (SELECT o_orderkey, w, unnest(range(len(w))) AS i FROM words),
+    run AS (SELECT o_orderkey, w, i, 1 AS n, lower(w[i + 1]) AS run FROM spots
+            UNION ALL SELECT o_orderkey, w, i, 2, lower(w[i + 1] || ' ' || w[i + 2]) FROM spots WHERE i + 2 <= len(w)),
     tag AS (SELECT o_orderkey, CASE WHEN i = 0 THEN 0 ELSE length(array_to_string(w[1:i], ' ')) + 1 END AS start, label,
             array_to_string(w[i + 1:i + n], ' ') AS surface FROM run JOIN names USING (run))
 """

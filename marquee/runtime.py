@@ -65,13 +65,16 @@ def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def skew_join(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None
+) -> DataFrame:
     """Equi-join on equally named ``keys`` that spreads the left side's hot keys over many tasks.
 
     Rows of a hot key get a salt on the left; the right side repeats its rows for those keys only,
     once per salt. All other rows keep salt 0. ``how`` may be inner, left, left_semi or left_anti.
+    ``hot`` names the hot keys where the caller knows the counts already, at most ``HOT_KEYS`` of them.
     """
-    hot = F.broadcast(hot_keys(left, keys))
+    hot = F.broadcast(hot_keys(left, keys) if hot is None else hot.withColumn("_hot", F.lit(True)))
     # a salt from the row's content is the same when a lost task runs again; a random one is not
     spread = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
     salt = F.when(F.col("_hot"), spread).otherwise(F.lit(0))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from marquee.fixed_values import STOP_WORDS
 from marquee.functions.text import word_tokens
 from marquee.functions.values import ratio
-from marquee.runtime import HOT_KEYS, HOT_ROWS, skew_join, stable_hash
+from marquee import runtime
+from marquee.runtime import skew_join, stable_hash
 
 
 def with_bigrams(tokens: Column) -> Column:
@@ -65,7 +66,7 @@ def tfidf(
     counts = rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     kept = vocabulary(counts, n_rows, max_features, min_df, max_df)
     idf = kept.select("term", smooth_idf(n_rows, F.col("df")).alias("idf"))
-    if max_features is not None and max_features <= BROADCAST_TERMS:
+    if max_features is not None and max_features <= runtime.BROADCAST_ROWS:
         # terms out of the vocabulary go before they are counted
         rows = rows.join(F.broadcast(idf), "term")
         counts = rows.groupBy(key, "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
@@ -74,9 +75,6 @@ def tfidf(
     return normalised(counts.select(key, "term", term_weight(sublinear).alias("weight")), key)
 
 
-BROADCAST_TERMS = 100_000
-
-
 def smooth_idf(n_rows: Column, df: Column) -> Column:
     return F.ln((n_rows + F.lit(1.0)) / (df + F.lit(1.0))) + F.lit(1.0)
 
@@ -91,7 +89,7 @@ def whole_weights(counts: DataFrame, idf: DataFrame, key: str, sublinear: bool =
 
     ``idf`` has (term, df, idf, ...); its row frequencies tell which terms are hot and must be spread.
     """
-    hot = idf.filter(F.col("df") >= HOT_ROWS).orderBy(F.desc("df"), "term").limit(HOT_KEYS).select("term")
+    hot = idf.filter(F.col("df") >= runtime.HOT_ROWS).orderBy(F.desc("df"), "term").limit(runtime.HOT_KEYS).select("term")
     joined = skew_join(counts, idf, ["term"], hot=hot).withColumn("weight", term_weight(sublinear))
     return normalised(joined.drop("tf", "df", "idf"), key)
 

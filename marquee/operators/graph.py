@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.runtime import HOT_ROWS, cut_lineage, skew_join
+from marquee import runtime
+from marquee.runtime import broadcast_rows, skew_join, write_once
 
 
 def leading_people(df: DataFrame, film: str, person: str, order: list[Column], n: int = 5) -> DataFrame:
@@ -44,7 +45,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def top_subgraph(edges: DataFrame, k: int = 100) -> DataFrame:
     """Edges between the ``k`` nodes of highest degree, with edge width 0.5 + 0.5 * weight."""
-    top = F.broadcast(degrees(edges).orderBy(F.desc("degree"), "node").limit(k).select("node"))
+    top = broadcast_rows(degrees(edges).orderBy(F.desc("degree"), "node").limit(k).select("node"), k)
     inside = edges.join(top.withColumnRenamed("node", "src"), "src", "left_semi")
     inside = inside.join(top.withColumnRenamed("node", "dst"), "dst", "left_semi")
     return inside.select("src", "dst", "weight", (F.lit(0.5) + F.col("weight") * 0.5).alias("edge_width"))
@@ -61,7 +62,7 @@ def subgraph_nodes(edges: DataFrame, k: int = 100) -> DataFrame:
 def _with_smallest(pairs: DataFrame, n: int) -> DataFrame:
     """Each pair (a, b) with the smallest b of its a, as m."""
     smallest = pairs.groupBy("a").agg(F.min("b").alias("m"))
-    if n < HOT_ROWS:
+    if n < runtime.HOT_ROWS:
         return pairs.join(smallest, "a")
     return skew_join(pairs, smallest, ["a"])
 
@@ -77,10 +78,10 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce
     and Beyond", 2014) until the pairs no longer change; the number of pairs never exceeds the
     number of edges, and rounds grow with the logarithm of the longest path. Each round is written
-    to the checkpoint folder; only a count and a checksum reach the driver.
+    to the shared folder; only a count and a checksum reach the driver.
     """
     pairs = edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b"))
-    pairs = cut_lineage(pairs.filter("a <> b").distinct())
+    pairs = write_once(pairs.filter("a <> b").distinct())
     state = _state(pairs)
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -96,7 +97,7 @@ def components(edges: DataFrame) -> DataFrame:
             .union(near.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
             .distinct()
         )
-        pairs = cut_lineage(small)
+        pairs = write_once(small)
         previous, state = state, _state(pairs)
         if state == previous:
             break

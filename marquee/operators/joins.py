@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.runtime import skew_join
+from marquee.runtime import broadcast_rows, skew_join
 
 
 def unique_side(df: DataFrame, key: Column, columns: list[str], order: str) -> DataFrame:
@@ -32,12 +32,12 @@ def lookup(df: DataFrame, dimension: DataFrame, left_key: str, key: str, value:
 
 
 def keep_top_keys(df: DataFrame, name: str, k: int) -> DataFrame:
-    """Rows of the ``k`` most frequent keys; the key set has ``k`` rows, so it is broadcast."""
+    """Rows of the ``k`` most frequent keys."""
     top = (
         df.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
         .orderBy(F.desc("_n"), F.asc(name)).limit(k).select(name)
     )
-    return df.join(F.broadcast(top), name, "left_semi")
+    return df.join(broadcast_rows(top, k), name, "left_semi")
 
 
 def compare_outputs(left: DataFrame, right: DataFrame, key: str, column: str, names: tuple[str, str]) -> DataFrame:

@@ -72,28 +72,29 @@ def subset_accuracy(truth: DataFrame, predicted: DataFrame, rows: DataFrame, key
 
 # ---------------------------------------------------------------- ROC
 
-BINS = 128
+BINS = 256
 
 
 def roc_points(scores: DataFrame) -> DataFrame:
     """ROC points of (label, score, truth) rows: (label, score, pos, neg, fpr, tpr), one per distinct score.
 
     Equal scores are counted before any shuffle. Running sums need no single sorted task: distinct
-    scores fall in about equal bins by quantile, the at most 129 bin totals of a label are summed in
-    order, and the exact sums inside a bin are added to them.
+    scores fall in bins by the quantiles over all labels, so no (label, bin) holds more than about
+    1/256 of the points; the bin totals of a label are summed in order, and the exact sums inside a
+    bin are added to them.
     """
     points = scores.groupBy("label", "score").agg(
         F.sum(F.col("truth").cast("long")).alias("pos"),
         F.sum(F.lit(1) - F.col("truth").cast("long")).alias("neg"),
     )
     cuts = [i / BINS for i in range(1, BINS)]
-    edges = points.groupBy("label").agg(F.percentile_approx("score", cuts, F.lit(10_000)).alias("edges"))
-    binned = points.join(edges, "label").select(
-        "label", "score", "pos", "neg", F.size(F.filter("edges", lambda e: e < F.col("score"))).alias("bin")
-    )
+    # 255 numbers reach the driver
+    edges = sorted(set(points.agg(F.percentile_approx("score", cuts, F.lit(10_000))).first()[0] or []))
+    bins = F.array(*[F.lit(float(e)) for e in edges]).cast("array<double>")
+    binned = points.withColumn("bin", F.size(F.filter(bins, lambda e: e < F.col("score"))))
     above = Window.partitionBy("label").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
     all_bins = Window.partitionBy("label")
-    bins = binned.groupBy("label", "bin").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn")).select(
+    sums = binned.groupBy("label", "bin").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn")).select(
         "label", "bin",
         F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("pos_above"),
         F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("neg_above"),
@@ -101,7 +102,7 @@ def roc_points(scores: DataFrame) -> DataFrame:
         F.sum("bn").over(all_bins).alias("all_neg"),
     )
     inside = Window.partitionBy("label", "bin").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return binned.join(bins, ["label", "bin"]).select(
+    return binned.join(sums, ["label", "bin"]).select(
         "label", "score", "pos", "neg", "all_pos", "all_neg",
         (F.col("neg_above") + F.sum("neg").over(inside)).alias("fp"),
         (F.col("pos_above") + F.sum("pos").over(inside)).alias("tp"),

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marquee.operators.features import smooth_idf, term_counts, vocabulary, whole_weights
-from marquee.runtime import cut_lineage
+from marquee.runtime import block_rows, write_once
 
-DOC_BLOCK = 8192
-QUERY_BLOCK = 256
+DOC_BLOCK = 16_384
+QUERY_BLOCK = 512
 
 
 def tfidf_search(
@@ -29,8 +29,8 @@ def tfidf_search(
     n_docs = docs.count()
     idf = vocabulary(counts, F.lit(n_docs), None).withColumn("idf", smooth_idf(F.lit(n_docs), F.col("df")))
     # written once: it is read for the queries and for the documents
-    idf = cut_lineage(idf)
-    query_weights = cut_lineage(whole_weights(term_counts(queries, query_key, query_terms), idf, query_key))
+    idf = write_once(idf)
+    query_weights = write_once(whole_weights(term_counts(queries, query_key, query_terms), idf, query_key))
     asked = query_weights.select("term").distinct().withColumn("asked", F.lit(True))
     # the norm of a document needs all its terms, its score only those that are asked for
     doc_weights = whole_weights(counts, idf.join(asked, "term", "left"), doc_key).filter("asked")
@@ -41,7 +41,7 @@ def tfidf_search(
             name, F.col("_p.term").alias("terms"), F.col("_p.weight").alias("weights")
         )
 
-    n_blocks = n_docs // DOC_BLOCK + 1
+    n_blocks = n_docs // block_rows(docs.sparkSession, n_docs, DOC_BLOCK) + 1
     n_groups = queries.count() // QUERY_BLOCK + 1
     left = as_rows(doc_weights, doc_key, "id").select(
         "*", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("cblock"),

@@ -14,6 +14,7 @@ from marquee.functions.text import word_count, word_tokens
 from marquee.functions.values import ratio
 from marquee.operators.features import split_column
 from marquee.operators.tables import drop_short, seeded_sample
+from marquee.runtime import broadcast_rows
 
 
 def corpus(
@@ -87,7 +88,7 @@ def token_vocabulary(df: DataFrame, text: str, size: int = 30_000) -> DataFrame:
     top = counted.orderBy(F.desc("n"), "term").limit(size)
     place = F.row_number().over(Window.orderBy(F.desc("n"), "term"))
     # the window numbers ``size`` rows at most
-    return top.select("term", (place + FIRST_ID - 1).alias("id"))
+    return broadcast_rows(top.select("term", (place + FIRST_ID - 1).alias("id")), size)
 
 
 def padded_ids(df: DataFrame, key: str, text: str, terms: DataFrame, length: int, name: str = "ids") -> DataFrame:
@@ -97,7 +98,7 @@ def padded_ids(df: DataFrame, key: str, text: str, terms: DataFrame, length: int
     """
     words = df.select(key, F.slice(word_tokens(F.coalesce(F.col(text), F.lit("")), []), 1, length).alias("w"))
     placed = words.select(key, F.posexplode_outer("w").alias("pos", "term"))
-    numbered = placed.join(F.broadcast(terms), "term", "left").select(
+    numbered = placed.join(terms, "term", "left").select(
         key, "pos", F.when(F.col("term").isNotNull(), F.coalesce("id", F.lit(UNKNOWN))).alias("id")
     )
     rows = numbered.groupBy(key).agg(

@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marquee.runtime import stable_hash
+from marquee.runtime import block_rows, stable_hash, write_once
 
-CORPUS_BLOCK = 16_384
-QUERY_BLOCK = 1024
-ROWS_PER_CELL = 200_000
-MAX_CELLS = 256
+BLOCK_VALUES = 4_000_000  # numbers in the vectors of a block: 32 MB
+QUERY_CHUNK = 256
+ROWS_PER_CELL = 50_000
+MAX_CELLS = 2048
 
 
 def _stack(series: pd.Series) -> np.ndarray:
@@ -64,26 +64,32 @@ def knn(
     Exact, with a corpus smaller than ``k`` giving fewer rows. Neither side is collected or broadcast:
     both are cut into blocks of bounded size, each block pair is one matrix product that keeps its k
     best, and the bests are merged by rank. On a big corpus, rows belong to the cell of their nearest
-    pivot (at most 256), and the triangle inequality leaves out the cells that cannot hold a
+    pivot (at most 2048), and the triangle inequality leaves out the cells that cannot hold a
     neighbour (Lu et al., "Efficient Processing of k Nearest Neighbor Joins using MapReduce", 2012).
     A cell that holds many rows is just cut into more blocks.
     """
     corpus = corpus.select(F.col(key).alias("id"), F.col(vector).alias("v"), *payload)
     queries = queries.select(F.col(query_key).alias("qid"), F.col(vector).alias("v"))
     wanted = k + 1 if exclude_self else k
-    sized = corpus.count()
+    sample = corpus.select(F.size("v").alias("n")).first()
+    if sample is None:
+        dim, sized = 1, 0
+    else:
+        dim, sized = max(sample["n"], 1), corpus.count()
     n_cells = cells or max(1, min(MAX_CELLS, sized // ROWS_PER_CELL))
+    spark, most = corpus.sparkSession, max(1024, BLOCK_VALUES // dim)
 
     if n_cells == 1:
-        placed = corpus.withColumn("cell", F.lit(0))
-        visits = queries.withColumn("cell", F.lit(0))
+        placed, visits = corpus.withColumn("cell", F.lit(0)), queries.withColumn("cell", F.lit(0))
+        corpus_sizes, query_sizes = {0: sized}, {0: queries.count()}
     else:
         pivots = _pivots(corpus, "id", "v", n_cells)
-        placed = _place(corpus, pivots)
-        visits = _visits(queries, placed, pivots, wanted)
-
-    blocks = {r["cell"]: r["n"] // CORPUS_BLOCK + 1 for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()} if n_cells > 1 else {0: sized // CORPUS_BLOCK + 1}
-    groups = {r["cell"]: r["n"] // QUERY_BLOCK + 1 for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+        placed = write_once(_place(corpus, pivots))
+        visits = write_once(_visits(queries, placed, pivots, wanted))
+        corpus_sizes, query_sizes = _cell_sizes(placed), _cell_sizes(visits)
+    per_block = block_rows(spark, sized, most)
+    blocks = {c: size // per_block + 1 for c, size in corpus_sizes.items()}
+    groups = {c: size // most + 1 for c, size in query_sizes.items()}
     n = max([*blocks, *groups, 0]) + 1
     n_blocks = F.array(*[F.lit(blocks.get(c, 0)) for c in range(n)])
     n_groups = F.array(*[F.lit(groups.get(c, 0)) for c in range(n)])
@@ -115,18 +121,22 @@ def knn(
     def block(corpus_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
         if corpus_rows.empty or query_rows.empty:
             return pd.DataFrame({f.name: pd.Series(dtype="object") for f in schema.fields})
-        d2 = _squared_distances(_stack(query_rows["v"]), _stack(corpus_rows["v"]))
-        ids = corpus_rows["id"].to_numpy()
-        qids = query_rows["qid"].to_numpy()
-        if exclude_self:
-            d2[qids[:, None] == ids[None, :]] = np.inf
-        picks = [_best_of_block(row, ids, k) for row in d2]
-        at = np.concatenate(picks)
-        which = np.repeat(np.arange(len(qids)), [len(p) for p in picks])
-        found = corpus_rows.iloc[at][["id", *names]].reset_index(drop=True)
-        found.insert(0, "qid", qids[which])
-        found["d2"] = d2[which, at]
-        return found
+        vectors, asked = _stack(corpus_rows["v"]), _stack(query_rows["v"])
+        ids, qids = corpus_rows["id"].to_numpy(), query_rows["qid"].to_numpy()
+        parts = []
+        for start in range(0, len(qids), QUERY_CHUNK):
+            chunk = qids[start:start + QUERY_CHUNK]
+            d2 = _squared_distances(asked[start:start + QUERY_CHUNK], vectors)
+            if exclude_self:
+                d2[chunk[:, None] == ids[None, :]] = np.inf
+            picks = [_best_of_block(row, ids, k) for row in d2]
+            at = np.concatenate(picks)
+            which = np.repeat(np.arange(len(chunk)), [len(p) for p in picks])
+            found = corpus_rows.iloc[at][["id", *names]].reset_index(drop=True)
+            found.insert(0, "qid", chunk[which])
+            found["d2"] = d2[which, at]
+            parts.append(found)
+        return pd.concat(parts)
 
     near = (
         left.groupBy("cell", "cblock", "qblock")
@@ -140,6 +150,11 @@ def knn(
     )
 
 
+def _cell_sizes(df: DataFrame) -> dict[int, int]:
+    """Rows per cell, at most ``MAX_CELLS`` numbers."""
+    return {r["cell"]: r["n"] for r in df.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
 def _place(corpus: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Corpus rows with the cell of their nearest pivot and the distance to it."""
     schema = T.StructType([*corpus.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("r", T.DoubleType())])
@@ -158,7 +173,7 @@ def _visits(queries: DataFrame, placed: DataFrame, pivots: np.ndarray, k: int) -
     """(qid, v, cell) for the cells that can hold one of the k nearest rows of a query.
 
     From each cell the k smallest and the largest distance to the pivot are read, at most
-    256 * (k + 1) numbers. A query's k-th neighbour is no farther than the k-th smallest of
+    2048 * (k + 1) numbers. A query's k-th neighbour is no farther than the k-th smallest of
     (distance to the pivot + distance of the row to the pivot), and no row of a cell is nearer than
     the distance to the pivot minus the largest distance in the cell.
     """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,20 +23,36 @@ def local_session(name: str = "marquee", cores: str = "8", shuffle_partitions: i
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session may do without it.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Only a local session may do without one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="marquee-checkpoint-")
+            folder = tempfile.mkdtemp(prefix="marquee-")
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def write_once(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it from there.
+
+    For rows that are read several times or that a loop builds on: a lost executor costs no more than
+    a new read, columns that are not needed are not read, and Spark knows the size.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_rows(df: DataFrame, most: int) -> DataFrame:
+    """A broadcast hint for a table of at most ``most`` rows, if that is few enough."""
+    return F.broadcast(df) if most <= BROADCAST_ROWS else df
 
 
 def stable_hash(seed: int, *cols: Column) -> Column:
@@ -74,6 +91,8 @@ def skew_join(
     once per salt. All other rows keep salt 0. ``how`` may be inner, left, left_semi or left_anti.
     ``hot`` names the hot keys where the caller knows the counts already, at most ``HOT_KEYS`` of them.
     """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"unsupported join: {how}")
     hot = F.broadcast(hot_keys(left, keys) if hot is None else hot.withColumn("_hot", F.lit(True)))
     # a salt from the row's content is the same when a lost task runs again; a random one is not
     spread = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
@@ -106,3 +125,8 @@ def dense_index(df: DataFrame, group: str, key: str, name: str, buckets: int = 1
         .withColumn(name, F.col("_offset") + F.row_number().over(inside) - 1)
         .drop("_bucket", "_offset")
     )
+
+
+def block_rows(spark: SparkSession, rows: int, most: int, least: int = 256) -> int:
+    """Rows per block: ``most`` on big tables, fewer on small ones so that all cores have work."""
+    return max(least, min(most, rows // spark.sparkContext.defaultParallelism))

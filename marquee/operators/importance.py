@@ -7,7 +7,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marquee.functions.values import ratio
 from marquee.operators.scoring import f1
 from marquee.runtime import stable_hash
 
@@ -71,9 +70,10 @@ def permutation_importance(
         F.count_if(F.expr("truth = 0 AND guess = 1")).alias("fp"),
         F.count_if(F.expr("truth = 1 AND guess = 0")).alias("fn"),
     ).withColumn("f1", f1())
-    # features * repeats rows from here on
-    base = counted.filter("j = -1").select("f1").scalar()
-    drops = counted.filter("j >= 0").groupBy("j").agg(ratio(F.sum(base - F.col("f1")), F.lit(repeats)).alias("importance"))
+    # from here on there are as many rows as features, and one for the untouched rows
+    means = counted.groupBy("j").agg(F.avg("f1").alias("f1"))
+    base = F.max(F.when(F.col("j") == -1, F.col("f1"))).over(Window.partitionBy(F.lit(0)))
+    drops = means.withColumn("importance", base - F.col("f1")).filter("j >= 0")
     feature = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("j") + 1)
     return drops.select(feature.alias("feature"), "importance")
 

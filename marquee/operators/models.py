@@ -98,7 +98,7 @@ def fit_features(
     ``labels`` are 0/1 columns. Only the vocabulary (``max_features`` rows) and one sum vector per
     label come to the driver.
     """
-    lister = TermLister(inputCol=text, outputCol="terms")
+    lister = TermLister(inputCol=text, outputCol="_terms")
     n = df.count()
     counts = term_counts(df.select(key, text), key, word_tokens(F.coalesce(F.col(text), F.lit(""))), bigrams=True)
     terms = sorted((r["term"], r["df"]) for r in vocabulary(counts, F.lit(n), max_features, min_df, max_df).collect())
@@ -106,25 +106,25 @@ def fit_features(
     vocab = [t for t, _ in terms]
     stages = [
         lister,
-        CountVectorizerModel.from_vocabulary(vocab, inputCol="terms", outputCol="counts", minTF=1.0),
-        TfIdfWeighter(inputCol="counts", outputCol="weights", idf=idf),
-        Normalizer(inputCol="weights", outputCol="text_features", p=2.0),
+        CountVectorizerModel.from_vocabulary(vocab, inputCol="_terms", outputCol="_counts", minTF=1.0),
+        TfIdfWeighter(inputCol="_counts", outputCol="_weights", idf=idf),
+        Normalizer(inputCol="_weights", outputCol="_text", p=2.0),
     ]
-    names, blocks = list(vocab), ["text_features"]
+    names, blocks = list(vocab), ["_text"]
     if category is not None:
-        indexer = StringIndexer(inputCol=category, outputCol="place", handleInvalid="keep", stringOrderType="alphabetAsc").fit(df)
+        indexer = StringIndexer(inputCol=category, outputCol="_place", handleInvalid="keep", stringOrderType="alphabetAsc").fit(df)
         # dropping the last category drops the one kept for null and unseen values
-        stages += [indexer, OneHotEncoder(inputCol="place", outputCol="place_features", dropLast=True)]
+        stages += [indexer, OneHotEncoder(inputCol="_place", outputCol="_place_hot", dropLast=True)]
         names += [f"loc_{c}" for c in indexer.labels]
-        blocks.append("place_features")
-    stages.append(VectorAssembler(inputCols=blocks, outputCol="all_features"))
+        blocks.append("_place_hot")
+    stages.append(VectorAssembler(inputCols=blocks, outputCol="_all"))
     if keep is None:
-        stages.append(VectorSlicer(inputCol="all_features", outputCol="features", indices=list(range(len(names)))))
+        stages.append(VectorSlicer(inputCol="_all", outputCol="features", indices=list(range(len(names)))))
         return Features(Pipeline(stages=stages).fit(df), names)
     wide = Pipeline(stages=stages).fit(df)
-    best = np.argsort(-chi2_of_columns(wide.transform(df), "all_features", labels), kind="stable")[:keep]
+    best = np.argsort(-chi2_of_columns(wide.transform(df), "_all", labels), kind="stable")[:keep]
     best = sorted(int(i) for i in best)
-    slicer = VectorSlicer(inputCol="all_features", outputCol="features", indices=best)
+    slicer = VectorSlicer(inputCol="_all", outputCol="features", indices=best)
     return Features(PipelineModel(stages=[*wide.stages, slicer]), [names[i] for i in best])
 
 

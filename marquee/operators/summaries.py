@@ -98,13 +98,13 @@ def padded_ids(df: DataFrame, key: str, text: str, terms: DataFrame, length: int
     """
     words = df.select(key, F.slice(word_tokens(F.coalesce(F.col(text), F.lit("")), []), 1, length).alias("w"))
     placed = words.select(key, F.posexplode_outer("w").alias("pos", "term"))
-    numbered = placed.join(terms, "term", "left").select(
-        key, "pos", F.when(F.col("term").isNotNull(), F.coalesce("id", F.lit(UNKNOWN))).alias("id")
+    numbered = placed.join(terms.withColumnRenamed("id", "_id"), "term", "left").select(
+        key, "pos", F.when(F.col("term").isNotNull(), F.coalesce("_id", F.lit(UNKNOWN))).alias("_id")
     )
     rows = numbered.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "id")))).alias("r")
+        F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "_id")))).alias("r")
     )
-    ids = F.transform("r", lambda r: r["id"])
+    ids = F.transform("r", lambda r: r["_id"])
     return rows.select(key, F.concat(ids, F.array_repeat(F.lit(PAD), F.lit(length) - F.size("r"))).alias(name))
 
 

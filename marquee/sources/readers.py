@@ -90,9 +90,13 @@ def load_or(spark: SparkSession, path: str, read: Callable[[SparkSession, str],
     return read(spark, path) if path_exists(spark, path) else fallback()
 
 
-def read_summaries(spark: SparkSession, path: str) -> DataFrame:
-    """(title, original_plot, summary, timestamp) of JSON objects keyed by title, one object per file."""
-    text = spark.read.option("wholetext", True).text(path)
+def read_summaries(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """(title, original_plot, summary, timestamp) of JSON objects keyed by title.
+
+    A file holds one object, over any number of lines, or with ``per_line`` one object a line, which
+    is how they are written here, so that a big file is read by many tasks.
+    """
+    text = spark.read.text(path, wholetext=not per_line)
     pairs = text.select(F.explode(F.from_json("value", SUMMARY_MAP)).alias("title", "r"))
     return pairs.select(
         "title", "r.original_plot", "r.summary", F.try_to_timestamp(F.col("r.timestamp")).alias("timestamp")

@@ -22,15 +22,6 @@ def write_summaries(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.create_map(F.col("title"), record)).alias("value")).write.mode("overwrite").text(path)
 
 
-def read_written_summaries(spark: SparkSession, path: str) -> DataFrame:
-    from marquee.sources.readers import SUMMARY_MAP
-
-    pairs = spark.read.text(path).select(F.explode(F.from_json("value", SUMMARY_MAP)).alias("title", "r"))
-    return pairs.select(
-        "title", "r.original_plot", "r.summary", F.try_to_timestamp(F.col("r.timestamp")).alias("timestamp")
-    )
-
-
 def save_snapshot(df: DataFrame, path: str, **metadata) -> None:
     """The table with its vectors as Parquet, and one row of metadata beside it."""
     df.write.mode("overwrite").parquet(f"{path}/rows")

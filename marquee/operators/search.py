@@ -44,11 +44,11 @@ def tfidf_search(
     n_blocks = n_docs // block_rows(docs.sparkSession, n_docs, DOC_BLOCK) + 1
     n_groups = queries.count() // QUERY_BLOCK + 1
     left = as_rows(doc_weights, doc_key, "id").select(
-        "*", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("cblock"),
+        "*", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("cblock"),
         F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("qblock"),
     )
     right = as_rows(query_weights, query_key, "qid").select(
-        "*", F.pmod(F.xxhash64("qid"), F.lit(n_groups)).alias("qblock"),
+        "*", F.pmod(F.xxhash64("qid"), F.lit(n_groups)).cast("int").alias("qblock"),
         F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("cblock"),
     )
     schema = T.StructType([

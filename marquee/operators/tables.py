@@ -174,7 +174,7 @@ def weighted_pairs(df: DataFrame, owner: str, labels: str, by: str) -> DataFrame
 def weighted_pivot(df: DataFrame, owner: str, labels: str, by: str, values: list) -> DataFrame:
     pairs = weighted_pairs(df, owner, labels, by)
     wide = pairs.groupBy("owner").pivot("label", values).agg(F.sum("weight")).fillna(0.0)
-    return wide.select("owner", *[F.round(F.col(f"`{v}`"), 6).alias(str(v)) for v in values])
+    return wide.select("owner", *[F.round(F.col(f"`{v}`"), 9).alias(str(v)) for v in values])
 
 
 def group_metrics(df: DataFrame, key: str, budget: str, revenue: str, others: list[str]) -> DataFrame:

@@ -146,7 +146,7 @@ WEIGHT_SQL = """
     e AS (SELECT owner, unnest(words) AS label FROM d),
     o AS (SELECT owner, count(*) AS c FROM d GROUP BY 1), g AS (SELECT label, count(*) AS c FROM e GROUP BY 1),
     w AS (SELECT e.owner, e.label, 1.0::DOUBLE / {0}.c AS w FROM e JOIN {0} USING ({1}))
-    SELECT owner, """ + ", ".join(f"round(coalesce(sum(w) FILTER (label = '{v}'), 0), 6) AS \"{v}\"" for v in WORDS) + """
+    SELECT owner, """ + ", ".join(f"round(coalesce(sum(w) FILTER (label = '{v}'), 0), 9) AS \"{v}\"" for v in WORDS) + """
     FROM w GROUP BY owner
 """
 

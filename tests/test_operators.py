@@ -71,7 +71,7 @@ def test_rankings_and_ties(spark):
 def test_weighted_pivots(spark):
     films = spark.createDataFrame([("P", ["x", "y"]), ("P", ["x"]), ("Q", ["y"]), (None, ["y"])], "d string, l array<string>")
     assert rows(tables.weighted_pivot(films, "d", "l", "owner", ["x", "y"])) == [("P", 1.0, 0.5), ("Q", 0.0, 1.0)]
-    assert rows(tables.weighted_pivot(films, "d", "l", "label", ["x", "y"])) == [("P", 1.0, 0.333333), ("Q", 0.0, 0.333333)]
+    assert rows(tables.weighted_pivot(films, "d", "l", "label", ["x", "y"])) == [("P", 1.0, 0.333333333), ("Q", 0.0, 0.333333333)]
 
 
 def test_metrics(spark):
@@ -179,8 +179,11 @@ def test_search_ranks_by_cosine(spark, monkeypatch):
     words = word_tokens(F.col("text"), [])
     monkeypatch.setattr(search, "block_rows", lambda *a: 1)
     monkeypatch.setattr(runtime, "HOT_ROWS", 2)
-    found = search.tfidf_search(docs, queries, "id", "qid", words, words, 2).collect()
-    assert [(r["qid"], r["id"], r["rank"]) for r in sorted(found, key=lambda r: r["rank"])] == [(10, 1, 1), (10, 3, 2)]
+    for adaptive in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        found = search.tfidf_search(docs, queries, "id", "qid", words, words, 2).collect()
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        assert [(r["qid"], r["id"], r["rank"]) for r in sorted(found, key=lambda r: r["rank"])] == [(10, 1, 1), (10, 3, 2)]
 
 
 def test_split_shares(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marquee.fixed_values import FALLBACK_CAST, FALLBACK_DIRECTORS, LABEL_ALIASES, QUERY_TEMPLATES
 from marquee.functions.labels import split_names, strip
 from marquee.functions.values import ratio
-from marquee.runtime import dense_index, skew_join, stable_hash
+from marquee.runtime import dense_index, skew_join, stable_hash, write_once
 
 LABELS = ["DIRECTOR", "CAST", "GENRE"]
 
@@ -37,8 +37,9 @@ def generate_queries(samples: DataFrame, key: str, dictionary: DataFrame, seed:
 
     A second name of the same kind differs from the first where the dictionary holds another one.
     """
-    indexed = dense_index(dictionary.distinct(), "label", "entity", "place")
-    sizes = {r["label"]: r["n"] for r in dictionary.distinct().groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # written once: the catalog behind it is scanned no second time
+    indexed = write_once(dense_index(dictionary.distinct(), "label", "entity", "place"))
+    sizes = {r["label"]: r["n"] for r in indexed.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     texts = [t for t, _ in QUERY_TEMPLATES]
     slots = [[(f"{{{n}}}", label) for n, label in s] for _, s in QUERY_TEMPLATES]
     if any(label not in sizes for s in slots for _, label in s):
@@ -128,7 +129,7 @@ def tag(queries: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataF
     Overlaps are settled per text: longest first, then leftmost. Frequent runs are spread over tasks.
     """
     names = dictionary.select("label", normal_name(F.col("entity")).alias("run")).filter("run <> ''")
-    names = names.groupBy("run").agg(F.min("label").alias("label"))
+    names = write_once(names.groupBy("run").agg(F.min("label").alias("label")))
     lengths = sorted(
         r["n"] for r in names.select(F.size(F.split("run", " ")).alias("n")).distinct().collect()
     )

@@ -9,6 +9,7 @@ from marquee.functions import text
 from marquee.operators import conversations, entities, summaries
 from marquee.plans.common import query, text_list
 from marquee.plans.features import PLAIN_WORDS
+from marquee.runtime import write_once
 from marquee.sources.readers import table
 
 # ---------------------------------------------------------------- entities
@@ -39,7 +40,8 @@ def entity_dictionary(spark, folder):
 
 def _generated(spark, folder):
     """One labelled query per order."""
-    return entities.generate_queries(table(spark, folder, "orders").select("o_orderkey"), "o_orderkey", _dictionary(spark, folder))
+    orders = table(spark, folder, "orders").select("o_orderkey")
+    return write_once(entities.generate_queries(orders, "o_orderkey", _dictionary(spark, folder)))
 
 
 HASH = "('0x' || substring(md5('{0}:' || o_orderkey), 1, 8))::BIGINT"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from marquee.operators import importance, models, scoring
 from marquee.operators.features import split_column
 from marquee.plans.common import query
+from marquee.runtime import write_once
 from marquee.sources.readers import table
 
 LABELS = ["quality", "toxic"]
@@ -19,16 +20,15 @@ def _prepared(spark, folder, max_features=300, keep=100):
     rated = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
     features = models.fit_features(rated, "doc_id", "text", "lang", LABELS, max_features, keep, 2, 0.9)
     rows = features.model.transform(rated).select("doc_id", *LABELS, "features")
-    rows = rows.withColumn("part", split_column("doc_id", [("train", 0.8), ("test", 0.2)])).cache()
-    return features, rows.filter("part = 'train'"), rows.filter("part = 'test'"), rows
+    rows = write_once(rows.withColumn("part", split_column("doc_id", [("train", 0.8), ("test", 0.2)])))
+    return features, rows.filter("part = 'train'"), rows.filter("part = 'test'")
 
 
 @query()
 def train_eval_models(spark, folder):
     """Leaderboard of seven model families over the rated documents."""
-    features, train, test, rows = _prepared(spark, folder)
+    features, train, test = _prepared(spark, folder)
     run = models.evaluate_models(train, test, "doc_id", LABELS, models.families(len(features.names)))
-    rows.unpersist()
     metrics = spark.createDataFrame(run.metrics, "position int, model string, metric string, value double")
     return scoring.leaderboard(metrics)
 
@@ -36,9 +36,8 @@ def train_eval_models(spark, folder):
 @query()
 def predict_labels(spark, folder):
     """Labels of every document by logistic regression fitted on the rated ones."""
-    features, train, _, rows = _prepared(spark, folder)
+    features, train, _ = _prepared(spark, folder)
     fitted = models.fit_per_label(train, LABELS, models.families(len(features.names))["logistic_regression"])
-    rows.unpersist()
     everything = features.model.transform(table(spark, folder, "documents"))
     scores = models.predict_per_label(everything, fitted, "doc_id")
     chosen = scoring.threshold_labels(scores, 0.5)
@@ -48,11 +47,10 @@ def predict_labels(spark, folder):
 @query()
 def tune_model(spark, folder):
     """Ten drawn parameter sets of logistic regression, three folds each."""
-    _, train, _, rows = _prepared(spark, folder)
+    _, train, _ = _prepared(spark, folder)
     base = LogisticRegression(maxIter=30, featuresCol="features", labelCol="target")
     grid = {base.regParam: [0.001, 0.01, 0.1, 1.0], base.elasticNetParam: [0.0, 0.5, 1.0]}
     found, tried = models.tune(train, "doc_id", "quality", base, grid, draws=10, folds=3)
-    rows.unpersist()
     results = [
         (i, float(p[base.regParam]), float(p[base.elasticNetParam]), float(m))
         for i, (p, m) in enumerate(zip(tried, found.avgMetrics))
@@ -63,10 +61,10 @@ def tune_model(spark, folder):
 @query()
 def permutation_importance(spark, folder):
     """Direct, above-mean and permutation importance of vector dimensions for the first two labels."""
-    rows = table(spark, folder, "embeddings").select(
+    rows = write_once(table(spark, folder, "embeddings").select(
         "vec_id", (F.col("label") == 0).cast("int").alias("first"), (F.col("label") == 1).cast("int").alias("second"),
         array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
-    ).cache()
+    ))
     names = [f"x{i:02d}" for i in range(rows.first()["features"].size)]
     labels = ["first", "second"]
     runs = {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -109,11 +110,8 @@ def transcript(messages: Column) -> Column:
 
 def has_keyword(col: Column, keywords: list[str] = ROUTING_KEYWORDS) -> Column:
     """Whether any keyword is part of the lower-cased text."""
-    found = F.lit(False)
-    lowered = F.lower(col)
-    for keyword in keywords:
-        found = found | F.contains(lowered, F.lit(keyword))
-    return F.coalesce(found, F.lit(False))
+    pattern = "|".join(re.escape(k) for k in keywords)
+    return F.coalesce(F.rlike(F.lower(col), F.lit(pattern)), F.lit(False))
 
 
 def safe_name(col: Column) -> Column:

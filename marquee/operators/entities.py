@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marquee.fixed_values import FALLBACK_CAST, FALLBACK_DIRECTORS, LABEL_ALIASES, QUERY_TEMPLATES
@@ -151,7 +151,12 @@ def tag(queries: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataF
 
     spans = words.select(key, "_text", F.inline(F.concat(*[runs(n) for n in lengths])))
     hits = skew_join(spans.filter("run <> ''").select(key, "i", "n", "run"), names, ["run"])
-    candidates = hits.groupBy(key).agg(F.collect_list(F.struct(
+    # runs that touch no other are settled alone, so a long text is no long list
+    order = Window.partitionBy(key).orderBy("i", "n")
+    reached = F.max(F.col("i") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("i") >= reached, F.lit(True)).cast("int")
+    clustered = hits.withColumn("_opens", opens).withColumn("_cluster", F.sum("_opens").over(order))
+    candidates = clustered.groupBy(key, "_cluster").agg(F.collect_list(F.struct(
         (-F.col("n")).alias("longest"), F.col("i"), F.col("n"), F.col("label")
     )).alias("found"))
     kept = F.aggregate(
@@ -161,14 +166,14 @@ def tag(queries: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataF
             F.exists(acc, lambda o: (s["i"] < o["i"] + o["n"]) & (o["i"] < s["i"] + s["n"])), acc
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    chosen = candidates.select(key, kept.alias("kept"))
+    chosen = candidates.select(key, F.explode(kept).alias("s"))
     settled = chosen.join(words.select(key, "_words"), key)
     before = F.length(F.array_join(F.slice("_words", F.lit(1), F.col("s.i")), " "))
     raw = F.array_join(F.slice("_words", F.col("s.i") + 1, F.col("s.n")), " ")
     surface = F.regexp_replace(raw, _EDGE, "")
     lead = F.length(raw) - F.length(F.regexp_replace(raw, r"^[\s\"'(\[]+", ""))
     start = before + F.when(F.col("s.i") > 0, 1).otherwise(0) + lead
-    return settled.select(key, "_words", F.explode("kept").alias("s")).select(
+    return settled.select(
         key, start.alias("start"), (start + F.length(surface)).alias("end"), F.col("s.label").alias("label"),
         surface.alias("surface"),
     )

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from marquee.fixed_values import STOP_WORDS
 from marquee.functions.text import word_tokens
-from marquee.functions.values import ratio
 from marquee import runtime
 from marquee.runtime import skew_join, stable_hash
 
@@ -164,9 +163,3 @@ def split_column(key: str, parts: list[tuple[str, float]], seed: int = 42) -> Co
         upto += round(share * 10_000)
         col = F.when(place < upto, name) if col is None else col.when(place < upto, name)
     return F.lit(parts[-1][0]) if col is None else col.otherwise(parts[-1][0])
-
-
-def label_share(df: DataFrame, label: str) -> DataFrame:
-    """Rows and share of each label."""
-    n = df.agg(F.count(F.lit(1))).scalar()
-    return df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).withColumn("share", ratio(F.col("n"), n))

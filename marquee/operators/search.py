@@ -31,14 +31,15 @@ def tfidf_search(
     # written once: it is read for the queries and for the documents
     idf = write_once(idf)
     query_weights = write_once(whole_weights(term_counts(queries, query_key, query_terms), idf, query_key))
-    asked = query_weights.select("term").distinct().withColumn("asked", F.lit(True))
+    # numbers instead of words go to the blocks; they are written, so they stay what they are
+    asked = write_once(query_weights.select("term").distinct().withColumn("number", F.monotonically_increasing_id()))
     # the norm of a document needs all its terms, its score only those that are asked for
-    doc_weights = whole_weights(counts, idf.join(asked, "term", "left"), doc_key).filter("asked")
+    doc_weights = whole_weights(counts, idf.join(asked, "term", "left"), doc_key).filter("number IS NOT NULL")
 
     def as_rows(weights: DataFrame, key: str, name: str) -> DataFrame:
-        pairs = F.collect_list(F.struct("term", "weight"))
+        pairs = F.collect_list(F.struct("number", "weight"))
         return weights.groupBy(F.col(key).alias(name)).agg(pairs.alias("_p")).select(
-            name, F.col("_p.term").alias("terms"), F.col("_p.weight").alias("weights")
+            name, F.col("_p.number").alias("numbers"), F.col("_p.weight").alias("weights")
         )
 
     n_blocks = n_docs // block_rows(docs.sparkSession, n_docs, DOC_BLOCK) + 1
@@ -47,7 +48,7 @@ def tfidf_search(
         "*", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("cblock"),
         F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("qblock"),
     )
-    right = as_rows(query_weights, query_key, "qid").select(
+    right = as_rows(query_weights.join(asked, "term"), query_key, "qid").select(
         "*", F.pmod(F.xxhash64("qid"), F.lit(n_groups)).cast("int").alias("qblock"),
         F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("cblock"),
     )
@@ -58,32 +59,27 @@ def tfidf_search(
     ])
 
     def block(doc_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
-        columns = [f.name for f in schema.fields]
         if doc_rows.empty or query_rows.empty:
-            return pd.DataFrame({c: pd.Series(dtype="object") for c in columns})
-        place: dict[str, int] = {}
-        for terms in query_rows["terms"]:
-            for t in terms:
-                place.setdefault(t, len(place))
-        asked_weights = np.zeros((len(place), len(query_rows)))
-        for q, (terms, weights) in enumerate(zip(query_rows["terms"], query_rows["weights"])):
-            for t, w in zip(terms, weights):
-                asked_weights[place[t], q] = w
-        scores = np.zeros((len(doc_rows), len(query_rows)))
-        for d, (terms, weights) in enumerate(zip(doc_rows["terms"], doc_rows["weights"])):
-            at = [(place[t], w) for t, w in zip(terms, weights) if t in place]
-            if at:
-                where, w = zip(*at)
-                scores[d] = np.asarray(w) @ asked_weights[list(where)]
-        scores = np.round(scores, 9)
+            return pd.DataFrame({f.name: pd.Series(dtype="object") for f in schema.fields})
+        known = np.unique(np.concatenate(query_rows["numbers"].to_list()))
+        numbers = np.concatenate(doc_rows["numbers"].to_list())
+        weights = np.concatenate(doc_rows["weights"].to_list())
+        row = np.repeat(np.arange(len(doc_rows)), doc_rows["numbers"].map(len))
+        place = np.minimum(np.searchsorted(known, numbers), len(known) - 1)
+        used = known[place] == numbers
+        place, weights, row = place[used], weights[used], row[used]
         ids = doc_rows["id"].to_numpy()
         out = []
-        for q, qid in enumerate(query_rows["qid"]):
-            column = scores[:, q]
-            near = np.flatnonzero(column > 0)
-            near = near[np.lexsort((ids[near], -column[near]))][:k]
-            out.append(pd.DataFrame({"qid": qid, "id": ids[near], "score": column[near]}))
-        return pd.concat(out)[columns]
+        for qid, asked_numbers, asked_weights in zip(query_rows["qid"], query_rows["numbers"], query_rows["weights"]):
+            wanted = np.zeros(len(known))
+            wanted[np.searchsorted(known, asked_numbers)] = asked_weights
+            scores = np.round(np.bincount(row, wanted[place] * weights, len(ids)), 9)
+            near = np.flatnonzero(scores > 0)
+            if len(near) > k:
+                near = near[scores[near] >= -np.partition(-scores[near], k - 1)[k - 1]]
+            near = near[np.lexsort((ids[near], -scores[near]))][:k]
+            out.append(pd.DataFrame({"qid": qid, "id": ids[near], "score": scores[near]}))
+        return pd.concat(out)
 
     best = left.groupBy("cblock", "qblock").cogroup(right.groupBy("cblock", "qblock")).applyInPandas(block, schema)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))

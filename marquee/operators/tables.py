@@ -70,10 +70,30 @@ def drop_short(df: DataFrame, name: str, words: int = 20) -> DataFrame:
     return df.filter(word_count(F.col(name)) >= words)
 
 
+SORTED_SAMPLE = 10_000
+PICK_BUCKETS = 1 << 14
+
+
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows picked by a hash of the key: the same rows on any partitioning."""
+    """``n`` rows picked by a hash of the key: the same rows on any partitioning.
+
+    A small sample is a sorted limit. For a big one the hashes are counted in 16,384 buckets; whole
+    buckets are taken up to the one in which ``n`` is reached, and only that one is sorted.
+    """
     picked = df.withColumn("_pick", stable_hash(seed, F.col(key)))
-    return picked.orderBy("_pick", key).limit(n).drop("_pick")
+    if n <= SORTED_SAMPLE:
+        return picked.orderBy("_pick", key).limit(n).drop("_pick")
+    bucket = F.shiftright("_pick", 18).cast("int")
+    taken, last = 0, None
+    for row in picked.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy("b").collect():
+        if taken + row["n"] > n:
+            last = row["b"]
+            break
+        taken += row["n"]
+    if last is None:
+        return df
+    edge = picked.filter(bucket == last).orderBy("_pick", key).limit(n - taken)
+    return picked.filter(bucket < last).unionByName(edge).drop("_pick")
 
 
 # ---------------------------------------------------------------- counts

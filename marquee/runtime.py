@@ -130,3 +130,25 @@ def dense_index(df: DataFrame, group: str, key: str, name: str, buckets: int = 1
 def block_rows(spark: SparkSession, rows: int, most: int, least: int = 256) -> int:
     """Rows per block: ``most`` on big tables, fewer on small ones so that all cores have work."""
     return max(least, min(most, rows // spark.sparkContext.defaultParallelism))
+
+
+def input_bytes(spark: SparkSession, *paths: str) -> int:
+    """Size of files or folders, whatever file system they are in."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    size = 0
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        size += place.getFileSystem(conf).getContentSummary(place).getLength()
+    return size
+
+
+def size_shuffles(spark: SparkSession, *paths: str, bytes_per_task: int = 128 << 20, growth: float = 3.0) -> int:
+    """Set the number of shuffle partitions for the input's size, and return it.
+
+    Adaptive execution merges small partitions but never makes more of them. ``growth`` is how much
+    bigger the shuffled rows are than the compressed files.
+    """
+    wanted = int(input_bytes(spark, *paths) * growth / bytes_per_task) + 1
+    number = min(200_000, max(wanted, spark.sparkContext.defaultParallelism))
+    spark.conf.set("spark.sql.shuffle.partitions", str(number))
+    return number

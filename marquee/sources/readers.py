@@ -30,12 +30,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True, multi_line: bool = True) -> DataFrame:
     """CSV with quoted, possibly many-line fields; a quote inside a field is doubled.
 
+    A file with fields over several lines is read by one task, so big tables should be many files;
+    without ``multi_line`` files are split.
+
     With a header, columns are taken by name, so files may hold more columns in another order.
     """
-    reader = spark.read.option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
+    reader = spark.read.option("multiLine", multi_line).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
     if not header:
         return reader.schema(schema).csv(path)
     wanted = spark.createDataFrame([], schema).schema

@@ -26,6 +26,15 @@ def test_skew_join_spreads_hot_keys_and_keeps_all_rows(spark, monkeypatch):
         runtime.skew_join(left, right, ["k"], "full")
 
 
+def test_shuffles_are_sized_by_the_input(spark, tmp_path):
+    spark.range(1000).write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    size = runtime.input_bytes(spark, str(tmp_path / "t"))
+    assert size > 1000
+    assert runtime.size_shuffles(spark, str(tmp_path / "t"), bytes_per_task=size // 50) >= 50
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_dense_index_numbers_every_key_once(spark):
     df = spark.range(500).select(F.when(F.col("id") < 400, "a").otherwise("b").alias("g"), F.concat(F.lit("n"), "id").alias("k"))
     found = runtime.dense_index(df, "g", "k", "i", buckets=16).collect()
@@ -52,8 +61,11 @@ def test_profiles_and_filters(spark):
     assert [r["Title"] for r in tables.drop_short(short, "Plot").collect()] == ["Long"]
 
 
-def test_sample_is_the_same_on_any_partitioning(spark):
+def test_sample_is_the_same_on_any_partitioning(spark, monkeypatch):
     df = spark.range(1000)
+    sorted_limit = rows(tables.seeded_sample(df, "id", 333))
+    monkeypatch.setattr(tables, "SORTED_SAMPLE", 10)
+    assert rows(tables.seeded_sample(df, "id", 333)) == sorted_limit
     first = rows(tables.seeded_sample(df, "id", 50))
     assert first == rows(tables.seeded_sample(df.repartition(7), "id", 50)) and len(first) == 50
     assert tables.seeded_sample(df, "id", 2000).count() == 1000

@@ -67,6 +67,11 @@ def prompt_messages(turns: DataFrame, current: DataFrame, system_text: str, n: i
     return joined.select("conv_id", messages.alias("messages"))
 
 
+def retrieved_rows(results: Column) -> Column:
+    """Rows in all results of a turn, given as an array of arrays; none give 0."""
+    return F.coalesce(F.aggregate(results, F.lit(0), lambda n, r: n + F.greatest(F.size(r), F.lit(0))), F.lit(0))
+
+
 def turn_record(exchange: DataFrame, retrieved: Column, calls: Column) -> DataFrame:
     """One record per exchange: question, answer, calls, whether the catalog was read, rows retrieved."""
     return exchange.select(

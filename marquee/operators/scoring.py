@@ -157,6 +157,19 @@ def hybrid_labels(
     return both.groupBy(key, "label").agg(F.sum("w").alias("score")).filter(F.col("score") >= least)
 
 
+def predicted_by(
+    method: str, vector_labels: DataFrame | None, model_labels: DataFrame | None, key: str, **weights
+) -> DataFrame:
+    """(key, label) of a whole table by ``vector``, ``ml`` or ``hybrid`` prediction."""
+    if method == "vector":
+        return vector_labels.select(key, "label").distinct()
+    if method == "ml":
+        return model_labels.select(key, "label").distinct()
+    if method == "hybrid":
+        return hybrid_labels(vector_labels, model_labels, key, **weights).select(key, "label")
+    raise ValueError(f"unknown method: {method}")
+
+
 METRICS = ["f1_micro", "f1_macro", "f1_weighted", "hamming_loss"]
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions.text import word_count
 from marquee.functions.values import ratio, return_on
-from marquee.runtime import stable_hash
+from marquee.runtime import broadcast_rows, stable_hash
 
 # ---------------------------------------------------------------- profiles
 
@@ -170,14 +170,14 @@ def pair_counts(df: DataFrame, left: str, right: str, k: int) -> DataFrame:
 # ---------------------------------------------------------------- weighted pivots and metrics
 
 
-def weighted_pairs(df: DataFrame, owner: str, labels: str, by: str) -> DataFrame:
-    """Sum of weights of each owner and label, as (owner, label, weight).
+def weighted_pairs(df: DataFrame, owner: str, labels: str, by: str, values: list) -> DataFrame:
+    """Sum of weights of each owner and label of ``values``, as (owner, label, weight).
 
     ``by='owner'`` weighs a row 1/(rows of its owner), ``by='label'`` 1/(rows of its label). The
     weights are constant within a pair, so counts of pairs, owners and labels are all it takes and
     no detail row is shuffled. Rows without an owner count for the label, but give no pair.
     """
-    rows = df.select(F.col(owner).alias("owner"), F.explode(labels).alias("label"))
+    rows = df.select(F.col(owner).alias("owner"), F.explode(labels).alias("label")).filter(F.col("label").isin(values))
     pairs = rows.filter("owner IS NOT NULL").groupBy("owner", "label").agg(F.count(F.lit(1)).alias("n"))
     if by == "owner":
         sizes = (
@@ -187,12 +187,16 @@ def weighted_pairs(df: DataFrame, owner: str, labels: str, by: str) -> DataFrame
         joined = pairs.join(sizes, "owner")
     else:
         sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-        joined = pairs.join(sizes, "label")
+        joined = pairs.join(broadcast_rows(sizes, len(values)), "label")
     return joined.select("owner", "label", ratio(F.col("n"), F.col("size")).alias("weight"))
 
 
 def weighted_pivot(df: DataFrame, owner: str, labels: str, by: str, values: list) -> DataFrame:
-    pairs = weighted_pairs(df, owner, labels, by)
+    """Weighted pairs with owners as rows and ``values`` as columns, 0 for absent pairs.
+
+    An owner none of whose labels is in ``values`` has no row.
+    """
+    pairs = weighted_pairs(df, owner, labels, by, values)
     wide = pairs.groupBy("owner").pivot("label", values).agg(F.sum("weight")).fillna(0.0)
     return wide.select("owner", *[F.round(F.col(f"`{v}`"), 9).alias(str(v)) for v in values])
 

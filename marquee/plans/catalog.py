@@ -277,6 +277,19 @@ def json_parse(spark, folder):
     )
 
 
+@query("""
+    SELECT role, count(*) AS n FROM (SELECT CASE WHEN value < 20 THEN 'Unknown' ELSE 'Male' END AS role FROM events
+    UNION ALL SELECT CASE user_id % 3 WHEN 1 THEN 'Female' WHEN 2 THEN 'Male' ELSE 'Unknown' END FROM events) GROUP BY 1
+""")
+def nested_categories(spark, folder):
+    """Gender distribution over an exploded cast list."""
+    cast = F.concat(
+        F.lit('[{"name":"'), "event_type", F.when(F.col("value") < 20, '"},').otherwise('","gender":2},'),
+        F.lit('{"name":"user","gender":'), (F.col("user_id") % 3).cast("string"), F.lit("}]"))
+    people = table(spark, folder, "events").select(F.explode(credits.parse_objects(cast, credits.CAST_SCHEMA)).alias("p"))
+    return tables.value_counts(people.select(credits.gender_label(F.col("p.gender")).alias("role")), "role")
+
+
 @query("""
     SELECT doc_id, 'The movie titled ''' || doc_id || ''' was directed by ' || source || '. It falls under the ''' || lang
            || ''' genres and was released in ' || n_chars || '. Plot summary: ' || substring(text, 1, 1000) AS body,

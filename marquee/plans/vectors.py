@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marquee.functions import text
-from marquee.operators import scoring, vectors
+from marquee.operators import entities, scoring, vectors
 from marquee.plans.common import query
 from marquee.sources.readers import table
 
@@ -363,3 +363,43 @@ def text_embed(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     rows = vectors.embed(docs, "text", vectors.hashed_encoder(DIM)).select("doc_id", F.posexplode("embedding").alias("pos", "v"))
     return rows.filter("v <> 0").select("doc_id", "pos", F.round("v", 6).alias("value"))
+
+
+HASHED_SQL = rf"""
+    hw AS (SELECT doc_id, 'd' AS kind, unnest(string_split_regex(lower(text), '[ \t\n\r\f\v]+')) AS word FROM documents
+           UNION ALL SELECT item_id, 'q', unnest(string_split_regex(lower(text), '[ \t\n\r\f\v]+')) FROM asks),
+    hm AS (SELECT doc_id, kind, md5(word) AS m FROM hw WHERE word <> ''),
+    hc AS (SELECT doc_id, kind, ('0x' || substring(m, 1, 8))::BIGINT % {DIM} AS pos,
+           sum(CASE WHEN ('0x' || substring(m, 9, 1))::BIGINT < 8 THEN 1 ELSE -1 END)::DOUBLE AS v FROM hm GROUP BY 1, 2, 3),
+    hv AS (SELECT doc_id, kind, pos, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id, kind)) AS v FROM hc QUALIFY v <> 0)
+"""
+
+
+@query(f"""
+    WITH asks AS (SELECT item_id, 'src' || item_id % 20 AS source, 'Find en texts by src' || item_id % 20 || ' like ' || text AS text FROM benchmark),
+    {HASHED_SQL},
+    dots AS (SELECT q.doc_id AS item_id, d.doc_id, sum(q.v * d.v) AS dot FROM hv q JOIN hv d ON q.pos = d.pos AND q.kind = 'q' AND d.kind = 'd' GROUP BY 1, 2),
+    near AS (SELECT item_id, doc_id, round(greatest(2 - 2 * dot, 0), 9) AS d2,
+             row_number() OVER (PARTITION BY item_id ORDER BY round(greatest(2 - 2 * dot, 0), 9), doc_id) AS rank FROM dots QUALIFY rank <= 15),
+    kept AS (SELECT n.item_id, n.doc_id, n.d2, CAST(row_number() OVER (PARTITION BY n.item_id ORDER BY n.rank) AS INTEGER) AS rank
+             FROM near n JOIN documents d USING (doc_id) JOIN asks a USING (item_id)
+             WHERE contains(lower(d.source), a.source) AND contains(lower(d.lang), 'en'))
+    SELECT item_id, doc_id, round(1 - d2 / 100, 6) AS similarity_score, rank FROM kept WHERE rank <= 5
+""")
+def entity_search(spark, folder):
+    """Text queries from end to end: entities tagged, vectors made, 3k neighbours, entity filter, cut to k."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
+    asks = table(spark, folder, "benchmark").select("item_id", F.concat(
+        F.lit("Find en texts by src"), (F.col("item_id") % 20).cast("string"), F.lit(" like "), "text").alias("text"))
+    names = docs.select(F.lit("DIRECTOR").alias("label"), F.col("source").alias("entity")).distinct().unionByName(
+        docs.select(F.lit("GENRE").alias("label"), F.col("lang").alias("entity")).distinct())
+    found = entities.grouped_entities(entities.tag(asks, "item_id", "text", names), "item_id")
+    encode = vectors.hashed_encoder(DIM)
+    corpus = vectors.embed(docs, "text", encode).select(F.col("doc_id").alias("id"), "embedding", "source", "lang")
+    queries = vectors.embed(asks, "text", encode).select(F.col("item_id").alias("qid"), "embedding")
+    near = vectors.with_similarity(vectors.knn(queries, corpus, 15, payload=["source", "lang"]))
+    wanted = near.join(found, near.qid == found.item_id).filter(
+        text.matches_entities(F.col("source"), F.array_distinct("DIRECTOR"))
+        & text.matches_entities(F.col("lang"), F.array_distinct("GENRE")))
+    best = vectors.cut_to(wanted, 5)
+    return best.select("item_id", F.col("id").alias("doc_id"), F.round("similarity_score", 6).alias("similarity_score"), "rank")

@@ -139,3 +139,5 @@ def test_conversations(spark):
     }
     records = conversations.turn_record(turns, F.lit(None).cast("int"), F.col("routed")).filter("turn = 1").first()
     assert (records["calls"], records["database_accessed"], records["num_retrieved"]) == (1, 1, 0)
+    results = spark.createDataFrame([(1, [["a", "b"], ["c"], []]), (2, []), (3, None)], "id int, r array<array<string>>")
+    assert rows(results.select("id", conversations.retrieved_rows(F.col("r")))) == [(1, 3), (2, 0), (3, 0)]

@@ -308,6 +308,10 @@ def test_votes(spark):
     mixed = {r["label"]: round(r["score"], 6) for r in scoring.hybrid_labels(first, second, "id", 0.4, 0.6).collect()}
     assert mixed == {"q": 1.0, "r": 0.6}
     assert scoring.hybrid_labels(first, None, "id").count() == 2
+    by = {m: rows(scoring.predicted_by(m, first, second, "id")) for m in ("vector", "ml", "hybrid")}
+    assert by == {"vector": [(1, "p"), (1, "q")], "ml": [(1, "q"), (1, "r")], "hybrid": [(1, "p"), (1, "q"), (1, "r")]}
+    with pytest.raises(ValueError, match="unknown method"):
+        scoring.predicted_by("guess", first, second, "id")
     hard = spark.createDataFrame([(1, "a", 0.5, 0), (1, "b", 0.4, 1), (1, "c", None, 1)], "id int, label string, score double, prediction int")
     assert [r["label"] for r in scoring.threshold_labels(hard).orderBy("label").collect()] == ["a", "c"]
 

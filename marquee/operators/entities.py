@@ -16,7 +16,7 @@ LABELS = ["DIRECTOR", "CAST", "GENRE"]
 def entity_dictionary(catalog: DataFrame, director: str, cast: str, genres: list[str]) -> DataFrame:
     """(label, entity): distinct directors, cast names longer than two characters, and genres."""
     directors = catalog.select(F.lit("DIRECTOR").alias("label"), strip(F.col(director)).alias("entity"))
-    people = catalog.select(F.lit("CAST").alias("label"), F.explode(split_names(F.col(cast))).alias("entity"))
+    people = catalog.select(F.lit("CAST").alias("label"), F.explode_outer(split_names(F.col(cast))).alias("entity"))
     named = directors.filter(F.length("entity") > 0).unionByName(people.filter(F.length("entity") > 2)).distinct()
     return named.unionByName(genre_rows(catalog.sparkSession, genres))
 
@@ -137,7 +137,7 @@ def tag(queries: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataF
         return queries.select(key).limit(0).selectExpr(
             key, "0 AS start", "0 AS end", "'' AS label", "'' AS surface"
         )
-    words = queries.select(key, F.col(text).alias("_text"), F.split(F.col(text), " ").alias("_words"))
+    words = queries.select(key, F.split(F.col(text), " ").alias("_words"))
     words = words.withColumn("_normal", F.transform("_words", normal_token))
     size = F.size("_words")
     starts = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
@@ -149,7 +149,7 @@ def tag(queries: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataF
             F.array_join(F.slice("_normal", i + 1, F.lit(n)), " ").alias("run"),
         ))
 
-    spans = words.select(key, "_text", F.inline(F.concat(*[runs(n) for n in lengths])))
+    spans = words.select(key, F.inline_outer(F.concat(*[runs(n) for n in lengths])))
     hits = skew_join(spans.filter("run <> ''").select(key, "i", "n", "run"), names, ["run"])
     # runs that touch no other are settled alone, so a long text is no long list
     order = Window.partitionBy(key).orderBy("i", "n")
@@ -166,7 +166,7 @@ def tag(queries: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataF
             F.exists(acc, lambda o: (s["i"] < o["i"] + o["n"]) & (o["i"] < s["i"] + s["n"])), acc
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    chosen = candidates.select(key, F.explode(kept).alias("s"))
+    chosen = candidates.select(key, F.explode_outer(kept).alias("s")).filter("s IS NOT NULL")
     settled = chosen.join(words.select(key, "_words"), key)
     before = F.length(F.array_join(F.slice("_words", F.lit(1), F.col("s.i")), " "))
     raw = F.array_join(F.slice("_words", F.col("s.i") + 1, F.col("s.n")), " ")

@@ -26,7 +26,8 @@ def term_rows(df: DataFrame, key: str, words: Column, bigrams: bool = False) ->
     """
     rows = df.repartition(key).select(key, words.alias("_words"))
     terms = with_bigrams(F.col("_words")) if bigrams else F.col("_words")
-    return rows.select(key, F.explode(terms).alias("term"))
+    # a plain explode would make Spark check the array for rows below the shuffle, and cut words there too
+    return rows.select(key, F.explode_outer(terms).alias("term")).filter("term IS NOT NULL")
 
 
 def term_counts(df: DataFrame, key: str, words: Column, bigrams: bool = False) -> DataFrame:

@@ -34,7 +34,7 @@ def co_edges(df: DataFrame, people: str = "people", top: int = 5) -> DataFrame:
             lambda b: F.struct(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")),
         )
 
-    pairs = df.select(F.inline(F.flatten(F.transform(names, partners))))
+    pairs = df.select(F.inline_outer(F.flatten(F.transform(names, partners))))
     return pairs.filter("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
 

@@ -25,10 +25,10 @@ def tfidf_search(
     that queries use, both sides are cut into blocks of bounded size, and each block pair keeps its
     k best, so no term list is ever joined with all its documents and queries.
     """
-    counts = term_counts(docs, doc_key, doc_terms)
+    # written once: cutting text into words costs more than reading the counts again
+    counts = write_once(term_counts(docs, doc_key, doc_terms))
     n_docs = docs.count()
     idf = vocabulary(counts, F.lit(n_docs), None).withColumn("idf", smooth_idf(F.lit(n_docs), F.col("df")))
-    # written once: it is read for the queries and for the documents
     idf = write_once(idf)
     query_weights = write_once(whole_weights(term_counts(queries, query_key, query_terms), idf, query_key))
     # numbers instead of words go to the blocks; they are written, so they stay what they are

@@ -82,9 +82,8 @@ PAD, UNKNOWN, FIRST_ID = 0, 1, 2
 
 def token_vocabulary(df: DataFrame, text: str, size: int = 30_000) -> DataFrame:
     """(term, id) of the ``size`` most frequent words, numbered from 2 by frequency."""
-    counted = df.select(F.explode(word_tokens(F.col(text), [])).alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    words = df.select(F.explode_outer(word_tokens(F.col(text), [])).alias("term")).filter("term IS NOT NULL")
+    counted = words.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     top = counted.orderBy(F.desc("n"), "term").limit(size)
     place = F.row_number().over(Window.orderBy(F.desc("n"), "term"))
     # the window numbers ``size`` rows at most

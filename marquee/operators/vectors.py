@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -161,10 +162,11 @@ def _place(corpus: DataFrame, pivots: np.ndarray) -> DataFrame:
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            if len(rows):
-                d = np.sqrt(_squared_distances(_stack(rows["v"]), pivots))
+            for start in range(0, len(rows), QUERY_CHUNK):
+                part = rows.iloc[start:start + QUERY_CHUNK]
+                d = np.sqrt(_squared_distances(_stack(part["v"]), pivots))
                 cell = d.argmin(1)
-                yield rows.assign(cell=cell.astype(np.int32), r=d[np.arange(len(rows)), cell])
+                yield part.assign(cell=cell.astype(np.int32), r=d[np.arange(len(part)), cell])
 
     return corpus.mapInPandas(place, schema)
 
@@ -189,14 +191,15 @@ def _visits(queries: DataFrame, placed: DataFrame, pivots: np.ndarray, k: int) -
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            if not len(rows):
-                continue
-            d = np.sqrt(_squared_distances(_stack(rows["v"]), pivots))
-            upper = np.sort(d[:, near_cell] + near_r[None, :], axis=1)
-            bound = upper[:, min(k, upper.shape[1]) - 1] if upper.shape[1] >= k else np.full(len(rows), np.inf)
-            # the slack covers the rounding of the distances
-            reach = (d - max_r[None, :]) <= bound[:, None] + 1e-4
-            yield rows.assign(cells=[np.flatnonzero(m).astype(np.int32).tolist() for m in reach])
+            for start in range(0, len(rows), QUERY_CHUNK):
+                part = rows.iloc[start:start + QUERY_CHUNK]
+                d = np.sqrt(_squared_distances(_stack(part["v"]), pivots))
+                bound = np.full(len(part), np.inf)
+                if len(near_r) >= k:
+                    bound = np.partition(d[:, near_cell] + near_r[None, :], k - 1, axis=1)[:, k - 1]
+                # the slack covers the rounding of the distances
+                reach = (d - max_r[None, :]) <= bound[:, None] + 1e-4
+                yield part.assign(cells=[np.flatnonzero(m).astype(np.int32).tolist() for m in reach])
 
     return queries.mapInPandas(choose, schema).select("qid", "v", F.explode("cells").alias("cell"))
 
@@ -276,20 +279,22 @@ def embed(
     return df.mapInPandas(run, schema)
 
 
+@lru_cache(maxsize=200_000)
+def _number_and_sign(word: str) -> tuple[int, float]:
+    digest = hashlib.md5(word.encode()).hexdigest()
+    return int(digest[:8], 16), 1.0 if int(digest[8], 16) < 8 else -1.0
+
+
 def hashed_encoder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     """Unit vectors of hashed word counts: md5 of the word gives its place and its sign."""
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
-        seen: dict[str, tuple[int, float]] = {}
         for row, text in enumerate(texts):
             for word in re.split(r"[ \t\n\r\f\v]+", text.lower()):
-                if word and word not in seen:
-                    digest = hashlib.md5(word.encode()).hexdigest()
-                    seen[word] = int(digest[:8], 16) % dim, 1.0 if int(digest[8], 16) < 8 else -1.0
                 if word:
-                    place, sign = seen[word]
-                    out[row, place] += sign
+                    number, sign = _number_and_sign(word)
+                    out[row, number % dim] += sign
         norm = np.sqrt((out**2).sum(1, keepdims=True))
         return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 

@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from marquee import runtime
@@ -144,6 +143,7 @@ def test_components_match_union_find(spark, monkeypatch, hot):
     edges = spark.createDataFrame([(min(p), max(p)) for p in pairs], "src long, dst long")
     found = graph.components(edges)
     assert dict(rows(found)) == {n: find(n) for n in parent}
+    assert graph.components(edges.limit(0)).count() == 0
     biggest = {}
     for n in parent:
         biggest.setdefault(find(n), []).append(n)

@@ -2,7 +2,6 @@ import datetime
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from marquee.sources import readers, sinks

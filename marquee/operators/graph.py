@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee import runtime
-from marquee.runtime import broadcast_rows, skew_join, write_once
+from marquee.runtime import broadcast_rows, delete_written, write_once
 
 
 def leading_people(df: DataFrame, film: str, person: str, order: list[Column], n: int = 5) -> DataFrame:
@@ -59,12 +58,13 @@ def subgraph_nodes(edges: DataFrame, k: int = 100) -> DataFrame:
     return joined.withColumn("node_size", F.col("degree") * 10 + 50)
 
 
-def _with_smallest(pairs: DataFrame, n: int) -> DataFrame:
-    """Each pair (a, b) with the smallest b of its a, as m."""
-    smallest = pairs.groupBy("a").agg(F.min("b").alias("m"))
-    if n < runtime.HOT_ROWS:
-        return pairs.join(smallest, "a")
-    return skew_join(pairs, smallest, ["a"])
+def _with_smallest(pairs: DataFrame) -> DataFrame:
+    """Each pair (a, b) with the smallest b of its a, as m.
+
+    The smallest are written first: then both sides of the join are dealt out alike, and adaptive
+    execution can split the pairs of a node that has very many.
+    """
+    return pairs.join(write_once(pairs.groupBy("a").agg(F.min("b").alias("m"))), "a")
 
 
 def _state(pairs: DataFrame) -> tuple[int, int]:
@@ -78,27 +78,28 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce
     and Beyond", 2014) until the pairs no longer change; the number of pairs never exceeds the
     number of edges, and rounds grow with the logarithm of the longest path. Each round is written
-    to the shared folder; only a count and a checksum reach the driver.
+    to the shared folder and the one before it deleted; only a count and a checksum reach the driver.
     """
     pairs = edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b"))
     pairs = write_once(pairs.filter("a <> b").distinct())
     state = _state(pairs)
-    while True:
+    while state[0]:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = (
-            _with_smallest(both, 2 * state[0])
+            _with_smallest(both)
             .filter("b > a")
             .select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
             .distinct()
         )
-        near = _with_smallest(large, state[0])
+        near = _with_smallest(large)
         small = (
             near.select("a", F.col("m").alias("b"))
             .union(near.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
             .distinct()
         )
-        pairs = write_once(small)
+        finished, pairs = pairs, write_once(small)
         previous, state = state, _state(pairs)
+        delete_written(finished)
         if state == previous:
             break
     roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

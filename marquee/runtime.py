@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def local_session(name: str = "marquee", cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(
+    name: str = "marquee", cores: str = "8", shuffle_partitions: int = 8, folder: str | None = None
+) -> SparkSession:
     """A session for tests and the benchmark; a cluster brings its own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
@@ -19,17 +21,18 @@ def local_session(name: str = "marquee", cores: str = "8", shuffle_partitions: i
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.checkpoint.dir", folder or tempfile.mkdtemp(prefix="marquee-"))
         .getOrCreate()
     )
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``. Only a local session may do without one."""
+    """The session's ``spark.checkpoint.dir``; a session on one machine that has none gets a folder of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            if not context.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="marquee-")
         context.setCheckpointDir(folder)
@@ -44,7 +47,16 @@ def write_once(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def delete_written(df: DataFrame) -> None:
+    """Delete the folder of a table of ``write_once`` that nothing reads any more."""
+    spark = df.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 BROADCAST_ROWS = 100_000

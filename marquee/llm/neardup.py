@@ -196,22 +196,8 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float)
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a binary, b binary")
 
 
-def near_duplicates(df: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One row per document: (doc_id, class_id, class_size, kept).
-
-    Documents of equal text are one class. Classes are linked when the weighted Jaccard similarity of
-    their TF-IDF shingles of five words is ``least`` or more; linked classes are one class, named by its smallest
-    doc_id. ``kept`` is true for the document that names the class.
-
-    Each text gets 64 consistent weighted samples in 16 bands of four. Texts that share a band are
-    candidates: first each one with the smallest of its bucket, then, where a bucket still holds several
-    classes, the next eight of the bucket with those of other classes, until no bucket has any left to
-    try. So a bucket of copies costs one comparison a member, and no link is lost between members of a bucket.
-
-    Null and empty texts are equal to each other and to nothing else. Texts under five words are one shingle.
-    Repeated rows are copies. Rows without doc_id get the class of their text; a class without any doc_id has
-    class_id null and keeps all its rows. Other columns play no part.
-    """
+def _classes(df: DataFrame, least: float) -> DataFrame:
+    """(node, class_id, keeper, class_size) of every distinct text; see ``near_duplicates``."""
     spark = df.sparkSession
     prepare(spark)
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
@@ -259,8 +245,37 @@ def near_duplicates(df: DataFrame, least: float = SIMILARITY) -> DataFrame:
         named.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     )
     sizes = write_once(
-        named.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
+        named.groupBy("component").agg(
+            F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("first"), F.sum("copies").alias("class_size")
+        ).select("component", F.col("first.doc_id").alias("class_id"), F.col("first.node").alias("keeper"), "class_size")
     )
-    named = write_once(named.select("node", "component").join(sizes, "component").drop("component"))
-    ids = docs.select(_node().alias("node"), "doc_id").join(named, "node")
+    return write_once(named.select("node", "component").join(sizes, "component").drop("component"))
+
+
+def near_duplicates(df: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """One row per document: (doc_id, class_id, class_size, kept).
+
+    Documents of equal text are one class. Classes are linked when the weighted Jaccard similarity of
+    their TF-IDF shingles of five words is ``least`` or more; linked classes are one class, named by its smallest
+    doc_id. ``kept`` is true for the document that names the class.
+
+    Each text gets 64 consistent weighted samples in 16 bands of four. Texts that share a band are
+    candidates: first each one with the smallest of its bucket, then, where a bucket still holds several
+    classes, the next eight of the bucket with those of other classes, until no bucket has any left to
+    try. So a bucket of copies costs one comparison a member, and no link is lost between members of a bucket.
+
+    Null and empty texts are equal to each other and to nothing else. Texts under five words are one shingle.
+    Repeated rows are copies. Rows without doc_id get the class of their text; a class without any doc_id has
+    class_id null and keeps all its rows. Other columns play no part.
+    """
+    named = _classes(df, least)
+    ids = df.select(_node().alias("node"), F.col("doc_id").cast("long").alias("doc_id")).join(named, "node")
     return ids.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def deduplicate(df: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The rows of ``df`` that stay: of every class of ``near_duplicates`` the one that names it, once."""
+    named = _classes(df, least).filter("node = keeper").select(F.col("node").alias("_llm_node"), F.col("class_id").alias("_llm_class"))
+    rows = df.join(named, _node() == F.col("_llm_node"))
+    rows = rows.filter(F.col("doc_id").cast("long").eqNullSafe(F.col("_llm_class")))
+    return rows.dropDuplicates(["_llm_node"]).drop("_llm_node", "_llm_class")

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 from marquee.llm.common import prepare, text_or_empty
 from marquee.runtime import write_once
@@ -24,6 +25,9 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}")
 
 
+_NO_SPANS = "cast(array() as array<struct<start:bigint,end:bigint,kind:string,live:boolean>>)"
+
+
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, secret) of assignments, access keys and long hex runs, by start and kind."""
     found = []
@@ -70,30 +74,16 @@ def _candidates(df: DataFrame, repository: str, owner: str) -> DataFrame:
 
     rows = df.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col(repository).cast("string").alias("repository"),
-        F.col(owner).cast("string").alias("owner"), text_or_empty().alias("text"),
+        F.col(owner).cast("string").alias("owner"), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text"),
     )
     return rows.mapInPandas(
-        scan, "doc_id long, repository string, owner string, starts array<long>, ends array<long>, "
+        scan, "doc_id long, repository string, owner string, tie long, starts array<long>, ends array<long>, "
         "kinds array<string>, hashes array<string>",
     )
 
 
-def find_secrets(
-    df: DataFrame, repository: str = "doc_id", owner: str = "source", example_owners: int = EXAMPLE_OWNERS
-) -> DataFrame:
-    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, live_spans.
-
-    Candidates are the base spans and, beside them, key-like runs. The hash of each candidate's value is counted
-    over the corpus by distinct repositories and owners: a value that ``example_owners`` or more owners hold is a copied
-    example, one that fewer hold looks live. ``spans`` holds all base spans, and the key-like runs that look
-    live; ``live_spans`` those of ``spans`` that look live. Places are code points, ends exclusive.
-
-    The texts are read once; what is counted and joined is the few candidates. Owners of a value are counted
-    as distinct pairs first, so a value that a third of the corpus holds is combined in every task.
-
-    A null text is empty. Null repositories and owners count as one more value. Documents without spans have empty
-    strings and the sha256 of the empty string. Repeated rows give equal rows each. Other columns play no part.
-    """
+def _judged(df: DataFrame, repository: str, owner: str, example_owners: int) -> tuple[DataFrame, DataFrame]:
+    """All documents with their candidates, and those that have any with each candidate's verdict."""
     prepare(df.sparkSession)
     rows = write_once(_candidates(df, repository, owner))
     none = F.lit("")
@@ -118,8 +108,27 @@ def find_secrets(
             F.element_at("kinds", s["at"] + 1).alias("kind"), s["live"].alias("live"),
         )),
     )
-    empty = rows.filter(F.size("hashes") == 0).select("doc_id", F.expr(
-        "cast(array() as array<struct<start:bigint,end:bigint,kind:string,live:boolean>>)").alias("all"))
+    return rows, marked
+
+
+def find_secrets(
+    df: DataFrame, repository: str = "doc_id", owner: str = "source", example_owners: int = EXAMPLE_OWNERS
+) -> DataFrame:
+    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, live_spans.
+
+    Candidates are the base spans and, beside them, key-like runs. The hash of each candidate's value is counted
+    over the corpus by distinct repositories and owners: a value that ``example_owners`` or more owners hold is a copied
+    example, one that fewer hold looks live. ``spans`` holds all base spans, and the key-like runs that look
+    live; ``live_spans`` those of ``spans`` that look live. Places are code points, ends exclusive.
+
+    The texts are read once; what is counted and joined is the few candidates. Owners of a value are counted
+    as distinct pairs first, so a value that a third of the corpus holds is combined in every task.
+
+    A null text is empty. Null repositories and owners count as one more value. Documents without spans have empty
+    strings and the sha256 of the empty string. Repeated rows give equal rows each. Other columns play no part.
+    """
+    rows, marked = _judged(df, repository, owner, example_owners)
+    empty = rows.filter(F.size("hashes") == 0).select("doc_id", F.expr(_NO_SPANS).alias("all"))
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
 
     def joined(spans):
@@ -139,3 +148,46 @@ def find_secrets(
         F.size(live).cast("long").alias("n_live"), (F.size("all") - F.size(live)).cast("long").alias("n_example"),
         joined(live).alias("live_spans"),
     )
+
+
+def redact(
+    df: DataFrame, repository: str = "doc_id", owner: str = "source", example_owners: int = EXAMPLE_OWNERS, mark: str = "[secret]"
+) -> DataFrame:
+    """``df`` with every live-looking secret of the texts replaced by ``mark``, and n_chars, where there is one, counted anew.
+
+    Texts without a candidate pass as they are and are not shuffled; copied examples stay.
+    """
+    @F.pandas_udf(BooleanType())
+    def suspicious(texts: pd.Series) -> pd.Series:
+        found = []
+        for text in texts:
+            base = base_spans(text)
+            found.append(bool(base or key_spans(text, base)))
+        return pd.Series(found, dtype=bool)
+
+    @F.pandas_udf(StringType())
+    def replaced(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for text, own in zip(texts, spans):
+            end, parts = 0, []
+            for span in sorted(own, key=lambda s: (s["start"], -s["end"])):
+                if span["start"] >= end:
+                    parts += [text[end : span["start"]], mark]
+                elif span["end"] <= end:
+                    continue
+                end = span["end"]
+            out.append("".join(parts) + text[end:])
+        return pd.Series(out, dtype=object)
+
+    marked = _judged(df, repository, owner, example_owners)[1]
+    live = marked.select(
+        F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), F.filter("all", lambda s: s["live"]).alias("_live")
+    ).filter(F.size("_live") > 0).dropDuplicates(["_d", "_t"])
+    seen = df.withColumn("_seen", suspicious(text_or_empty()))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text_or_empty()) == F.col("_t"))
+    dirty = seen.filter("_seen").join(live, same, "left")
+    text = F.when(F.col("_live").isNotNull(), replaced(text_or_empty(), F.coalesce("_live", F.expr(_NO_SPANS)))).otherwise(F.col("text"))
+    dirty = dirty.withColumn("text", text).drop("_d", "_t", "_live", "_seen")
+    if "n_chars" in df.columns:
+        dirty = dirty.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType))
+    return seen.filter("not _seen").drop("_seen").unionByName(dirty)

@@ -2,55 +2,128 @@
 
 from __future__ import annotations
 
+import gc
+import re
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.llm.common import prepare, slices, text_or_empty, texts_of
+from marquee.llm.shingles import word_bounds, word_hashes
 from marquee.runtime import write_once
 
 WINDOW = 4096
 END = 2
 MOST_SOURCES = 100_000
-CACHED_WORDS = 400_000
-_IDS: dict[str, dict[bytes, bytes]] = {}
+CACHED_WORDS = 600_000
+GATHERED_BYTES = 4 << 20
+# the vocabulary's own pattern of runs, and what it is not used for here
+_RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_OTHER = re.compile("[^\x21-\x7e\u00a1-\u024f]")
 
 
-def _encoder(path: str):
-    """A function from a text to its ids as little-endian 32-bit bytes, equal to the tokenizer's own.
+class _Remembered(dict):
+    """Ids by text. When full, the entries that came first stay, as frequent ones come early."""
 
-    White space never lies inside a token of these vocabularies, so the ids of a text are those of its
-    words one after the other; each word is encoded once and remembered, up to a bound.
-    Texts that spell a special token are encoded whole.
-    """
-    from tokenizers import Tokenizer
+    def make_room(self, most: int) -> None:
+        if len(self) > most:
+            first = dict(islice(self.items(), most // 2))
+            self.clear()
+            self.update(first)
 
-    tokenizer = Tokenizer.from_file(path)
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    remembered = _IDS.setdefault(path, {})
 
-    def whole(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+class Encoder:
+    """Ids of texts, equal to the tokenizer's own for each whole text.
 
-    def encode(text: str) -> bytes:
-        if any(s in text for s in special):
-            return whole(text)
-        parts = text.replace("\n", " ").split(" ")
-        missing = [w for w in set(parts) if w not in remembered]
-        if missing:
-            if len(remembered) > CACHED_WORDS:
-                remembered.clear()
-                missing = list(set(parts))
-            for w, e in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                remembered[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([remembered[w] for w in parts])
+    White space separates tokens of these vocabularies, so a text's ids are those of its words one after the
+    other, and a word's those of its runs of letters, digits and signs. The different words of many texts are found by
+    their hashes at once; what is new of them goes through the tokenizer in one call, where every run ends in a token that
+    is marked as a word's end, and is remembered up to a bound. Words with other than Latin characters, and texts
+    that spell a special token, go through it whole.
+    """
 
-    return encode
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.size = max(vocabulary.values(), default=0) + 1
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.by_runs = bool(self.ends.any())
+        self.words, self.runs = _Remembered(), _Remembered()
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(ends) != len(runs):
+            self.runs.update((r, self.whole(r)) for r in runs)
+            return
+        data, start = ids.tobytes(), 0
+        for run, end in zip(runs, ends.tolist()):
+            self.runs[run] = data[start:end]
+            start = end
+
+    def _ids_of_words(self, words: list[bytes]) -> list[bytes]:
+        known, runs = self.words, self.runs
+        found = list(map(known.get, words))
+        new = [i for i, x in enumerate(found) if x is None]
+        texts = [words[i].decode() for i in new]
+        split = [None if _OTHER.search(t) else _RUNS.findall(t.lower()) for t in texts]
+        unknown = list({r for own in split if own for r in own if r not in runs})
+        if unknown:
+            self._learn_runs(unknown)
+        for i, text, own in zip(new, texts, split):
+            found[i] = known[words[i]] = self.whole(text) if own is None else b"".join([runs[r] for r in own])
+        known.make_room(CACHED_WORDS)
+        runs.make_room(CACHED_WORDS)
+        return found
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, each with ``end`` behind it, and where each text's begin."""
+        low = int(offsets[0])
+        part = data[low : int(offsets[-1])]
+        raw = part.tobytes()
+        if not self.by_runs or any(s.encode() in raw for s in self.special):
+            texts = [raw[a - low : b - low].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            ids = [np.append(np.frombuffer(self.whole(t), "<u4"), np.uint32(end)) for t in texts]
+            return np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+        starts, ends, places = word_bounds(data, offsets)
+        _, first, which = np.unique(word_hashes(part, starts, ends), return_index=True, return_inverse=True)
+        gc.disable()  # many short lists and no cycles: collections in between would walk all that is remembered
+        try:
+            own = self._ids_of_words([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
+        finally:
+            gc.enable()
+        pool = np.frombuffer(b"".join(own) + np.array([end], "<u4").tobytes(), "<u4")
+        lengths = np.array([len(x) // 4 for x in own] + [1], np.int64)
+        begins = np.cumsum(lengths) - lengths
+        stream = np.insert(which, places[1:], len(own))  # the end follows each text's words
+        sizes = lengths[stream]
+        to = np.cumsum(sizes)
+        ids = pool[np.arange(int(to[-1])) - np.repeat(to - sizes - begins[stream], sizes)]
+        counts = np.append(0, to)
+        return ids, counts[places + np.arange(len(places))]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def tokenized(df: DataFrame, path: str, end: int = END) -> DataFrame:
@@ -65,26 +138,25 @@ def tokenized(df: DataFrame, path: str, end: int = END) -> DataFrame:
         ids_of = _encoder(vocabulary)
         chunk = TaskContext.get().partitionId()
         seen: dict[str | None, int] = {}
-        mark = np.array([end], "<u4").tobytes()
-        for batch in batches:
-            _, offsets = texts_of(batch.column(2))
-            for first, last in slices(offsets):
+        for batch in _gathered(batches):
+            data, offsets = texts_of(batch.column(2))
+            for first, last in slices(offsets, GATHERED_BYTES):
                 part = batch.slice(first, last - first)
-                ids = [ids_of(t) + mark for t in part.column(2).to_pylist()]
-                counts = np.array([len(x) // 4 for x in ids], np.int64)
+                ids, places = ids_of(data, offsets[first : last + 1], end)
+                counts = np.diff(places)
                 before = []
                 for source, n in zip(part.column(1).to_pylist(), counts.tolist()):
                     before.append(seen.get(source, 0))
                     seen[source] = before[-1] + n
-                # 16 bits an id are enough for vocabularies below 65,536
-                narrow = [np.frombuffer(x, "<u4").astype("<u2").tobytes() if max_id < 65536 else x for x in ids]
+                width = 2 if ids_of.size <= 65536 else 4
+                blob = pa.py_buffer(ids.astype(f"<u{width}").tobytes())
+                bounds = pa.py_buffer((places * width).astype(np.int32).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(np.full(len(ids), chunk)), pa.array(before, pa.int64()),
-                     pa.array(counts), pa.array(narrow, pa.binary())],
+                    [part.column(0), part.column(1), pa.array(np.full(len(counts), chunk)), pa.array(before, pa.int64()),
+                     pa.array(counts), pa.Array.from_buffers(pa.binary(), len(counts), [None, bounds, blob])],
                     names=["doc_id", "source", "chunk", "before", "n", "ids"],
                 )
 
-    max_id = _vocabulary_size(path)
     rows = df.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         text_or_empty().alias("text"),
@@ -92,10 +164,16 @@ def tokenized(df: DataFrame, path: str, end: int = END) -> DataFrame:
     return rows.mapInArrow(encode, "doc_id long, source string, chunk long, before long, n long, ids binary")
 
 
-def _vocabulary_size(path: str) -> int:
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about 4 MB from smaller ones, in order."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= GATHERED_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 class Mixture:
@@ -135,7 +213,7 @@ class Mixture:
     def starts(self, r: int) -> tuple[list[int], list[int]]:
         """For round r (from 0): tokens each queue had served before it, and where its part of the round begins."""
         if r not in self.rounds:
-            if len(self.rounds) > 64:
+            if len(self.rounds) * len(self.totals) > 200_000:
                 self.rounds.clear()
             before, after = self.served(r), self.served(r + 1)
             place, places = sum(before), []
@@ -184,32 +262,31 @@ def pack(df: DataFrame, tokenizer: str, window: int = WINDOW, weights: dict[str
     totals = [r["n"] for r in found]
     given = totals if weights is None else [weights[r["source"]] for r in found]
     place = {r["source"]: i for i, r in enumerate(found)}
-    vocabulary = _vocabulary_size(tokenizer)
+    width = 2 if _encoder(tokenizer).size <= 65536 else 4
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixture = Mixture(totals, given, window)
-        last_round: dict[int, int] = {}
+        turns: dict[int, tuple[int, int, int, int]] = {}  # of each queue: the round last met, and its place
         for batch in batches:
             out: list[tuple] = []
             for doc_id, source, n, first, ids in zip(*[c.to_pylist() for c in batch.columns]):
-                values = np.frombuffer(ids, "<u2" if vocabulary < 65536 else "<u4").astype("<u4").tobytes()
-                s = place[source]
-                done = 0
-                r = last_round.get(s)
-                if r is None or not mixture.starts(r)[0][s] <= first:
-                    r = mixture.round_of(s, first)
+                values = np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()
+                s, done = place[source], 0
+                r, begin, end, start = turns.get(s, (0, 0, 0, 0))
                 while done < n:
                     token = first + done
-                    while mixture.starts(r + 1)[0][s] <= token:
-                        r += 1
-                        if mixture.starts(r + 1)[0][s] == mixture.starts(r)[0][s] and mixture.starts(r)[0][s] <= token:
+                    if not begin <= token < end:
+                        if end and token == end and mixture.starts(r + 2)[0][s] > token:
+                            r += 1
+                        else:
                             r = mixture.round_of(s, token)
-                    before, places = mixture.starts(r)
-                    at = places[s] + token - before[s]
-                    take = min(n - done, mixture.starts(r + 1)[0][s] - token, window - at % window)
+                        before, places = mixture.starts(r)
+                        begin, end, start = before[s], mixture.starts(r + 1)[0][s], places[s]
+                    at = start + token - begin
+                    take = min(n - done, end - token, window - at % window)
                     out.append((doc_id, source, done, take, n, at // window, at % window, values[4 * done : 4 * (done + take)]))
                     done += take
-                last_round[s] = r
+                turns[s] = r, begin, end, start
             if out:
                 names = ["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
                 kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.binary()]

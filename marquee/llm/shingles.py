@@ -23,30 +23,42 @@ def _powers(n: int) -> np.ndarray:
 _POWERS = _powers(256)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts ``data[offsets[i]:offsets[i+1]]``, and where each text's begin.
-
-    A word is a run of bytes other than ASCII white space; ASCII letters are lowered.
-    """
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte of each word and the byte after it, counted from the first text's, and where each text's words begin."""
     low = int(offsets[0])
     part = data[low : int(offsets[-1])]
     bounds = offsets - low
-    space = _SPACE[part]
-    before = np.empty(len(part), bool)
+    word = ~_SPACE[part]
+    first, last = word.copy(), word.copy()
     if len(part):
-        before[0] = True
-        before[1:] = space[:-1]
-        before[bounds[:-1][bounds[:-1] < len(part)]] = True
-    starts = np.flatnonzero(before & ~space)
-    places = np.searchsorted(starts, bounds)
+        first[1:] &= ~word[:-1]
+        last[:-1] &= ~word[1:]
+        inner = bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < len(part))]
+        first[inner] = word[inner]
+        last[inner - 1] = word[inner - 1]
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, bounds)
+
+
+def word_hashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word's bytes, ASCII letters lowered."""
     if not len(starts):
-        return np.zeros(0, np.uint64), places
-    lengths = np.diff(np.append(starts, len(part)))
-    position = np.arange(starts[0], len(part)) - np.repeat(starts, lengths)
-    table = _POWERS if position.max() < len(_POWERS) else _powers(int(position.max()) + 1)
-    values = (_LOWER[part[starts[0] :]] + np.uint64(1)) * table[position]
-    values[space[starts[0] :]] = 0
-    return mix(np.add.reduceat(values, starts - starts[0])), places
+        return np.zeros(0, np.uint64)
+    lengths = ends - starts
+    firsts = np.cumsum(lengths) - lengths
+    position = np.arange(int(lengths.sum())) - np.repeat(firsts, lengths)
+    table = _POWERS if lengths.max() <= len(_POWERS) else _powers(int(lengths.max()))
+    values = (_LOWER[part[position + np.repeat(starts, lengths)]] + np.uint64(1)) * table[position]
+    return mix(np.add.reduceat(values, firsts))
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts ``data[offsets[i]:offsets[i+1]]``, and where each text's begin.
+
+    A word is a run of bytes other than ASCII white space; ASCII letters are lowered.
+    """
+    starts, ends, places = word_bounds(data, offsets)
+    return word_hashes(data[int(offsets[0]) : int(offsets[-1])], starts, ends), places
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ from marquee.runtime import write_once
 IDF_BUCKETS = 1 << 18
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
-LEADERS = 8
+SLOT = 4
 
 
 def _node() -> F.Column:
@@ -196,6 +195,24 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float)
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a binary, b binary")
 
 
+def _meetings(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes to compare, a number that grows with the members and never with a bucket's square.
+
+    ``members``: (band, key, node). Each one meets the smallest of its bucket, and the one after it in a slot of
+    about four that a hash of band and node gives it.
+    """
+    key = ["band", "key"]
+    buckets = write_once(members.groupBy(*key).agg(
+        F.min("node").alias("leader"), F.ceil(F.count(F.lit(1)) / SLOT).alias("slots")
+    ))
+    placed = members.join(buckets, key).withColumn("slot", F.pmod(F.xxhash64("band", "node"), F.col("slots")))
+    after = F.lead("node").over(Window.partitionBy(*key, "slot").orderBy("node"))
+    met = placed.withColumn("next", after).select("node", F.explode(F.array("leader", "next")).alias("other"))
+    return met.filter("node <> other").select(
+        F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")
+    ).distinct()
+
+
 def _classes(df: DataFrame, least: float) -> DataFrame:
     """(node, class_id, keeper, class_size) of every distinct text; see ``near_duplicates``."""
     spark = df.sparkSession
@@ -216,30 +233,25 @@ def _classes(df: DataFrame, least: float) -> DataFrame:
     same = (F.col("node") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_d"))
     texts = write_once(texts.join(chosen, same, "left_semi").select("node", "text").dropDuplicates(["node"]))
 
-    pairs = write_once(shared.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    tried, links, done = [pairs], [write_once(verified(pairs, texts, idf, least))], 1
-    in_bucket = Window.partitionBy("band", "key")
-    ranks = None
+    key = ["band", "key"]
+    tried, links, members = None, None, shared.select(*key, "node")
     while True:
-        classes = components(reduce(DataFrame.unionByName, links).select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        marked = shared.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_buckets = marked.groupBy("band", "key").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")
-        ).filter((F.col("low") < F.col("high")) & (F.col("size") > done)).select("band", "key")
-        marked = write_once(marked.select("band", "key", "node", "component").join(open_buckets, ["band", "key"], "left_semi"))
-        ranks = marked.withColumn("rank", F.row_number().over(in_bucket.orderBy("node")))
-        next_leaders = ranks.filter(F.col("rank") <= done + LEADERS).filter(F.col("rank") > done)
-        next_leaders = next_leaders.select("band", "key", F.col("node").alias("x"), F.col("component").alias("of_x"))
-        pairs = marked.join(next_leaders, ["band", "key"]).filter("component <> of_x")
-        pairs = pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-        pairs = write_once(pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti"))
-        done += LEADERS
-        if pairs.isEmpty():
-            if marked.isEmpty():
-                break
-            continue
-        tried.append(pairs)
-        links.append(write_once(verified(pairs, texts, idf, least)))
+        pairs = _meetings(members)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = write_once(pairs)
+        found = write_once(verified(pairs, texts, idf, least))
+        if links is not None and found.isEmpty():
+            break
+        links = found if links is None else write_once(links.unionByName(found))
+        tried = pairs if tried is None else write_once(tried.unionByName(pairs))
+        classes = write_once(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+        marked = shared.join(classes, "node", "left").select(*key, "node", F.coalesce("component", "node").alias("component"))
+        marked = write_once(marked)
+        counts = marked.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("n"))
+        split = counts.groupBy(*key).agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("classes"))
+        split = write_once(split.filter("classes > 2").select(*key, F.col("main.component").alias("main")))
+        members = write_once(marked.join(split, key).filter("component <> main").select(*key, "node"))
 
     named = write_once(
         named.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -260,9 +272,9 @@ def near_duplicates(df: DataFrame, least: float = SIMILARITY) -> DataFrame:
     doc_id. ``kept`` is true for the document that names the class.
 
     Each text gets 64 consistent weighted samples in 16 bands of four. Texts that share a band are
-    candidates: first each one with the smallest of its bucket, then, where a bucket still holds several
-    classes, the next eight of the bucket with those of other classes, until no bucket has any left to
-    try. So a bucket of copies costs one comparison a member, and no link is lost between members of a bucket.
+    candidates: each meets the smallest of its bucket and, in every band, another one drawn by hash, so comparisons
+    grow with the members and not with the square of a bucket. Those outside the largest class of their bucket meet
+    again among themselves until a round links no more. Links that only join members of one class are not needed.
 
     Null and empty texts are equal to each other and to nothing else. Texts under five words are one shingle.
     Repeated rows are copies. Rows without doc_id get the class of their text; a class without any doc_id has

@@ -46,6 +46,24 @@ def vector(lanes: Column) -> Column:
     return F.concat(exact, low, high, F.array(F.pmod(F.element_at(lanes, EXACT + _PAIRS + 1), F.lit(1 << 32))))
 
 
+def packed(entries: Column) -> Column:
+    """The entries as they are written and shuffled: 32 and 16 bits each, as signed numbers of that width."""
+    def signed(x, bits):
+        return F.when(x >= 1 << (bits - 1), x - (1 << bits)).otherwise(x)
+
+    wide = F.concat(F.slice(entries, 1, EXACT), F.slice(entries, EXACT + COUNTERS + 1, 1))
+    return F.struct(
+        F.transform(wide, lambda x: signed(x, 32).cast("int")).alias("wide"),
+        F.transform(F.slice(entries, EXACT + 1, COUNTERS), lambda x: signed(x, 16).cast("short")).alias("counters"),
+    )
+
+
+def unpacked(name: str) -> Column:
+    wide = F.transform(F.col(name)["wide"], lambda x: F.pmod(x.cast("long"), F.lit(1 << 32)))
+    counters = F.transform(F.col(name)["counters"], lambda x: F.pmod(x.cast("long"), F.lit(1 << 16)))
+    return F.concat(F.slice(wide, 1, EXACT), counters, F.slice(wide, EXACT + 1, 1))
+
+
 def text_form(entries: Column) -> Column:
     def digits(x, n):
         return F.lpad(F.lower(F.hex(x)), n, "0")
@@ -134,7 +152,8 @@ def fingerprint(df: DataFrame) -> DataFrame:
         "doc_id", F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.xxhash64(null, "text").alias("tie"), "text"
     )
     order = _order(rows.select("doc_id", "id", "tie", F.length("text").cast("long").alias("n")))
-    texts = rows.select("id", "tie", "text", F.monotonically_increasing_id().alias("row"))
+    # one exchange of the texts, that both joins below read
+    texts = rows.select("id", "tie", "text", F.monotonically_increasing_id().alias("row")).repartition("id", "tie")
     quarter = F.expr("cast(floor(n / 4) as int)")
     nexts = order.withColumnsRenamed({"id": "_i", "tie": "_t"})
     heads = (
@@ -159,15 +178,17 @@ def fingerprint(df: DataFrame) -> DataFrame:
     sums = items.groupBy(*keys).agg(*[s.alias(f"s{k}") for k, s in enumerate(lane)])
     entries = vector(F.array(*[f"s{k}" for k in range(len(lane))]))
     pair = F.sort_array(F.collect_list(F.struct("which", entries.alias("v"))))
+    own, changed = F.col("p")[0]["v"], F.col("p")[1]["v"]
     found = write_once(
-        sums.groupBy(*keys[:-1]).agg(pair.alias("p"))
-        .select(*keys[:-1], F.col("p")[0]["v"].alias("own"), F.col("p")[1]["v"].alias("changed"))
+        sums.groupBy(*keys[:-1]).agg(pair.alias("p")).select(
+            *keys[:-1], packed(own).alias("own"), packed(changed).alias("changed"),
+            likeness(own, changed).alias("near_edited"),
+        )
     )
     nexts = found.select(F.col("id").alias("next_id"), F.col("tie").alias("next_tie"), F.col("own").alias("after"))
     joined = found.join(nexts.dropDuplicates(["next_id", "next_tie"]), ["next_id", "next_tie"])
     return joined.select(
         "doc_id", F.col("n").alias("n_chars"), F.col("sha").alias("edited_sha256"),
-        text_form(F.col("own")).alias("fingerprint"), text_form(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-        likeness(F.col("own"), F.col("after")).alias("near_next"),
+        text_form(unpacked("own")).alias("fingerprint"), text_form(unpacked("changed")).alias("edited_fingerprint"),
+        "near_edited", likeness(unpacked("own"), unpacked("after")).alias("near_next"),
     )

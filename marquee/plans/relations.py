@@ -79,11 +79,11 @@ def value_counts_topk(spark, folder):
 
 @query("""
     SELECT a.doc_id, a.body AS first_text, b.body AS second_text FROM
-    (SELECT doc_id, lang || source AS body FROM documents WHERE lang <> 'de') a
+    (SELECT doc_id, lang || source AS body FROM documents) a
     JOIN (SELECT doc_id, 'q' || quality AS body FROM labels) b ON a.doc_id = b.doc_id
 """)
 def compare_outputs(spark, folder):
-    docs = table(spark, folder, "documents").filter("lang <> 'de'").select("doc_id", F.concat("lang", "source").alias("body"))
+    docs = table(spark, folder, "documents").select("doc_id", F.concat("lang", "source").alias("body"))
     rated = table(spark, folder, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("body"))
     return joins.compare_outputs(docs, rated, "doc_id", "body", ("first_text", "second_text"))
 
@@ -186,11 +186,11 @@ def group_metrics_roi(spark, folder):
 
 @query("""
     SELECT CAST(year(o_orderdate) AS INTEGER) AS year, round(avg(o_totalprice), 2) AS avg_o_totalprice, count(*) AS n FROM orders
-    WHERE year(o_orderdate) BETWEEN 1960 AND 2000 GROUP BY 1 HAVING count(*) >= 10
+    WHERE year(o_orderdate) BETWEEN 1960 AND 2017 GROUP BY 1 HAVING count(*) >= 10
 """)
 def yearly_metrics(spark, folder):
     rows = table(spark, folder, "orders").select(F.year("o_orderdate").alias("year"), "o_totalprice")
-    found = tables.yearly_metrics(rows, "year", ["o_totalprice"], 10, 1960, 2000)
+    found = tables.yearly_metrics(rows, "year", ["o_totalprice"], 10, 1960, 2017)
     return found.select("year", F.round("avg_o_totalprice", 2).alias("avg_o_totalprice"), "n")
 
 

@@ -322,9 +322,10 @@ def metrics_long(spark, folder):
     return scoring.metrics_long(wide, ["model"], ["f1_micro", "hamming_loss"])
 
 
+LABEL_MODELS = [f"label_{i}" for i in range(10)]
 IMPORTANCE_SQL = f"""
     {CENTROID_SQL}, i AS (SELECT 'label_' || label AS model, 'x' || lpad(CAST(pos - 1 AS VARCHAR), 2, '0') AS feature,
-    round(abs(v), 9) AS importance FROM c WHERE label < 3),
+    round(abs(v), 9) AS importance FROM c),
     top AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY model ORDER BY importance DESC, feature) <= 20),
     sh AS (SELECT *, importance / max(importance) OVER (PARTITION BY model) AS s FROM top)
 """
@@ -332,18 +333,18 @@ IMPORTANCE_SQL = f"""
 
 @query(f"""
     WITH {IMPORTANCE_SQL}
-    SELECT feature, round(coalesce(max(s) FILTER (model = 'label_0'), 0), 6) AS label_0, round(coalesce(max(s) FILTER (model = 'label_1'), 0), 6) AS label_1,
-           round(coalesce(max(s) FILTER (model = 'label_2'), 0), 6) AS label_2, round(sum(s) / 3, 6) AS average_importance
-    FROM sh GROUP BY 1 ORDER BY sum(s) / 3 DESC, feature LIMIT 20
+    SELECT feature, {", ".join(f"round(coalesce(max(s) FILTER (model = '{m}'), 0), 6) AS {m}" for m in LABEL_MODELS)},
+           round(sum(s) / {len(LABEL_MODELS)}, 6) AS average_importance
+    FROM sh GROUP BY 1 ORDER BY sum(s) / {len(LABEL_MODELS)} DESC, feature LIMIT 20
 """)
 def importance_merge(spark, folder):
-    """Feature importance of three labels: how far the label's mean vector leans to each dimension."""
-    means = vectors.centroids(table(spark, folder, "embeddings"), "label", "embedding").filter("label < 3")
+    """Feature importance of all labels: how far each label's mean vector leans to each dimension."""
+    means = vectors.centroids(table(spark, folder, "embeddings"), "label", "embedding")
     rows = means.select(F.concat(F.lit("label_"), "label").alias("model"), F.posexplode("centroid").alias("pos", "v")).select(
         "model", F.concat(F.lit("x"), F.lpad(F.col("pos").cast("string"), 2, "0")).alias("feature"),
         F.round(F.abs("v"), 9).alias("importance"))
-    found = scoring.merge_importances(rows, ["label_0", "label_1", "label_2"])
-    return found.select("feature", *[F.round(c, 6).alias(c) for c in ("label_0", "label_1", "label_2", "average_importance")])
+    found = scoring.merge_importances(rows, LABEL_MODELS)
+    return found.select("feature", *[F.round(c, 6).alias(c) for c in (*LABEL_MODELS, "average_importance")])
 
 
 # ---------------------------------------------------------------- text vectors

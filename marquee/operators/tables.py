@@ -22,7 +22,7 @@ def null_profile(df: DataFrame) -> DataFrame:
         counts.select("_n", F.explode(rows).alias("r"))
         .select(
             "r.column", "r.nulls",
-            F.round(F.lit(100.0) * ratio(F.col("r.nulls"), F.col("_n")), 6).alias("percent"),
+            (F.lit(100.0) * ratio(F.col("r.nulls"), F.col("_n"))).alias("percent"),
         )
         .filter("nulls > 0")
     )
@@ -123,7 +123,7 @@ def pair_shares(df: DataFrame, row: str, col: str) -> DataFrame:
     """
     counted = df.groupBy(row, col).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy(row))
-    return counted.withColumn("share", F.round(ratio(F.col("n"), total), 6))
+    return counted.withColumn("share", ratio(F.col("n"), total))
 
 
 def top_per_group(df: DataFrame, group: str, key: str, k: int) -> DataFrame:
@@ -197,8 +197,7 @@ def weighted_pivot(df: DataFrame, owner: str, labels: str, by: str, values: list
     An owner none of whose labels is in ``values`` has no row.
     """
     pairs = weighted_pairs(df, owner, labels, by, values)
-    wide = pairs.groupBy("owner").pivot("label", values).agg(F.sum("weight")).fillna(0.0)
-    return wide.select("owner", *[F.round(F.col(f"`{v}`"), 9).alias(str(v)) for v in values])
+    return pairs.groupBy("owner").pivot("label", values).agg(F.sum("weight")).fillna(0.0)
 
 
 def group_metrics(df: DataFrame, key: str, budget: str, revenue: str, others: list[str]) -> DataFrame:

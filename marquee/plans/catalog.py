@@ -28,7 +28,8 @@ from marquee.sources.readers import table
 """)
 def null_profile(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "lang")
-    return tables.null_profile(docs.join(table(spark, folder, "labels"), "doc_id", "left"))
+    found = tables.null_profile(docs.join(table(spark, folder, "labels"), "doc_id", "left"))
+    return found.withColumn("percent", F.round("percent", 6))
 
 
 @query("""

@@ -121,7 +121,7 @@ def crosstab(spark, folder):
     FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2)
 """)
 def crosstab_share(spark, folder):
-    return tables.pair_shares(table(spark, folder, "documents"), "source", "lang")
+    return tables.pair_shares(table(spark, folder, "documents"), "source", "lang").withColumn("share", F.round("share", 6))
 
 
 @query("""
@@ -153,12 +153,14 @@ WEIGHT_SQL = """
 
 @query(WEIGHT_SQL.format("o", "owner"))
 def weighted_pivot_by_owner(spark, folder):
-    return tables.weighted_pivot(_lines_with_words(spark, folder), "l_suppkey", "words", "owner", WORDS)
+    found = tables.weighted_pivot(_lines_with_words(spark, folder), "l_suppkey", "words", "owner", WORDS)
+    return found.select("owner", *[F.round(w, 9).alias(w) for w in WORDS])
 
 
 @query(WEIGHT_SQL.format("g", "label"))
 def weighted_pivot_by_label(spark, folder):
-    return tables.weighted_pivot(_lines_with_words(spark, folder), "l_suppkey", "words", "label", WORDS)
+    found = tables.weighted_pivot(_lines_with_words(spark, folder), "l_suppkey", "words", "label", WORDS)
+    return found.select("owner", *[F.round(w, 9).alias(w) for w in WORDS])
 
 
 @query("""
@@ -243,7 +245,7 @@ def joined_shares(spark, folder):
         .join(customers, orders.o_custkey == customers.c_custkey)
         .join(lines, lines.l_orderkey == orders.o_orderkey)
     )
-    return tables.pair_shares(rows, "lang", "segment")
+    return tables.pair_shares(rows, "lang", "segment").withColumn("share", F.round("share", 6))
 
 
 # ---------------------------------------------------------------- graphs

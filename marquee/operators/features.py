@@ -89,7 +89,7 @@ def whole_weights(counts: DataFrame, idf: DataFrame, key: str, sublinear: bool =
 
     ``idf`` has (term, df, idf, ...); its row frequencies tell which terms are hot and must be spread.
     """
-    hot = idf.filter(F.col("df") >= runtime.HOT_ROWS).orderBy(F.desc("df"), "term").limit(runtime.HOT_KEYS).select("term")
+    hot = idf.filter(F.col("df") >= runtime.HOT_ROWS).select("term", F.col("df").alias("_rows"))
     joined = skew_join(counts, idf, ["term"], hot=hot).withColumn("weight", term_weight(sublinear))
     return normalised(joined.drop("tf", "df", "idf"), key)
 

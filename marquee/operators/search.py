@@ -17,9 +17,12 @@ QUERY_BLOCK = 512
 
 def tfidf_search(
     docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, doc_terms: Column, query_terms: Column, k: int,
+    digits: int | None = None,
 ) -> DataFrame:
     """The ``k`` documents of highest cosine for each query, as (query_key, doc_key, score, rank).
 
+    ``digits`` rounds the scores before ranking, for callers whose ties have to be those of rounded numbers.
+
     ``doc_terms`` and ``query_terms`` are arrays of words made from the columns of their table.
     Document frequencies come from the corpus; query terms the corpus does not know are dropped. Documents are reduced to the terms
     that queries use, both sides are cut into blocks of bounded size, and each block pair keeps its
@@ -73,8 +76,10 @@ def tfidf_search(
         for qid, asked_numbers, asked_weights in zip(query_rows["qid"], query_rows["numbers"], query_rows["weights"]):
             wanted = np.zeros(len(known))
             wanted[np.searchsorted(known, asked_numbers)] = asked_weights
-            scores = np.round(np.bincount(row, wanted[place] * weights, len(ids)), 9)
+            scores = np.bincount(row, wanted[place] * weights, len(ids))
             near = np.flatnonzero(scores > 0)
+            if digits is not None:
+                scores = np.round(scores, digits)
             if len(near) > k:
                 near = near[scores[near] >= -np.partition(-scores[near], k - 1)[k - 1]]
             near = near[np.lexsort((ids[near], -scores[near]))][:k]

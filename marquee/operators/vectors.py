@@ -27,20 +27,30 @@ def _stack(series: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in series])
 
 
-def _squared_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Squared L2 distances, rounded so that ties do not depend on the order of additions."""
-    d = (left**2).sum(1)[:, None] + (right**2).sum(1)[None, :] - 2.0 * left @ right.T
-    return np.round(np.maximum(d, 0.0), 9)
+def _squared_distances(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared L2 distances by one matrix product, and a bound on their errors."""
+    squares = (left**2).sum(1)[:, None] + (right**2).sum(1)[None, :]
+    error = squares * (4 * (left.shape[1] + 4) * np.finfo(np.float64).eps)
+    return np.maximum(squares - 2.0 * left @ right.T, 0.0), error
 
 
-def _best_of_block(distance: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k smallest distances, ties by id."""
-    if len(distance) > k:
-        near = np.flatnonzero(distance <= np.partition(distance, k - 1)[k - 1])
-    else:
-        near = np.arange(len(distance))
-    near = near[np.isfinite(distance[near])]
-    return near[np.lexsort((ids[near], distance[near]))][:k]
+def _best_of_block(
+    query: np.ndarray, vectors: np.ndarray, distance: np.ndarray, error: np.ndarray, ids: np.ndarray, k: int, digits: int | None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and distances of the k nearest rows, ties by id.
+
+    Rows that the error bound leaves in question get their squared differences added up one by one in the order of the
+    positions, so a distance does not depend on the block it is computed in.
+    """
+    near = np.flatnonzero(np.isfinite(distance))
+    if len(near) > k:
+        least = np.partition(distance[near] + error[near], k - 1)[k - 1] + (0.0 if digits is None else 10.0**-digits)
+        near = near[distance[near] - error[near] <= least]
+    exact = np.cumsum((vectors[near] - query) ** 2, axis=1)[:, -1] if vectors.shape[1] else np.zeros(len(near))
+    if digits is not None:
+        exact = np.round(exact, digits)
+    order = np.lexsort((ids[near], exact))[:k]
+    return near[order], exact[order]
 
 
 def _pivots(corpus: DataFrame, key: str, vector: str, cells: int) -> np.ndarray:
@@ -59,9 +69,14 @@ def knn(
     payload: list[str] = (),
     exclude_self: bool = False,
     cells: int | None = None,
+    digits: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest corpus rows of every query by squared L2, as (query_key, key, payload, d2, rank).
 
+    Distances are exact to double precision; ``digits`` rounds them before ranking, for callers whose ties have to be
+    those of rounded numbers. A vector that is null, empty or holds a null is no row and no query; vectors of
+    different length are an error. Each input is computed once, as it is written first.
+
     Exact, with a corpus smaller than ``k`` giving fewer rows. Neither side is collected or broadcast:
     both are cut into blocks of bounded size, each block pair is one matrix product that keeps its k
     best, and the bests are merged by rank. On a big corpus, rows belong to the cell of their nearest
@@ -69,24 +84,26 @@ def knn(
     neighbour (Lu et al., "Efficient Processing of k Nearest Neighbor Joins using MapReduce", 2012).
     A cell that holds many rows is just cut into more blocks.
     """
-    corpus = corpus.select(F.col(key).alias("id"), F.col(vector).alias("v"), *payload)
-    queries = queries.select(F.col(query_key).alias("qid"), F.col(vector).alias("v"))
+    whole = (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull())
+    corpus = write_once(corpus.select(F.col(key).alias("id"), F.col(vector).alias("v"), *payload).filter(whole))
+    queries = write_once(queries.select(F.col(query_key).alias("qid"), F.col(vector).alias("v")).filter(whole))
     wanted = k + 1 if exclude_self else k
-    sample = corpus.select(F.size("v").alias("n")).first()
-    if sample is None:
-        dim, sized = 1, 0
-    else:
-        dim, sized = max(sample["n"], 1), corpus.count()
+    counts = [F.count(F.lit(1)).alias("rows"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")]
+    held, asked_for = corpus.agg(*counts).first(), queries.agg(*counts).first()
+    lengths = {r[c] for r in (held, asked_for) if r["rows"] for c in ("least", "most")}
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of different length: {sorted(lengths)}")
+    dim, sized = max(lengths, default=1), held["rows"]
     n_cells = cells or max(1, min(MAX_CELLS, sized // ROWS_PER_CELL))
     spark, most = corpus.sparkSession, max(1024, BLOCK_VALUES // dim)
 
     if n_cells == 1:
         placed, visits = corpus.withColumn("cell", F.lit(0)), queries.withColumn("cell", F.lit(0))
-        corpus_sizes, query_sizes = {0: sized}, {0: queries.count()}
+        corpus_sizes, query_sizes = {0: sized}, {0: asked_for["rows"]}
     else:
         pivots = _pivots(corpus, "id", "v", n_cells)
         placed = write_once(_place(corpus, pivots))
-        visits = write_once(_visits(queries, placed, pivots, wanted))
+        visits = write_once(_visits(queries, placed, pivots, wanted, digits))
         corpus_sizes, query_sizes = _cell_sizes(placed), _cell_sizes(visits)
     per_block = block_rows(spark, sized, most)
     blocks = {c: size // per_block + 1 for c, size in corpus_sizes.items()}
@@ -127,15 +144,16 @@ def knn(
         parts = []
         for start in range(0, len(qids), QUERY_CHUNK):
             chunk = qids[start:start + QUERY_CHUNK]
-            d2 = _squared_distances(asked[start:start + QUERY_CHUNK], vectors)
+            part = asked[start:start + QUERY_CHUNK]
+            near, error = _squared_distances(part, vectors)
             if exclude_self:
-                d2[chunk[:, None] == ids[None, :]] = np.inf
-            picks = [_best_of_block(row, ids, k) for row in d2]
-            at = np.concatenate(picks)
-            which = np.repeat(np.arange(len(chunk)), [len(p) for p in picks])
+                near[chunk[:, None] == ids[None, :]] = np.inf
+            picks = [_best_of_block(q, vectors, d, e, ids, k, digits) for q, d, e in zip(part, near, error)]
+            at = np.concatenate([p[0] for p in picks])
+            which = np.repeat(np.arange(len(chunk)), [len(p[0]) for p in picks])
             found = corpus_rows.iloc[at][["id", *names]].reset_index(drop=True)
             found.insert(0, "qid", chunk[which])
-            found["d2"] = d2[which, at]
+            found["d2"] = np.concatenate([p[1] for p in picks])
             parts.append(found)
         return pd.concat(parts)
 
@@ -164,14 +182,14 @@ def _place(corpus: DataFrame, pivots: np.ndarray) -> DataFrame:
         for rows in batches:
             for start in range(0, len(rows), QUERY_CHUNK):
                 part = rows.iloc[start:start + QUERY_CHUNK]
-                d = np.sqrt(_squared_distances(_stack(part["v"]), pivots))
+                d = np.sqrt(_squared_distances(_stack(part["v"]), pivots)[0])
                 cell = d.argmin(1)
                 yield part.assign(cell=cell.astype(np.int32), r=d[np.arange(len(part)), cell])
 
     return corpus.mapInPandas(place, schema)
 
 
-def _visits(queries: DataFrame, placed: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
+def _visits(queries: DataFrame, placed: DataFrame, pivots: np.ndarray, k: int, digits: int | None = None) -> DataFrame:
     """(qid, v, cell) for the cells that can hold one of the k nearest rows of a query.
 
     From each cell the k smallest and the largest distance to the pivot are read, at most
@@ -187,18 +205,21 @@ def _visits(queries: DataFrame, placed: DataFrame, pivots: np.ndarray, k: int) -
     max_r = np.full(len(pivots), -np.inf)
     for row in largest:
         max_r[row["cell"]] = row["r"]
+    widest = float(np.linalg.norm(pivots, axis=1).max(initial=0.0) + max_r.max(initial=0.0))
     schema = T.StructType([*queries.schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))])
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for start in range(0, len(rows), QUERY_CHUNK):
                 part = rows.iloc[start:start + QUERY_CHUNK]
-                d = np.sqrt(_squared_distances(_stack(part["v"]), pivots))
+                x = _stack(part["v"])
+                d = np.sqrt(_squared_distances(x, pivots)[0])
                 bound = np.full(len(part), np.inf)
                 if len(near_r) >= k:
                     bound = np.partition(d[:, near_cell] + near_r[None, :], k - 1, axis=1)[:, k - 1]
-                # the slack covers the rounding of the distances
-                reach = (d - max_r[None, :]) <= bound[:, None] + 1e-4
+                # the slack covers the errors of the distances, which grow with the lengths of the vectors
+                slack = 1e-5 * (np.linalg.norm(x, axis=1) + widest) + (0.0 if digits is None else 10.0 ** (-digits / 2))
+                reach = (d - max_r[None, :]) <= (bound + slack)[:, None]
                 yield part.assign(cells=[np.flatnonzero(m).astype(np.int32).tolist() for m in reach])
 
     return queries.mapInPandas(choose, schema).select("qid", "v", F.explode("cells").alias("cell"))

@@ -58,7 +58,7 @@ PLAIN_WORDS = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}_]{2,
 def tfidf_search(spark, folder):
     docs, items = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark")
     words = text.word_tokens(F.col("text"), [])
-    found = search.tfidf_search(docs, items, "doc_id", "item_id", words, words, 2)
+    found = search.tfidf_search(docs, items, "doc_id", "item_id", words, words, 2, digits=9)
     return found.select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -75,7 +75,7 @@ def tfidf_field_search(spark, folder):
     of_doc = {"plot": F.col("text"), "origin": F.col("lang"), "director": F.col("source")}
     of_item = {"plot": F.col("text"), "origin": F.lit("en"), "director": F.concat(F.lit("src"), F.col("item_id") % 20)}
     found = search.tfidf_search(
-        docs, items, "doc_id", "item_id", features.field_terms(of_doc), features.field_terms(of_item), 3)
+        docs, items, "doc_id", "item_id", features.field_terms(of_doc), features.field_terms(of_item), 3, digits=9)
     return found.select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 

@@ -26,7 +26,7 @@ def neighbours(spark, folder, k):
     rows = table(spark, folder, "embeddings")
     found = vectors.knn(
         rows.select(F.col("vec_id").alias("qid"), "embedding"), rows.select(F.col("vec_id").alias("id"), "embedding", "label"),
-        k, payload=["label"], exclude_self=True,
+        k, payload=["label"], exclude_self=True, digits=9,
     )
     return vectors.with_similarity(found)
 
@@ -398,7 +398,7 @@ def entity_search(spark, folder):
     encode = vectors.hashed_encoder(DIM)
     corpus = vectors.embed(docs, "text", encode).select(F.col("doc_id").alias("id"), "embedding", "source", "lang")
     queries = vectors.embed(asks, "text", encode).select(F.col("item_id").alias("qid"), "embedding")
-    near = vectors.with_similarity(vectors.knn(queries, corpus, 15, payload=["source", "lang"]))
+    near = vectors.with_similarity(vectors.knn(queries, corpus, 15, payload=["source", "lang"], digits=9))
     wanted = near.join(found, near.qid == found.item_id).filter(
         text.matches_entities(F.col("source"), F.array_distinct("DIRECTOR"))
         & text.matches_entities(F.col("lang"), F.array_distinct("GENRE")))

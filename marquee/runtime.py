@@ -73,25 +73,15 @@ def stable_hash(seed: int, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-HOT_KEYS = 1000
 HOT_ROWS = 200_000
-SALTS = 64
 
 
 def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The at most ``HOT_KEYS`` most frequent keys that hold ``HOT_ROWS`` rows or more.
+    """The keys that hold ``HOT_ROWS`` rows or more, with their count as ``_rows``.
 
-    Counts are combined before the shuffle, so the hot keys cost nothing themselves. Every key left
-    out holds at most 1/HOT_KEYS of the rows.
+    Counts are combined before the shuffle, so the hot keys cost nothing themselves.
     """
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") >= HOT_ROWS)
-        .orderBy(F.desc("_rows"))
-        .limit(HOT_KEYS)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= HOT_ROWS)
 
 
 def skew_join(
@@ -99,25 +89,26 @@ def skew_join(
 ) -> DataFrame:
     """Equi-join on equally named ``keys`` that spreads the left side's hot keys over many tasks.
 
-    Rows of a hot key get a salt on the left; the right side repeats its rows for those keys only,
-    once per salt. All other rows keep salt 0. ``how`` may be inner, left, left_semi or left_anti.
-    ``hot`` names the hot keys where the caller knows the counts already, at most ``HOT_KEYS`` of them.
+    Rows of a hot key get one of as many salts as the key has times ``HOT_ROWS`` rows; the right side repeats its rows for
+    those keys only, once per salt. All other rows keep salt 0. ``how`` may be inner, left, left_semi or left_anti.
+    ``hot`` names the hot keys and their ``_rows`` where the caller knows the counts already. The hot keys are written
+    first: Spark broadcasts them if their size allows, and joins them like any table otherwise.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join: {how}")
-    hot = F.broadcast(hot_keys(left, keys) if hot is None else hot.withColumn("_hot", F.lit(True)))
+    hot = hot_keys(left, keys) if hot is None else hot
+    hot = write_once(hot.select(*keys, F.ceil(F.col("_rows") / HOT_ROWS).alias("_salts")))
     # a salt from the row's content is the same when a lost task runs again; a random one is not
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
-    salt = F.when(F.col("_hot"), spread).otherwise(F.lit(0))
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_salts")), F.lit(0).cast("long"))
+    every = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_salts") - 1, F.lit(0).cast("long")))
 
     def mark(df: DataFrame) -> DataFrame:
         renamed = hot.withColumnsRenamed({k: f"_hot_{k}" for k in keys})
         same = [df[k].eqNullSafe(renamed[f"_hot_{k}"]) for k in keys]
         return df.join(renamed, same, "left").drop(*[f"_hot_{k}" for k in keys])
 
-    salted_left = mark(left).withColumn("_salt", salt).drop("_hot")
-    salted_right = mark(right).withColumn("_salt", F.explode(salts)).drop("_hot")
+    salted_left = mark(left).withColumn("_salt", spread).drop("_salts")
+    salted_right = mark(right).withColumn("_salt", F.explode(every)).drop("_salts")
     return salted_left.join(salted_right, keys + ["_salt"], how).drop("_salt")
 
 

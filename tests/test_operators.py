@@ -20,7 +20,7 @@ def test_skew_join_spreads_hot_keys_and_keeps_all_rows(spark, monkeypatch):
     right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), (None, 4)], "k string, v int")
     for how in ("inner", "left", "left_semi", "left_anti"):
         assert rows(runtime.skew_join(left, right, ["k"], how).select("x")) == rows(left.join(right, "k", how).select("x"))
-    assert [r["k"] for r in runtime.hot_keys(left, ["k"]).collect()] == ["hot"]
+    assert [tuple(r) for r in runtime.hot_keys(left, ["k"]).collect()] == [("hot", 200)]
     with pytest.raises(ValueError):
         runtime.skew_join(left, right, ["k"], "full")
 
@@ -230,6 +230,30 @@ def test_knn_is_exact(spark, monkeypatch, cells):
     assert found.filter("label <> id % 3").count() == 0
 
 
+def test_knn_ranks_small_vectors_and_leaves_out_broken_ones(spark):
+    table = spark.createDataFrame(
+        [(1, [3e-6, 0.0]), (2, [0.0, 2e-6]), (3, [1e-6, 0.0]), (4, None), (5, []), (6, [None, 1.0])], "id long, embedding array<double>")
+    queries = spark.createDataFrame([(0, [1e-6, 1e-7]), (1, None)], "qid long, embedding array<double>")
+    for cells in (1, 2):
+        found = vectors.knn(queries, table, 2, cells=cells).collect()
+        assert sorted((r["qid"], r["id"], r["rank"]) for r in found) == [(0, 1, 2), (0, 3, 1)]
+        assert min(r["d2"] for r in found) == pytest.approx(1e-14)
+    with pytest.raises(ValueError):
+        vectors.knn(queries, spark.createDataFrame([(1, [1.0])], "id long, embedding array<double>"), 1)
+
+
+def test_knn_computes_each_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def encode(texts):
+        seen.add(len(texts))
+        return np.array([[float(len(t)), 1.0] for t in texts])
+
+    table = vectors.embed(spark.createDataFrame([(i, "a" * i) for i in range(40)], "id long, text string"), "text", encode)
+    asked = spark.createDataFrame([(0, [3.0, 1.0])], "qid long, embedding array<double>")
+    assert [r["id"] for r in vectors.knn(asked, table, 1, cells=3).collect()] == [3] and seen.value == 40
+
+
 def test_knn_prunes_cells(spark):
     draw = np.random.default_rng(2)
     table = spark.createDataFrame([(i, (draw.normal(size=2) + 50 * (i % 4)).tolist()) for i in range(200)], "id long, v array<double>")

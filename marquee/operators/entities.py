@@ -67,33 +67,25 @@ def generate_queries(samples: DataFrame, key: str, dictionary: DataFrame, seed:
 
 
 def mark_spans(df: DataFrame, key: str, text: str, picks: str) -> DataFrame:
-    """Add ``entities``: for each of at most two picks, its first occurrence that overlaps no earlier one."""
-    first, second = F.get(picks, F.lit(0)), F.get(picks, F.lit(1))
+    """Add ``entities``: for each pick in order, its first occurrence that overlaps no earlier pick's.
+
+    That occurrence is the first one of the text or the first one after the end of an earlier span.
+    """
     body = F.col(text)
 
-    def span(start: Column, pick: Column) -> Column:
-        return F.struct(
-            start.cast("int").alias("start"), (start + F.length(pick["entity"])).cast("int").alias("end"),
-            pick["label"].alias("label"),
+    def add(spans: Column, pick: Column) -> Column:
+        length = F.length(pick["entity"])
+        froms = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
+        starts = F.transform(froms, lambda at: F.position(pick["entity"], body, at + 1) - 1)
+        clear = F.filter(
+            starts, lambda at: (at >= 0) & ~F.exists(spans, lambda s: (at < s["end"]) & (s["start"] < at + length))
         )
+        start = F.array_min(clear)
+        span = F.struct(start.alias("start"), (start + length).alias("end"), pick["label"].alias("label"))
+        return F.when((length > 0) & start.isNotNull(), F.concat(spans, F.array(span))).otherwise(spans)
 
-    start1 = F.instr(body, first["entity"]) - 1
-    found = df.withColumn("_s1", start1).withColumn("_e1", F.col("_s1") + F.length(first["entity"]))
-    early = F.instr(body, second["entity"]) - 1
-    clear = (early + F.length(second["entity"]) <= F.col("_s1")) | (early >= F.col("_e1"))
-    late = _locate_from(body, second["entity"], F.col("_e1"))
-    start2 = F.when(clear, early).otherwise(late)
-    spans = F.array(
-        F.when(F.col("_s1") >= 0, span(F.col("_s1"), first)),
-        F.when(second.isNotNull() & (start2 >= 0), span(start2, second)),
-    )
-    return found.select(key, text, F.array_sort(F.array_compact(spans)).alias("entities"))
-
-
-def _locate_from(text: Column, part: Column, start: Column) -> Column:
-    """0-based place of ``part`` in ``text`` from 0-based ``start`` on, or -1."""
-    rest = F.instr(F.substr(text, start + 1), part)
-    return F.when(rest > 0, rest - 1 + start).otherwise(-1)
+    none = F.array().cast("array<struct<start:int,end:int,label:string>>")
+    return df.select(key, text, F.array_sort(F.aggregate(picks, none, add)).alias("entities"))
 
 
 def spans_valid(text: Column, entities: Column) -> Column:
@@ -111,15 +103,23 @@ def spans_valid(text: Column, entities: Column) -> Column:
 
 # ---------------------------------------------------------------- tagging
 
-_EDGE = r"^[\s\"'(\[]+|[\s\"'.,!?;:)\]]+$"
+_HEAD = r"^[\s/\"'(\[‘“]+"
+_EDGE = _HEAD + r"|(?:['’]s)?[\s\"'.,!?;:)\]’”]*$"
+_WORD = r"[\s/]*[^\s/]+"
+
+
+def words_of(text: Column) -> Column:
+    """Words cut at white space and slashes, each with what stands before it, so that lengths add up to places."""
+    return F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
 
 
 def normal_token(token: Column) -> Column:
+    """The word in lower case, without quotes, brackets and marks at its ends and without a possessive s."""
     return F.lower(F.regexp_replace(token, _EDGE, ""))
 
 
 def normal_name(name: Column) -> Column:
-    return F.array_join(F.transform(F.split(strip(name), " "), normal_token), " ")
+    return F.array_join(F.transform(words_of(strip(name)), normal_token), " ")
 
 
 def tag(queries: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def tag(queries: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataF
         return queries.select(key).limit(0).selectExpr(
             key, "0 AS start", "0 AS end", "'' AS label", "'' AS surface"
         )
-    words = queries.select(key, F.split(F.col(text), " ").alias("_words"))
+    words = queries.select(key, words_of(F.col(text)).alias("_words"))
     words = words.withColumn("_normal", F.transform("_words", normal_token))
     size = F.size("_words")
     starts = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
@@ -168,11 +168,10 @@ def tag(queries: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataF
     )
     chosen = candidates.select(key, F.explode_outer(kept).alias("s")).filter("s IS NOT NULL")
     settled = chosen.join(words.select(key, "_words"), key)
-    before = F.length(F.array_join(F.slice("_words", F.lit(1), F.col("s.i")), " "))
-    raw = F.array_join(F.slice("_words", F.col("s.i") + 1, F.col("s.n")), " ")
+    before = F.length(F.array_join(F.slice("_words", F.lit(1), F.col("s.i")), ""))
+    raw = F.array_join(F.slice("_words", F.col("s.i") + 1, F.col("s.n")), "")
     surface = F.regexp_replace(raw, _EDGE, "")
-    lead = F.length(raw) - F.length(F.regexp_replace(raw, r"^[\s\"'(\[]+", ""))
-    start = before + F.when(F.col("s.i") > 0, 1).otherwise(0) + lead
+    start = before + F.length(raw) - F.length(F.regexp_replace(raw, _HEAD, ""))
     return settled.select(
         key, start.alias("start"), (start + F.length(surface)).alias("end"), F.col("s.label").alias("label"),
         surface.alias("surface"),

@@ -53,6 +53,26 @@ def test_spans_avoid_overlap(spark):
     assert got == {1: [(2, 10, "DIRECTOR"), (15, 18, "GENRE")], 2: [(2, 10, "DIRECTOR")], 3: [(0, 3, "GENRE"), (5, 13, "DIRECTOR")]}
 
 
+def test_spans_of_any_number_of_picks(spark):
+    names = ["A", "B", "C", "", "A", None]
+    picks = F.array(*[F.struct(F.lit(n).cast("string").alias("entity"), F.lit("CAST").alias("label")) for n in names])
+    df = spark.createDataFrame([(1, "A B C A"), (2, "C"), (3, None)], "id int, text string")
+    found = entities.mark_spans(df.withColumn("picks", picks), "id", "text", "picks")
+    got = {r["id"]: [tuple(s)[:2] for s in r["entities"]] for r in found.collect()}
+    assert got == {1: [(0, 1), (2, 3), (4, 5), (6, 7)], 2: [(0, 1)], 3: []}
+
+
+def test_tagging_of_real_text(spark):
+    names = spark.createDataFrame([("CAST", "Tom Hanks"), ("GENRE", "drama"), ("GENRE", "comedy")], "label string, entity string")
+    df = spark.createDataFrame([
+        (1, "I like\nTom\t Hanks movies"), (2, "films of Tom Hanks's"), (3, "drama/comedy by \u201cTom Hanks\u201d."), (4, "Tom Hanks\u2019s  (drama)"),
+    ], "id int, text string")
+    assert rows(entities.tag(df, "id", "text", names).select("id", "start", "end", "surface")) == [
+        (1, 7, 17, "Tom\t Hanks"), (2, 9, 18, "Tom Hanks"), (3, 0, 5, "drama"), (3, 6, 12, "comedy"), (3, 17, 26, "Tom Hanks"),
+        (4, 0, 9, "Tom Hanks"), (4, 14, 19, "drama"),
+    ]
+
+
 def test_span_validation(spark):
     df = spark.createDataFrame([
         ("Find action movies", [(5, 11, "GENRE")]), ("I love sci-fi films by Ridley Scott", [(7, 13, "GENRE"), (23, 35, "DIRECTOR")]),

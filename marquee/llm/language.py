@@ -187,6 +187,8 @@ def identify(df: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
             languages[first:last], scores[first:last] = shared.value(profile(data, offsets[first : last + 1]))
         return pd.DataFrame({"lang": languages, "score": scores})
 
+    # so marked, Spark does not copy the prediction into a later filter and compute it twice, in twice the workers
+    predict = predict.asNondeterministic()
     names = F.array(*[F.lit(n) for n in model.names])
     known: Column = F.col("text").rlike(r"\p{L}")
     return (

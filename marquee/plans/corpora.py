@@ -200,7 +200,7 @@ def summary_split(spark, folder):
 @query(f"""
     WITH w AS (SELECT doc_id, {PLAIN_WORDS} AS w FROM documents),
     v AS (SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) + 1 AS id FROM (SELECT unnest(w) AS term FROM w) GROUP BY 1
-          QUALIFY id <= 2001),
+          QUALIFY id <= 30001),
     x AS (SELECT doc_id, unnest(w[1:128]) AS term, generate_subscripts(w[1:128], 1) AS pos FROM w),
     y AS (SELECT doc_id, pos, coalesce(v.id, 1) AS id FROM x LEFT JOIN v USING (term)),
     z AS (SELECT doc_id, list(id ORDER BY pos) AS ids FROM y GROUP BY 1)
@@ -208,7 +208,7 @@ def summary_split(spark, folder):
 """)
 def pad_tokens(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    ids = summaries.padded_ids(docs, "doc_id", "text", summaries.token_vocabulary(docs, "text", 2000), 128)
+    ids = summaries.padded_ids(docs, "doc_id", "text", summaries.token_vocabulary(docs, "text"), 128)
     return ids.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 

@@ -18,6 +18,8 @@ IDF_BUCKETS = 1 << 18
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 SLOT = 4
+MET_WHOLE = 3  # members of a bucket of one slot whose pairs all meet: the smallest with both, and those two
+ROUNDING = 1e-6
 
 
 def _node() -> F.Column:
@@ -213,6 +215,75 @@ def _meetings(members: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def prefixes(members: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+    """(node, component, token, weight, rest, total): the rarest shingles of each text, which any similar text shares one of.
+
+    ``members``: (node, component, text). Shingles are put in one order for all texts, rare ones first; ``rest`` is the weight
+    from a shingle on and ``total`` that of the text. Two texts of similarity ``least`` share a weight of at least ``least`` times
+    the greater total, and none of it comes before their first common shingle, so that one has this much rest in both.
+    """
+    shared = members.sparkSession.sparkContext.broadcast(idf)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, hashes, bounds in _rows(batch, "text"):
+                at, tokens, heavy, rests, totals = [], [], [], [], []
+                for i in range(last - first):
+                    own, weights = weighted(hashes[bounds[i] : bounds[i + 1]], shared.value)
+                    order = np.lexsort((own, -shared.value[(own & np.uint64(IDF_BUCKETS - 1)).astype(np.int64)]))
+                    rest = np.cumsum(weights[order][::-1], dtype=np.float64)[::-1]
+                    n = int(np.count_nonzero(rest >= least * (1 - ROUNDING) * rest[0])) if len(rest) else 0
+                    at.append(np.full(n, first + i))
+                    tokens.append(own[order[:n]].view(np.int64))
+                    heavy.append(weights[order[:n]].astype(np.float64))
+                    rests.append(rest[:n])
+                    totals.append(np.full(n, rest[0] if n else 0.0))
+                rows = pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(tokens)),
+                        pa.array(np.concatenate(heavy)), pa.array(np.concatenate(rests)), pa.array(np.concatenate(totals)),
+                    ],
+                    names=["node", "component", "token", "weight", "rest", "total"],
+                )
+
+    return members.select("node", "component", "text").mapInArrow(
+        cut, "node binary, component binary, token long, weight double, rest double, total double"
+    )
+
+
+def _unmet(marked: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+    """Pairs (a, b) of different classes that can be similar, among all texts in buckets left with several classes.
+
+    ``marked``: (band, key, node, component). No bucket is sampled: pairs left out share no shingle that similar texts
+    must share. Buckets of up to ``MET_WHOLE`` members have met in all pairs before.
+    """
+    key = ["band", "key"]
+    left = marked.groupBy(*key).agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")
+    )
+    left = write_once(left.filter((F.col("low") < F.col("high")) & (F.col("n") > MET_WHOLE)).select(*key))
+    nodes = write_once(marked.join(left, key, "left_semi").select("node", "component").distinct())
+    marks = write_once(prefixes(texts.join(nodes, "node"), idf, least))
+    mixed = marks.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = write_once(mixed.filter("low < high").select("token"))
+    marks = write_once(marks.join(mixed, "token", "left_semi"))
+    a, b = (
+        marks.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "weight", "rest", "total")])
+        for side in "ab"
+    )
+    # what two similar texts share is this much of both totals; before their first common shingle there is none of it
+    needed = least / (1 + least) * (1 - ROUNDING) * (F.col("total_a") + F.col("total_b"))
+    pairs = a.join(b, "token").filter(F.col("component_a") < F.col("component_b"))
+    shares = pairs.groupBy("node_a", "node_b").agg(
+        F.max(F.least("rest_a", "rest_b") - needed).alias("first"), F.sum(F.least("weight_a", "weight_b")).alias("both"),
+        F.min(F.col("rest_a") - F.col("weight_a")).alias("after_a"), F.min(F.col("rest_b") - F.col("weight_b")).alias("after_b"),
+        F.first(needed).alias("needed"),
+    )
+    shares = shares.filter((F.col("first") >= 0) & (F.col("both") + F.least("after_a", "after_b") >= F.col("needed")))
+    return shares.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
+
 def _classes(df: DataFrame, least: float) -> DataFrame:
     """(node, class_id, keeper, class_size) of every distinct text; see ``near_duplicates``."""
     spark = df.sparkSession
@@ -253,6 +324,10 @@ def _classes(df: DataFrame, least: float) -> DataFrame:
         split = write_once(split.filter("classes > 2").select(*key, F.col("main.component").alias("main")))
         members = write_once(marked.join(split, key).filter("component <> main").select(*key, "node"))
 
+    unmet = write_once(_unmet(marked, texts, idf, least).join(tried, ["a", "b"], "left_anti"))
+    links = links.unionByName(verified(unmet, texts, idf, least))
+    classes = write_once(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+
     named = write_once(
         named.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     )
@@ -274,7 +349,9 @@ def near_duplicates(df: DataFrame, least: float = SIMILARITY) -> DataFrame:
     Each text gets 64 consistent weighted samples in 16 bands of four. Texts that share a band are
     candidates: each meets the smallest of its bucket and, in every band, another one drawn by hash, so comparisons
     grow with the members and not with the square of a bucket. Those outside the largest class of their bucket meet
-    again among themselves until a round links no more. Links that only join members of one class are not needed.
+    again among themselves until a round links no more. Buckets left with several classes are then settled without
+    sampling: all their texts of different classes are compared that share one of their rarest shingles and enough
+    weight, as similar texts must. Links that only join members of one class are not needed.
 
     Null and empty texts are equal to each other and to nothing else. Texts under five words are one shingle.
     Repeated rows are copies. Rows without doc_id get the class of their text; a class without any doc_id has

@@ -67,6 +67,29 @@ def test_near_duplicates(docs, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_buckets_of_a_shared_passage_are_compared_whole(spark, monkeypatch):
+    passage = prose(6, 60)
+    texts = [" ".join([passage, *(f"own{i}x{j}" for j in range(30))]) for i in range(60)]
+    texts += [t.rsplit(" ", 1 + i % 12)[0] for i, t in enumerate(texts[:50])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(neardup, "bands", lambda docs, idf: docs.select(
+        neardup.F.lit(0).alias("band"), neardup.F.lit(0).cast("long").alias("key"), neardup._node().alias("node")
+    ).distinct())
+    idf = neardup.idf_of(*neardup.document_frequency(df))
+    hashes, bounds = shingles(*texts_of(pa.array(texts)))
+    sets = [dict(zip(*neardup.weighted(hashes[a:b], idf))) for a, b in zip(bounds, bounds[1:])]
+    first = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            both = sum(min(w, sets[b][k]) for k, w in sets[a].items() if k in sets[b])
+            if both >= 0.8 * (sum(sets[a].values()) + sum(sets[b].values()) - both) and first[a] != first[b]:
+                low, high = sorted((first[a], first[b]))
+                first = [low if x == high else x for x in first]
+    assert 10 <= len(texts) - len(set(first)) < 50
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(texts))] == first
+
+
 def test_shards(docs, none):
     rows = sharding.shard(docs, 3).collect()
     assert len(rows) == docs.count()

@@ -1,4 +1,4 @@
-"""Secrets in whole texts, told from copied examples by who owns the texts that hold them (operator 9)."""
+"""Secrets in whole texts, told from copied examples by how many repositories and owners hold them (operator 9)."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from marquee.runtime import write_once
 
 KINDS = ("assign", "access", "hex", "key")
 EXAMPLE_OWNERS = 3
+EXAMPLE_REPOSITORIES = 10
 _ASSIGN = re.compile(
     r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
     r"|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -82,7 +83,9 @@ def _candidates(df: DataFrame, repository: str, owner: str) -> DataFrame:
     )
 
 
-def _judged(df: DataFrame, repository: str, owner: str, example_owners: int) -> tuple[DataFrame, DataFrame]:
+def _judged(
+    df: DataFrame, repository: str, owner: str, example_owners: int, example_repositories: int
+) -> tuple[DataFrame, DataFrame]:
     """All documents with their candidates, and those that have any with each candidate's verdict."""
     prepare(df.sparkSession)
     rows = write_once(_candidates(df, repository, owner))
@@ -98,9 +101,8 @@ def _judged(df: DataFrame, repository: str, owner: str, example_owners: int) ->
     held = rows.filter(F.size("hashes") > 0).withColumn("_row", F.monotonically_increasing_id())
     held = write_once(held)
     spans = held.select("_row", F.posexplode("hashes").alias("at", "hash")).join(known, "hash")
-    verdicts = spans.groupBy("_row").agg(
-        F.sort_array(F.collect_list(F.struct("at", (F.col("owners") < example_owners).alias("live")))).alias("seen")
-    )
+    live = (F.col("owners") < example_owners) & (F.col("repositories") < example_repositories)
+    verdicts = spans.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("at", live.alias("live")))).alias("seen"))
     marked = held.join(verdicts, "_row").withColumn(
         "all",
         F.transform("seen", lambda s: F.struct(
@@ -112,13 +114,15 @@ def _judged(df: DataFrame, repository: str, owner: str, example_owners: int) ->
 
 
 def find_secrets(
-    df: DataFrame, repository: str = "doc_id", owner: str = "source", example_owners: int = EXAMPLE_OWNERS
+    df: DataFrame, repository: str = "doc_id", owner: str = "source", example_owners: int = EXAMPLE_OWNERS,
+    example_repositories: int = EXAMPLE_REPOSITORIES,
 ) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, live_spans.
 
     Candidates are the base spans and, beside them, key-like runs. The hash of each candidate's value is counted
-    over the corpus by distinct repositories and owners: a value that ``example_owners`` or more owners hold is a copied
-    example, one that fewer hold looks live. ``spans`` holds all base spans, and the key-like runs that look
+    over the corpus by distinct repositories and owners: a value that ``example_owners`` or more owners hold, or
+    ``example_repositories`` or more repositories, is a copied example; one that fewer of both hold looks live. Repositories
+    decide where the corpus has too few owners, or one owner holds most of it. ``spans`` holds all base spans, and the key-like runs that look
     live; ``live_spans`` those of ``spans`` that look live. Places are code points, ends exclusive.
 
     The texts are read once; what is counted and joined is the few candidates. Owners of a value are counted
@@ -127,7 +131,7 @@ def find_secrets(
     A null text is empty. Null repositories and owners count as one more value. Documents without spans have empty
     strings and the sha256 of the empty string. Repeated rows give equal rows each. Other columns play no part.
     """
-    rows, marked = _judged(df, repository, owner, example_owners)
+    rows, marked = _judged(df, repository, owner, example_owners, example_repositories)
     empty = rows.filter(F.size("hashes") == 0).select("doc_id", F.expr(_NO_SPANS).alias("all"))
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
 
@@ -151,7 +155,8 @@ def find_secrets(
 
 
 def redact(
-    df: DataFrame, repository: str = "doc_id", owner: str = "source", example_owners: int = EXAMPLE_OWNERS, mark: str = "[secret]"
+    df: DataFrame, repository: str = "doc_id", owner: str = "source", example_owners: int = EXAMPLE_OWNERS, mark: str = "[secret]",
+    example_repositories: int = EXAMPLE_REPOSITORIES,
 ) -> DataFrame:
     """``df`` with every live-looking secret of the texts replaced by ``mark``, and n_chars, where there is one, counted anew.
 
@@ -179,7 +184,7 @@ def redact(
             out.append("".join(parts) + text[end:])
         return pd.Series(out, dtype=object)
 
-    marked = _judged(df, repository, owner, example_owners)[1]
+    marked = _judged(df, repository, owner, example_owners, example_repositories)[1]
     live = marked.select(
         F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), F.filter("all", lambda s: s["live"]).alias("_live")
     ).filter(F.size("_live") > 0).dropDuplicates(["_d", "_t"])

@@ -243,6 +243,16 @@ def test_copied_examples_are_not_live(spark):
     assert (got[0].n_live, got[0].n_example, got[0].n_assign) == (0, 1, 1) and (got[9].n_live, got[9].n_example) == (1, 0)
 
 
+def test_examples_copied_by_one_owner_are_not_live(spark):
+    rows = [(i, f"page {i} token=abcdefgh12345", None if i % 2 else "one") for i in range(40)]
+    rows += [(50 + i, f"note {i} token=zyxwvuts98765", "one") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secrets.find_secrets(df).collect()}
+    assert all((got[i].n_live, got[i].n_example) == ((0, 1) if i < 40 else (1, 0)) for i, *_ in rows)
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert all(clean[i] == (text if i < 40 else text.replace("token=zyxwvuts98765", "[secret]")) for i, text, _ in rows)
+
+
 def test_main_text(spark):
     shared = "<p>one two three four five six seven eight nine ten</p>"
     rows = [(i, f"http://h.org/{i}", f"{shared}<p>{prose(i, 12)}</p>") for i in range(3)]

@@ -263,3 +263,13 @@ def test_main_text(spark):
     got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [got[i] for i in range(3)] == [prose(i, 12) for i in range(3)]
     assert got[10] == html.unescape("A & B\n\nx yz w\n\né&am") and got[11] == got[12] == "" and got[13] == "real"
+
+
+def test_hidden_is_an_attribute():
+    shown = ['<article style="overflow: hidden">', "<div style='overflow: hidden'>", '<div title="the hidden valley">', "<div aria-hidden=false>"]
+    for tag in shown:
+        main, free, _ = pages.blocks(f"{tag}<p>kept</p></{tag[1:].split()[0]}>")
+        assert main + free == ["kept"], tag
+    for tag in ("<div hidden>", '<div class="x" hidden>', "<div hidden=''>", '<p aria-hidden="true">', '<div style="color:red; display : none">'):
+        main, free, beside = pages.blocks(f"<p>kept</p>{tag}gone</{tag[1:].split()[0].strip('>')}>")
+        assert main + free == ["kept"] and beside == ["gone"], tag

@@ -273,3 +273,14 @@ def test_hidden_is_an_attribute():
     for tag in ("<div hidden>", '<div class="x" hidden>', "<div hidden=''>", '<p aria-hidden="true">', '<div style="color:red; display : none">'):
         main, free, beside = pages.blocks(f"<p>kept</p>{tag}gone</{tag[1:].split()[0].strip('>')}>")
         assert main + free == ["kept"] and beside == ["gone"], tag
+
+
+def test_only_what_many_contents_of_a_host_repeat_goes(spark):
+    menu, quote = "<p>one two three four five six seven eight nine ten</p>", " ".join(f"said{i}" for i in range(12))
+    rows = [(i, f"http://copies.org/{i}", f"<p>{prose(9, 30)}</p>") for i in range(5)]
+    rows += [(10 + i, f"http://quotes.org/{i}", f"<p>{prose(20 + i, 20)} {quote if i < 2 else ''}</p>{menu}") for i in range(4)]
+    rows += [(20 + i, None if i % 2 else "nowhere", f"<p>{prose(30 + i, 20)}</p>{menu}") for i in range(4)]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(5)] == [prose(9, 30)] * 5
+    assert [got[10 + i] for i in range(4)] == [f"{prose(20 + i, 20)} {quote}" if i < 2 else prose(20 + i, 20) for i in range(4)]
+    assert all(got[20 + i].startswith(prose(30 + i, 20)) and got[20 + i].endswith("nine ten") for i in range(4))

@@ -25,16 +25,21 @@ _SIGNS, _TIES, _LABELS, _PASSES = 34, 14, 9, 6  # bits of the sort key, 63 in al
 
 
 def passes_for(rows: int, least: float, neighbours: int = NEIGHBOURS, missed: float = MISSED) -> int:
-    """Passes after which a lone pair at the threshold has stayed apart in all of them with probability ``missed``.
+    """Passes after which a pair at the threshold has stayed apart in all of them with probability ``missed``.
 
     Two vectors agree in one random sign with probability 1 - angle / pi, and meet in a pass when they
-    share the prefix that leaves about ``neighbours`` others.
+    share the prefix that leaves about ``neighbours`` others in evenly spread rows; see ``dense_links`` for other rows.
     """
     agree = 1 - math.acos(least) / math.pi
     meet = agree ** max(1.0, math.log2(max(rows, 2) / neighbours))
     return max(2, min(1 << _PASSES, math.ceil(math.log(missed) / math.log(1 - meet)))) if meet < 1 else 2
 
 
+def prefix_signs(rows: int, neighbours: int = NEIGHBOURS) -> int:
+    """Signs of the prefix that ``passes_for`` reckons with, rounded down: a shorter prefix is shared more often."""
+    return min(_SIGNS, max(1, int(math.log2(max(rows, 2) / neighbours)) if rows > neighbours else 1))
+
+
 def _rows(df: DataFrame) -> DataFrame:
     """(vec_id, label, embedding, good): good where the vector can link."""
     good = F.col("label").isNotNull() & (F.size("embedding") > 0) & ~F.exists(
@@ -121,7 +126,8 @@ def links_of(unique: DataFrame, rows: int, least: float = SIMILARITY, width: int
                     yield part.assign(key=_keys(nodes, labels, x, turn, seed))
 
     every = unique.select("node", "label", "unit").mapInPandas(keyed, "node binary, label string, unit binary, key long")
-    keys = write_once(every.select("key", F.lit(1).cast("long").alias("size")))
+    keyed_nodes = write_once(every.select("key", "node"))
+    keys = keyed_nodes.select("key", F.lit(1).cast("long").alias("size"))
     cuts = splitters(keys, cells, rows * turns, 0.1)[0] if cells > 1 else np.zeros(0, np.int64)
     shared = spark.sparkContext.broadcast(cuts)
 
@@ -152,7 +158,73 @@ def links_of(unique: DataFrame, rows: int, least: float = SIMILARITY, width: int
     inner = compared.filter("border = -1").select("src", "dst").filter("src is not null")
     borders = compared.filter(f"border >= 0 and border < {cells - 1} and node is not null")
     outer = borders.groupBy("border").applyInPandas(across, "src binary, dst binary")
-    return write_once(inner.unionByName(outer).distinct())
+    links = write_once(inner.unionByName(outer).distinct())
+    shift = _SIGNS + _TIES - prefix_signs(rows, width)
+    return write_once(links.unionByName(dense_links(keyed_nodes, unique, links, shift, least, width)).distinct())
+
+
+def _forest(x: np.ndarray, least: float, left: int) -> list[tuple[int, int]]:
+    """Pairs (i, j) that hold together what links of cosine ``least`` join among the rows of ``x``.
+
+    Only links between the first ``left`` rows and the others count, or all where ``left`` is 0.
+    """
+    close = x @ x.T >= least
+    if left:
+        close[:left, :left] = False
+        close[left:, left:] = False
+    fresh, out = np.ones(len(x), bool), []
+    for root in range(len(x)):
+        if not fresh[root]:
+            continue
+        fresh[root] = False
+        grown = [root]
+        while grown:
+            i = grown.pop()
+            new = np.flatnonzero(close[i] & fresh)
+            fresh[new] = False
+            out += [(i, int(j)) for j in new]
+            grown += new.tolist()
+    return out
+
+
+def dense_links(
+    keyed: DataFrame, unique: DataFrame, links: DataFrame, shift: int, least: float = SIMILARITY, width: int = NEIGHBOURS,
+    block: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Pairs (src, dst) that join what windows miss in dense parts: runs of one prefix that are longer than a window.
+
+    ``keyed``: (key, node) of all passes; ``shift``: bits of the key behind the prefix. All vectors of such a run are compared in blocks, a matrix
+    product each, unless ``links`` make one component of them. So two vectors with one prefix in any pass are always
+    compared, however many share it, and the chance to miss a pair does not depend on the density. A run of m vectors
+    takes (m / block)^2 / 2 products; a product gives as many pairs as hold its components together, not every link.
+    """
+    spread = keyed.select(F.shiftright("key", shift).alias("run"), "node")
+    long = write_once(spread.groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > width + 1).select("run"))
+    named = write_once(components(links))
+    members = spread.join(long, "run").join(unique.select("node", "label", F.length("unit").alias("bytes")), "node")
+    members = write_once(
+        members.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    )
+    group = ["run", "label", "bytes"]
+    open_runs = members.groupBy(*group).agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / block).alias("blocks")
+    )
+    open_runs = write_once(open_runs.filter("low < high").select(*group, "blocks"))
+    placed = members.join(open_runs, group).withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"first": F.least("own", "other"), "second": F.greatest("own", "other")})
+    dealt = dealt.select(*group, "first", "second", "own", "node").join(unique.select("node", "unit"), "node")
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["own", "node"], kind="stable")
+        first, second = int(frame["first"].iloc[0]), int(frame["second"].iloc[0])
+        x = np.frombuffer(b"".join(frame["unit"]), np.float64).reshape(len(frame), -1)
+        left = int((frame["own"] == first).sum()) if first != second else 0
+        node = frame["node"].tolist()
+        pairs = [sorted((node[i], node[j])) for i, j in _forest(x, least, left)] if first == second or 0 < left < len(x) else []
+        return pd.DataFrame({"src": [p[0] for p in pairs], "dst": [p[1] for p in pairs]}).astype(object)
+
+    return dealt.groupBy(*group, "first", "second").applyInPandas(join, "src binary, dst binary").distinct()
 
 
 def direct_links(members: DataFrame, least: float = SIMILARITY, block: int = BLOCK_ROWS) -> DataFrame:
@@ -194,7 +266,8 @@ def near_vectors(df: DataFrame, least: float = SIMILARITY, width: int = NEIGHBOU
     Vectors are compared only with those of the same label, by cosine in double precision. Equal vectors of a
     label are one node from the start. In every pass the nodes are sorted by label and the concatenated signs of random
     projections, and each is compared with its ``width`` neighbours; the number of passes grows with the logarithm of
-    the rows so that a pair at the threshold is missed once in 10,000. Verified pairs of all passes are united into
+    the rows so that a pair at the threshold is missed once in 10,000. Where more vectors than a window share the prefix
+    of signs that this reckons with, all that share it are compared in blocks. Verified pairs of all passes are united into
     components, named by their smallest vec_id; n_links counts all direct links inside the component.
 
     A vector that is null, empty, zero, or holds a null or non-finite number, and one with a null label, link with

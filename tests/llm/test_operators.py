@@ -125,6 +125,24 @@ def test_vectors(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_of_a_dense_label(spark):
+    draw = np.random.default_rng(8)
+    centre = draw.normal(size=64)
+    centre /= np.linalg.norm(centre)
+    x = centre + draw.normal(size=(3000, 64)) * np.sqrt((1 / 0.95 - 1) / 64)
+    x[2900:] = x[:100] + draw.normal(size=(100, 64)) * np.sqrt(0.035 / 64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    links = np.argwhere(np.triu(x @ x.T >= 0.98, 1))
+    assert 50 <= len(links) <= 200
+    first = list(range(len(x)))
+    for a, b in links:
+        low, high = sorted((first[a], first[b]))
+        first = [low if f == high else f for f in first]
+    df = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: r.component_id for r in vectors.near_vectors(df).collect()}
+    assert [got[i] for i in range(len(x))] == first
+
+
 def test_fingerprints(docs, none):
     rows = fingerprints.fingerprint(docs).collect()
     assert len(rows) == docs.count()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import fingerprints, language, mixing, neardup, packing, pages, quality, secrets, sharding, vectors
+from marquee.llm import codes, fingerprints, language, mixing, neardup, packing, pages, quality, secrets, sharding, vectors
 
 VOCABULARY = "word_bpe_49k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,47 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(_table(spark, sf_dir, "pages"))
+
+
+def _lloyd_sql() -> str:
+    """Plain Lloyd over all parts and entries, one pair of tables a round."""
+    def assigned(k: int) -> str:
+        return f"""a{k} AS MATERIALIZED (
+            SELECT n, p, min(d * 16 + e) % 16 AS e, min(d * 16 + e) // 16 AS d FROM (
+                SELECT n, p, e, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+                FROM parts JOIN b{k} USING (p)
+            ) GROUP BY n, p
+        )"""
+
+    def moved(k: int) -> str:
+        return f"""s{k} AS MATERIALIZED (
+            SELECT p, e, i, sum(v[i]) AS s, count(*) AS n FROM parts JOIN a{k} USING (n, p), range(1, 9) AS r(i) GROUP BY p, e, i
+        ), b{k + 1} AS MATERIALIZED (
+            SELECT p, e, coalesce(m, c) AS c FROM b{k} LEFT JOIN (
+                SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS m FROM s{k} GROUP BY p, e
+            ) USING (p, e)
+        )"""
+
+    rounds = ", ".join(f"{assigned(k)}, {moved(k)}" for k in range(6))
+    return f"""
+        WITH good AS MATERIALIZED (
+            SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v, row_number() OVER (ORDER BY vec_id) AS n
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), parts AS MATERIALIZED (
+            SELECT n, p, v[p * len(v) // 8 + 1 : (p + 1) * len(v) // 8] AS v FROM good, range(8) AS r(p)
+        ), b0 AS MATERIALIZED (
+            SELECT p, n - 1 AS e, v AS c FROM parts WHERE n <= 16
+        ), {rounds}, {assigned(6)}, coded AS (
+            SELECT n, string_agg(lpad(lower(hex(e)), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a6 GROUP BY n
+        ), sha AS (
+            SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b6
+        )
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+        FROM coded JOIN good USING (n), sha
+    """
+
+
+@query(_lloyd_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.vector_codes(_table(spark, sf_dir, "embeddings"))

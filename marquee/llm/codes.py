@@ -25,7 +25,8 @@ class Tree:
     """A balanced tree of boxes over the rows of ``points``, cut at the median of the widest side, level by level.
 
     ``points`` come back in tree order (``order`` says whose they are). Level k has 2^k nodes; node i of a level has
-    the children 2i and 2i + 1 of the next. Every node keeps its corners, its number of points and their sum.
+    the children 2i and 2i + 1 of the next. Every node keeps its corners, its number of points and their sum. With leaves of
+    one point some nodes are empty unless the points are a power of two.
     """
 
     def __init__(self, points: np.ndarray, leaf: int, order: np.ndarray | None = None):
@@ -74,7 +75,7 @@ def assign(tree: Tree, book: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.n
     entries get integer distances to those. All bounds are integers, so no point is decided by rounding.
     """
     entries = Tree(book, 1)
-    index = entries.order
+    index, place = entries.order, entries.starts[-1]
     level = below = 0
     a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
     while True:
@@ -86,16 +87,16 @@ def assign(tree: Tree, book: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.n
         keep = near <= np.minimum.reduceat(far, first)[group]
         if single:
             # the entry nearest to the middle of the box is the one that may beat the others; doubled to stay integer
-            gap = low + high - 2 * entries.points[b]
-            rank = np.lexsort((index[b], (gap * gap).sum(axis=1), group))
+            mine, number = entries.points[place[b]], index[place[b]]
+            gap = low + high - 2 * mine
+            rank = np.lexsort((number, (gap * gap).sum(axis=1), group))
             rival = rank[first][group]
-            mine, others = entries.points[b], entries.points[b[rival]]
-            keep &= ~(_beaten(low, high, mine, others, index[b] > index[b[rival]]) & (b != b[rival]))
+            keep &= ~(_beaten(low, high, mine, mine[rival], number > number[rival]) & (b != b[rival]))
         a, b, group = a[keep], b[keep], group[keep]
         if single:
             alone = np.bincount(group, minlength=len(first))[group] == 1
             if alone.any():
-                yield level, a[alone], index[b[alone]]
+                yield level, a[alone], index[place[b[alone]]]
             a, b = a[~alone], b[~alone]
         if not len(a):
             return
@@ -104,6 +105,8 @@ def assign(tree: Tree, book: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.n
         if not single:
             a, b = np.repeat(a, 2), np.stack([2 * b, 2 * b + 1], axis=1).ravel()
             below += 1
+            some = entries.counts[below][b] > 0
+            a, b = a[some], b[some]
         if level < tree.depth:
             order = np.argsort(np.concatenate([2 * a, 2 * a + 1]), kind="stable")
             a, b = np.concatenate([2 * a, 2 * a + 1])[order], np.concatenate([b, b])[order]
@@ -114,7 +117,7 @@ def assign(tree: Tree, book: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.n
     starts = tree.starts[level]
     nodes, which = np.unique(a, return_inverse=True)
     open_to = np.zeros((len(nodes), len(book)), bool)
-    open_to[which, index[b]] = True
+    open_to[which, index[place[b]]] = True
     sizes = tree.counts[level][nodes]
     places = np.repeat(starts[nodes] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
     gap = tree.points[places][:, None, :] - book[None, :, :]

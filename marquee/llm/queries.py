@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import codes, fingerprints, language, mixing, neardup, packing, pages, quality, secrets, sharding, vectors
+from marquee.llm import codes, fingerprints, language, mixing, neardup, packing, pages, quality, secrets, sharding, spelling, vectors
 
 VOCABULARY = "word_bpe_49k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,6 +104,52 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(_table(spark, sf_dir, "pages"))
 
 
+# crc32 byte by byte over a table of 256 entries; near words by their texts without one letter
+@query("""
+    WITH RECURSIVE crc_table AS MATERIALIZED (
+        SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, b) ORDER BY b) AS t
+        FROM range(256) AS r(b)
+    ), runs AS (
+        SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+    ), lowered AS (
+        SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+        FROM runs WHERE length(run) >= 7 GROUP BY ALL
+    ), hashed AS (
+        SELECT run, n, xor(4294967295, list_reduce(
+            flatten(list_transform(string_split(concat(doc_id, ':', run), ''), lambda ch: CASE WHEN unicode(ch) < 128
+                THEN [unicode(ch)::BIGINT] ELSE [(192 | (unicode(ch) >> 6))::BIGINT, (128 | (unicode(ch) & 63))::BIGINT] END)),
+            lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT)) AS h
+        FROM lowered, crc_table
+    ), edited AS (
+        SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n
+        FROM hashed
+    ), words AS MATERIALIZED (
+        SELECT word, sum(n)::BIGINT AS n FROM edited WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+    ), cut AS MATERIALIZED (
+        SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM words, range(1, 100) AS r(i) WHERE i <= length(word)
+    ), near AS MATERIALIZED (
+        SELECT DISTINCT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.rest = w.word
+        UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.rest = w.word
+    ), best AS (
+        SELECT word, count(*) AS n_near, (max(n))::BIGINT AS m FROM near GROUP BY word
+    ), forms AS MATERIALIZED (
+        SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * w.n THEN m END AS form_n,
+            CASE WHEN m >= 10 * w.n THEN (SELECT min(x.other) FROM near x WHERE x.word = w.word AND x.n = m) END AS form
+        FROM words w LEFT JOIN best USING (word)
+    ), walk AS (
+        SELECT word, word AS here, 0 AS step FROM forms
+        UNION ALL
+        SELECT walk.word, f.form, step + 1 FROM walk JOIN forms f ON f.word = walk.here WHERE f.form IS NOT NULL
+    ), ends AS (
+        SELECT word, arg_max(here, step) AS root FROM walk GROUP BY word
+    )
+    SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+""")
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def _lloyd_sql() -> str:
     """Plain Lloyd over all parts and entries, one pair of tables a round."""
     def assigned(k: int) -> str:

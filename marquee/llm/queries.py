@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import codes, fingerprints, language, mixing, neardup, packing, pages, quality, secrets, sharding, spelling, vectors
+from marquee.llm import bestfit, codes, fingerprints, language, mixing, neardup, packing, pages, quality, secrets, sharding, spelling, vectors
 
 VOCABULARY = "word_bpe_49k.json"
+BYTE_VOCABULARY = "byte_bpe_50k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -104,6 +105,11 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(_table(spark, sf_dir, "pages"))
 
 
+@query()
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY)).drop("ids")
+
+
 # crc32 byte by byte over a table of 256 entries; near words by their texts without one letter
 @query("""
     WITH RECURSIVE crc_table AS MATERIALIZED (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import json
 import zlib
@@ -19,8 +20,9 @@ from marquee.runtime import write_once
 WINDOW = 2048
 END = 0
 CELL_ROWS = 16384
-MOST_CELLS = 1 << 17
+MOST_CELLS = 1 << 15
 BULK = 4
+CLOSE = 128
 # the pattern by which byte-level vocabularies cut a text before merging; a fixed value of the public format
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLACED, DOCUMENT, GAP, CLOSED = 0, 1, 2, 3
@@ -139,29 +141,40 @@ def sweep(rows: list[tuple[int, int, int]], window: int) -> dict[int, list[tuple
     return out
 
 
-def allot(cells: dict[int, dict[int, dict]]) -> list[tuple[int, int, int, int, int, int, int]]:
+def allot(cells: dict[int, dict[int, dict]], window: int) -> list[tuple[int, int, int, int, int, int]]:
     """Which gaps serve the documents that their own cells left, by ranks: the same sweep over cells.
 
-    ``cells``: by cell (from large sizes to small) and kind the number ``n`` of rows left, the ``least`` and ``most`` size. Gives (gap_cell, gap_from,
-    gap_to, doc_cell, doc_from, doc_to, each): every gap of these ranks takes ``each`` documents, one after the other. It is one,
-    or a part of what surely fits where the documents are far smaller.
+    ``cells``: by cell (from large sizes to small) and kind the number ``n`` of rows left, the ``least`` and ``most`` size. Gives
+    (gap_cell, gap_from, doc_cell, doc_from, doc_to, each): the gaps from this rank on take ``each`` documents, one gap after the other.
+
+    Gaps move in runs of ranks with the size that all of a run surely have. A cell's documents take the run that is the
+    successor of their greatest size. If the cell's sizes are close together, the run comes back with what it surely has left, for this
+    cell and the smaller ones; else that is known too badly and has to wait for the next round.
+    ``each`` is one, or a part of what surely fits where the documents are far smaller.
     """
-    stack: list[list[int]] = []
+    runs: list[tuple[int, int, int, int]] = []
     out = []
+    smallest = min((c[DOCUMENT]["least"] for c in cells.values() if DOCUMENT in c), default=0)
     for cell in sorted(cells):
         documents, gaps = cells[cell].get(DOCUMENT), cells[cell].get(GAP)
         done = 0
-        while documents and done < documents["n"] and stack:
-            other, first, last, least = stack[-1]
+        close = documents and documents["most"] - documents["least"] <= window // CLOSE
+        while documents and done < documents["n"]:
+            at = bisect.bisect_left(runs, (documents["most"],))
+            if at == len(runs):
+                break
+            least, other, first, last = runs.pop(at)
             each = max(1, least // (BULK * documents["most"]))
             take = min(-(-(documents["n"] - done) // each), last - first)
             until = min(documents["n"], done + take * each)
-            out.append((other, first, first + take, cell, done, until, each))
-            done, stack[-1][1] = until, first + take
-            if stack[-1][1] == last:
-                stack.pop()
+            out.append((other, first, cell, done, until, each))
+            done = until
+            if first + take < last:
+                bisect.insort(runs, (least, other, first + take, last))
+            if close and least - each * documents["most"] >= smallest:
+                bisect.insort(runs, (least - each * documents["most"], other, first, first + take))
         if gaps:
-            stack.append([cell, 0, gaps["n"], gaps["least"]])
+            bisect.insort(runs, (gaps["least"], cell, 0, gaps["n"]))
     return out
 
 
@@ -186,31 +199,33 @@ def _swept(rows: DataFrame, cells: int, window: int) -> DataFrame:
 
 def _met(swept: DataFrame, allotted: list[tuple], window: int) -> DataFrame:
     """What cells left, after ``allotted`` puts documents into gaps: the columns of ``swept``."""
-    names = ["gap_cell", "gap_from", "gap_to", "doc_cell", "doc_from", "doc_to", "each"]
+    names = ["turn", "gap_cell", "gap_from", "doc_cell", "doc_from", "doc_to", "each"]
     table = swept.sparkSession.createDataFrame(
-        [(i, *a) for i, a in enumerate(allotted)], "allotment int, " + ", ".join(f"{n} long" for n in names)
+        [(i, *a) for i, a in enumerate(allotted)], ", ".join(f"{n} long" for n in names)
+    )
+    here = (F.col("cell") == F.col("doc_cell")) & (F.col("rank") >= F.col("doc_from")) & (F.col("rank") < F.col("doc_to"))
+    documents = swept.filter(F.col("what") == DOCUMENT).join(F.broadcast(table), here, "left")  # runs of gaps of so many cells
+    documents = documents.withColumn("gap_rank", F.expr("gap_from + (rank - doc_from) div each"))
+    gaps = swept.filter(F.col("what") == GAP).withColumns(
+        {"turn": F.lit(-1).cast("long"), "gap_cell": F.col("cell").cast("long"), "gap_rank": F.col("rank")}
     )
-    table = F.broadcast(table)  # two rows a cell at most
-    sides = []
-    for what, side, slot in ((DOCUMENT, "doc", "(rank - doc_from) div each"), (GAP, "gap", "rank - gap_from")):
-        here = (F.col("cell") == F.col(f"{side}_cell")) & (F.col("rank") >= F.col(f"{side}_from")) & (F.col("rank") < F.col(f"{side}_to"))
-        found = swept.filter(F.col("what") == what).join(table, here, "left")
-        sides.append(found.select(*swept.columns, "allotment", F.expr(slot).alias("slot")))
-    left = sides[0].unionByName(sides[1])
-    slot = Window.partitionBy("allotment", "slot")  # one gap and the documents it takes
-    before = slot.orderBy(F.col("what").desc(), "rank").rowsBetween(Window.unboundedPreceding, -1)
+    columns = [*swept.columns, "turn", "gap_cell", "gap_rank"]
+    put = documents.filter("turn is not null").select(*columns).unionByName(gaps.select(*columns))
+    gap = Window.partitionBy("gap_cell", "gap_rank")  # one gap and the documents it takes
+    before = gap.orderBy("turn", "rank").rowsBetween(Window.unboundedPreceding, -1)
     document = F.col("what") == DOCUMENT
-    put = left.filter("allotment is not null").withColumns({
-        "_gap": F.max(F.when(~document, F.col("size"))).over(slot), "_id": F.max(F.when(~document, F.col("id"))).over(slot),
-        "_all": F.sum(F.when(document, F.col("size"))).over(slot), "_before": F.sum(F.when(document, F.col("size"))).over(before),
+    taken = F.when(document, F.col("size")).otherwise(0)
+    put = put.withColumns({
+        "_gap": F.max(F.when(~document, F.col("size"))).over(gap), "_id": F.max(F.when(~document, F.col("id"))).over(gap),
+        "_all": F.sum(taken).over(gap), "_before": F.sum(taken).over(before),
     })
     put = put.select(
         F.when(document, F.lit(PLACED)).otherwise(F.lit(CLOSED)).alias("what"), "cell", "rank", "id",
         F.when(document, F.col("size")).otherwise(F.col("_gap") - F.col("_all")).cast("int").alias("size"),
         F.when(document, F.col("_id")).alias("sequence"),
-        F.when(document, window - F.col("_gap") + F.coalesce("_before", F.lit(0))).cast("int").alias("offset"),
+        F.when(document, window - F.col("_gap") + F.col("_before")).cast("int").alias("offset"),
     )
-    return put.unionByName(left.filter("allotment is null").select(*swept.columns))
+    return put.unionByName(documents.filter("turn is null").select(*swept.columns))
 
 
 def best_fit(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -219,43 +234,47 @@ def best_fit(items: DataFrame, window: int = WINDOW) -> DataFrame:
     Rounds over documents and gaps together: both are sorted by size in ranges, each range is swept from large to
     small so that a document takes the smallest gap that holds it, and what a range leaves is matched between ranges by rank
     (``allot``); cut gaps take part in the next round. When a round places nothing, no document left fits any gap, and as many empty
-    sequences are added as the documents left need at least. A round's exchange has 24 bytes a row; gaps that no
-    document left fits into go out. The driver holds a few numbers a range (at most ``MOST_CELLS``).
+    sequences are added as the documents left need at least: for their tokens, one for each above half a sequence, and one for two
+    above a third. A round's exchange has 16 bytes a row; gaps that no document left fits into go out. The driver
+    holds a few numbers a range (at most ``MOST_CELLS``) and run of gaps.
     """
     spark = items.sparkSession
     state = items.select(F.col("size").cast("int").alias("size"), F.lit(DOCUMENT).alias("kind"), F.col("item").alias("id"))
-    first = items.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens")).first()
-    left, tokens, rows, fresh, stuck = first["n"], first["tokens"], first["n"], 0, True
+    need = [
+        F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("size").alias("most"), F.sum("size").alias("tokens"),
+        F.count(F.when(F.col("size") * 2 > window, 1)).alias("halves"), F.count(F.when(F.col("size") * 3 > window, 1)).alias("thirds"),
+    ]
+    documents = [items.agg(*need).first()]
+    left = rows = documents[0]["n"]
+    fresh, stuck = 0, True
     written: list[DataFrame] = []
     while left:
         if stuck:
-            new = -(-tokens // window)
+            tokens, halves, thirds = (sum(r[c] for r in documents) for c in ("tokens", "halves", "thirds"))
+            new = max(-(-tokens // window), halves, -(-thirds // 2))
             empty = spark.range(fresh, fresh + new).select(F.lit(window).alias("size"), F.lit(GAP).alias("kind"), "id")
             state, fresh, rows = state.unionByName(empty), fresh + new, rows + new
         cells = min(MOST_CELLS, -(-rows // CELL_ROWS))
         swept = write_once(_swept(state, cells, window))
         found: dict[int, dict[int, dict]] = {}
-        for r in swept.groupBy("cell", "what").agg(
-            F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("size").alias("most"), F.sum("size").alias("sum")
-        ).collect():
+        for r in swept.groupBy("cell", "what").agg(*need).collect():
             found.setdefault(r["cell"], {})[r["what"]] = r.asDict()
-        every = [(what, r) for c in found.values() for what, r in c.items()]
-        allotted = allot(found)
+        allotted = allot(found, window)
         after = swept
         written.append(swept)
         if allotted:
             after = write_once(_met(swept, allotted, window))
             written.append(after)
-        stuck = not allotted and not any(what == PLACED for what, _ in every)
-        left = sum(r["n"] for what, r in every if what == DOCUMENT) - sum(a[5] - a[4] for a in allotted)
-        tokens = sum(r["sum"] for what, r in every if what == DOCUMENT)
-        least = min((r["least"] for what, r in every if what == DOCUMENT), default=window)
+        documents = [c[DOCUMENT] for c in found.values() if DOCUMENT in c]
+        stuck = not allotted and not any(PLACED in c for c in found.values())
+        left = sum(r["n"] for r in documents) - sum(until - done for _, _, _, done, until, _ in allotted)
+        rows = left + sum(c[what]["n"] for c in found.values() for what in (GAP, CLOSED) if what in c)
         open_rows = after.filter(F.col("what") != PLACED)
         if allotted:
             open_rows = open_rows.unionByName(swept.filter(F.col("what") == CLOSED))
         kind = F.when(F.col("what") == DOCUMENT, F.lit(DOCUMENT)).otherwise(F.lit(GAP))
-        state = open_rows.filter((F.col("what") == DOCUMENT) | (F.col("size") >= least)).select("size", kind.alias("kind"), "id")
-        rows = left + sum(r["n"] for what, r in every if what in (GAP, CLOSED))
+        least = min((r["least"] for r in documents), default=window)
+        state = open_rows.filter(F.col("size") >= least).select("size", kind.alias("kind"), "id")
     placed = items.select("item", F.lit(0).cast("long").alias("sequence"), F.lit(0).alias("offset")).limit(0)
     for table in written:
         own = table.filter(F.col("what") == PLACED)

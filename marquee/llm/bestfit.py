@@ -193,8 +193,9 @@ def _swept(rows: DataFrame, cells: int, window: int) -> DataFrame:
                     [pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in SWEPT.split(", ")]
                 )
 
-    ordered = rows.select("size", "kind", "id").repartitionByRange(cells, *order).sortWithinPartitions(*order)
-    return ordered.mapInArrow(run, SWEPT)
+    rows = rows.select("size", "kind", "id")
+    dealt = rows.repartitionByRange(cells, *order) if cells > 1 else rows.coalesce(1)
+    return dealt.sortWithinPartitions(*order).mapInArrow(run, SWEPT)
 
 
 def _met(swept: DataFrame, allotted: list[tuple], window: int) -> DataFrame:

@@ -10,12 +10,14 @@ from marquee.runtime import write_once
 
 EXACT = 8
 COUNTERS = 128
-RUNS = r"(?:[^\s]++[^\S\n]++){0,4}[^\s]++"
+# a run ends with a word whose last sign is one of these, every fourth of ASCII, or with its line or 16th word: where it ends does
+# not depend on what comes before, so a word put in or taken out changes two runs at most
+RUNS = r"(?:[^\s]++(?<![$(,048<@DHLPTX\\`dhlptx|])[^\S\n]++){0,15}[^\s]++"
 _PAIRS = COUNTERS // 2
 
 
 def _items(text: Column) -> Column:
-    """Paragraphs of a text (lines that are not blank), and the runs of up to five words they are made of."""
+    """Paragraphs of a text (lines that are not blank), and the runs of words they are made of."""
     paragraphs = F.filter(F.split(text, "\n"), lambda p: F.trim(p) != "")
     runs = F.regexp_extract_all(text, F.lit(RUNS), F.lit(0))
     return F.concat(
@@ -92,16 +94,18 @@ def likeness(a: Column, b: Column) -> Column:
     Each counter counts the runs whose hash has a bit set; twice it less the number of runs is a sum of random signs,
     and the mean product of two such sums estimates the size of the common part.
     """
-    def signs(v):
-        n = F.element_at(v, EXACT + COUNTERS + 1)
-        return F.transform(F.slice(v, EXACT + 1, COUNTERS), lambda c: (2 * c - n).cast("double"))
-
     def total(products):
-        return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
-
-    x, y = signs(a), signs(b)
-    both = total(F.zip_with(x, y, lambda p, q: p * q))
-    each = total(F.transform(x, lambda p: p * p)) + total(F.transform(y, lambda q: q * q))
+        return F.aggregate(products, F.lit(0).cast("long"), lambda s, x: s + x).cast("double")
+
+    # a lambda holds no more than its own argument: what stands inside is computed again for every entry
+    x, y = (F.slice(v, EXACT + 1, COUNTERS) for v in (a, b))
+    n, m = (F.element_at(v, EXACT + COUNTERS + 1).cast("double") for v in (a, b))
+    sx, sy = total(x), total(y)
+    # sums of (2c - n)(2d - m), (2c - n)^2 and (2d - m)^2 over the counters
+    both = 4 * total(F.zip_with(x, y, lambda p, q: p * q)) - 2 * m * sx - 2 * n * sy + COUNTERS * n * m
+    own = 4 * total(F.transform(x, lambda p: p * p)) - 4 * n * sx + COUNTERS * n * n
+    other = 4 * total(F.transform(y, lambda q: q * q)) - 4 * m * sy + COUNTERS * m * m
+    each = own + other
     close = F.when(each > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * both / each))).otherwise(0.0)
     return F.when(a == b, F.lit(1.0)).otherwise(close)
 
@@ -135,7 +139,7 @@ def fingerprint(df: DataFrame) -> DataFrame:
 
     A fingerprint is a wide vector summed over the paragraphs of the whole text, modulo powers of two: it does
     not depend on their order, and ``combine`` adds or takes away paragraphs without the text. Eight lanes of hashes of whole
-    paragraphs tell multisets of paragraphs apart; 128 counters of hash bits of the paragraphs' runs of up to five words
+    paragraphs tell multisets of paragraphs apart; 128 counters of hash bits of the paragraphs' runs of words (see ``RUNS``)
     let ``likeness`` estimate how much two texts share.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many of the next

@@ -19,6 +19,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 SLOT = 4
 MET_WHOLE = 3  # members of a bucket of one slot whose pairs all meet: the smallest with both, and those two
+MET_BLOCK = 256  # texts of one side of a group that meets in a task
+MET_MARKS = 1 << 21
 ROUNDING = 1e-6
 
 
@@ -215,73 +217,127 @@ def _meetings(members: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def prefixes(members: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
-    """(node, component, token, weight, rest, total): the rarest shingles of each text, which any similar text shares one of.
-
-    ``members``: (node, component, text). Shingles are put in one order for all texts, rare ones first; ``rest`` is the weight
-    from a shingle on and ``total`` that of the text. Two texts of similarity ``least`` share a weight of at least ``least`` times
-    the greater total, and none of it comes before their first common shingle, so that one has this much rest in both.
-    """
-    shared = members.sparkSession.sparkContext.broadcast(idf)
+def shingle_rows(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(node, token, weight) of every distinct shingle of ``texts`` (node, text)."""
+    shared = texts.sparkSession.sparkContext.broadcast(idf)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, hashes, bounds in _rows(batch, "text"):
-                at, tokens, heavy, rests, totals = [], [], [], [], []
-                for i in range(last - first):
-                    own, weights = weighted(hashes[bounds[i] : bounds[i + 1]], shared.value)
-                    order = np.lexsort((own, -shared.value[(own & np.uint64(IDF_BUCKETS - 1)).astype(np.int64)]))
-                    rest = np.cumsum(weights[order][::-1], dtype=np.float64)[::-1]
-                    n = int(np.count_nonzero(rest >= least * (1 - ROUNDING) * rest[0])) if len(rest) else 0
-                    at.append(np.full(n, first + i))
-                    tokens.append(own[order[:n]].view(np.int64))
-                    heavy.append(weights[order[:n]].astype(np.float64))
-                    rests.append(rest[:n])
-                    totals.append(np.full(n, rest[0] if n else 0.0))
-                rows = pa.array(np.concatenate(at))
+                own = [weighted(hashes[bounds[i] : bounds[i + 1]], shared.value) for i in range(last - first)]
+                rows = pa.array(first + np.repeat(np.arange(last - first), [len(t) for t, _ in own]))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(tokens)),
-                        pa.array(np.concatenate(heavy)), pa.array(np.concatenate(rests)), pa.array(np.concatenate(totals)),
-                    ],
-                    names=["node", "component", "token", "weight", "rest", "total"],
+                    [batch.column(0).take(rows), pa.array(np.concatenate([t for t, _ in own]).view(np.int64)),
+                     pa.array(np.concatenate([w for _, w in own]).astype(np.float64))],
+                    names=["node", "token", "weight"],
                 )
 
-    return members.select("node", "component", "text").mapInArrow(
-        cut, "node binary, component binary, token long, weight double, rest double, total double"
+    return texts.select("node", "text").mapInArrow(cut, "node binary, token long, weight double")
+
+
+def prefixes(texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+    """(node, total, marks): the rarest shingles of each text, one of which it shares with any similar text.
+
+    Shingles are put in one order for all ``texts`` (node, text): by how many of these texts hold them, counted exactly, rare
+    ones first. A mark is (token, weight, rest), ``rest`` the weight from this shingle on. Two texts of similarity ``least`` share
+    a weight of at least ``least`` times the greater total, and none of it comes before their first common shingle, so that
+    one has this much rest in both. Shingles of one text only are in the order and make no mark.
+    """
+    rows = write_once(shingle_rows(texts, idf))
+    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("node").orderBy("n", "token")
+    ranked = rows.join(counts, "token").withColumns({
+        "total": F.sum("weight").over(Window.partitionBy("node")),
+        "before": F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
+    }).withColumn("rest", F.col("total") - F.col("before"))
+    marks = ranked.filter((F.col("n") > 1) & (F.col("rest") >= least * (1 - ROUNDING) * F.col("total")))
+    return marks.groupBy("node").agg(
+        F.first("total").alias("total"), F.collect_list(F.struct("token", "weight", "rest")).alias("marks")
     )
 
 
+def _similar_enough(left: list[dict], right: list[dict], least: float) -> np.ndarray:
+    """Places (i, j) of rows of prefixes that may be similar: they share marks, and weight enough may be shared in all."""
+    sides = []
+    for rows in (left, right):
+        sizes = [len(r["marks"]["token"]) for r in rows]
+        fields = [np.concatenate([r["marks"][f] for r in rows] or [[]]) for f in ("token", "weight", "rest")]
+        sides.append((np.repeat(np.arange(len(rows)), sizes), *fields, np.array([r["total"] for r in rows])))
+    (at, token, weight, rest, total), (at_r, token_r, weight_r, rest_r, total_r) = sides
+    order = np.argsort(token_r, kind="stable")
+    at_r, token_r, weight_r, rest_r = at_r[order], token_r[order], weight_r[order], rest_r[order]
+    low, high = np.searchsorted(token_r, token, "left"), np.searchsorted(token_r, token, "right")
+    shape = len(left) * len(right)
+    first, both = np.zeros(shape), np.zeros(shape)
+    after, after_r = np.full(shape, np.inf), np.full(shape, np.inf)
+    ends = np.cumsum(high - low)
+    done = 0
+    while done < len(token):  # so many shared marks at a time
+        until = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + MET_MARKS, "right")))
+        n = (high - low)[done:until]
+        mine = np.repeat(np.arange(done, until), n)
+        other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[done:until], n)
+        pair = at[mine] * len(right) + at_r[other]
+        np.maximum.at(first, pair, np.minimum(rest[mine], rest_r[other]))
+        both += np.bincount(pair, np.minimum(weight[mine], weight_r[other]), shape)
+        np.minimum.at(after, pair, (rest - weight)[mine])
+        np.minimum.at(after_r, pair, (rest_r - weight_r)[other])
+        done = until
+    # what two similar texts share is this much of both totals; before their first common shingle there is none of it
+    needed = least / (1 + least) * (1 - ROUNDING) * (total[:, None] + total_r[None, :]).ravel()
+    enough = (both > 0) & (first >= needed) & (both + np.minimum(after, after_r) >= needed)
+    return np.stack(np.divmod(np.flatnonzero(enough), max(1, len(right))), axis=1)
+
+
 def _unmet(marked: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
-    """Pairs (a, b) of different classes that can be similar, among all texts in buckets left with several classes.
+    """Pairs (a, b) of different classes that can be similar, in all buckets left with several classes.
 
     ``marked``: (band, key, node, component). No bucket is sampled: pairs left out share no shingle that similar texts
-    must share. Buckets of up to ``MET_WHOLE`` members have met in all pairs before.
+    must share, or too little weight. The members outside the largest class of a bucket meet each other and the largest class in
+    blocks, one group of at most two blocks a task; shared shingles are matched inside the task, so that the rows dealt
+    out grow with the members and only pairs that may be similar leave it. Buckets of up to ``MET_WHOLE`` members have met in all pairs before.
     """
     key = ["band", "key"]
-    left = marked.groupBy(*key).agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")
-    )
-    left = write_once(left.filter((F.col("low") < F.col("high")) & (F.col("n") > MET_WHOLE)).select(*key))
-    nodes = write_once(marked.join(left, key, "left_semi").select("node", "component").distinct())
-    marks = write_once(prefixes(texts.join(nodes, "node"), idf, least))
-    mixed = marks.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = write_once(mixed.filter("low < high").select("token"))
-    marks = write_once(marks.join(mixed, "token", "left_semi"))
-    a, b = (
-        marks.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "weight", "rest", "total")])
-        for side in "ab"
-    )
-    # what two similar texts share is this much of both totals; before their first common shingle there is none of it
-    needed = least / (1 + least) * (1 - ROUNDING) * (F.col("total_a") + F.col("total_b"))
-    pairs = a.join(b, "token").filter(F.col("component_a") < F.col("component_b"))
-    shares = pairs.groupBy("node_a", "node_b").agg(
-        F.max(F.least("rest_a", "rest_b") - needed).alias("first"), F.sum(F.least("weight_a", "weight_b")).alias("both"),
-        F.min(F.col("rest_a") - F.col("weight_a")).alias("after_a"), F.min(F.col("rest_b") - F.col("weight_b")).alias("after_b"),
-        F.first(needed).alias("needed"),
-    )
-    shares = shares.filter((F.col("first") >= 0) & (F.col("both") + F.least("after_a", "after_b") >= F.col("needed")))
-    return shares.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    counts = marked.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("n"))
+    left = counts.groupBy(*key).agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes"))
+    left = left.filter((F.col("classes") > 1) & (F.col("n") > MET_WHOLE))
+    left = write_once(left.select(
+        *key, F.col("main.component").alias("largest"), F.ceil(F.col("main.n") / MET_BLOCK).alias("main_blocks"),
+        F.ceil((F.col("n") - F.col("main.n")) / MET_BLOCK).alias("blocks"),
+    ))
+    members = write_once(marked.join(left, key))
+    marks = write_once(prefixes(texts.join(members.select("node").distinct(), "node", "left_semi"), idf, least))
+    members = members.withColumn("main", F.col("component") == F.col("largest"))
+    members = members.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("main_blocks")).otherwise(F.col("blocks"))))
+    zero = F.lit(0).cast("long")
+    # groups (low, high, with_main): two blocks outside the largest class, or one of them and one of the largest class
+    with_others = F.transform(F.sequence(zero, F.col("blocks") - 1), lambda i: F.struct(
+        F.least(i, F.col("own")).alias("low"), F.greatest(i, F.col("own")).alias("high"), F.lit(False).alias("with_main")))
+    with_main = F.transform(F.sequence(zero, F.col("main_blocks") - 1), lambda i: F.struct(
+        F.col("own").alias("low"), i.alias("high"), F.lit(True).alias("with_main")))
+    as_main = F.transform(F.sequence(zero, F.col("blocks") - 1), lambda i: F.struct(
+        i.alias("low"), F.col("own").alias("high"), F.lit(True).alias("with_main")))
+    groups = F.when(F.col("main"), as_main).otherwise(F.concat(with_others, with_main))
+    dealt = members.select(*key, "node", "component", "main", "own", F.explode(groups).alias("g"))
+    dealt = dealt.select(*key, "g.low", "g.high", "g.with_main", "node", "component", "main", "own").join(marks, "node")
+
+    def meet(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        for r in rows:
+            r["marks"] = {f: [m[f] for m in r["marks"]] for f in ("token", "weight", "rest")}
+        rows.sort(key=lambda r: r["node"])
+        low, high, with_main = (rows[0][c] for c in ("low", "high", "with_main"))
+        mine = [r for r in rows if not r["main"] and r["own"] == low]
+        others = [r for r in rows if r["main"] == with_main and r["own"] == high]
+        pairs = set()
+        for i, j in _similar_enough(mine, others, least).tolist() if mine and others else []:
+            if mine[i]["component"] != others[j]["component"]:
+                pairs.add(tuple(sorted((mine[i]["node"], others[j]["node"]))))
+        pairs = sorted(pairs)
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+
+    met = dealt.groupBy(*key, "low", "high", "with_main").applyInArrow(meet, "a binary, b binary")
+    return met.distinct()
 
 
 def _classes(df: DataFrame, least: float) -> DataFrame:

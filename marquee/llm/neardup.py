@@ -20,7 +20,7 @@ BANDS, ROWS = 16, 4
 SLOT = 4
 MET_WHOLE = 3  # members of a bucket of one slot whose pairs all meet: the smallest with both, and those two
 MET_BLOCK = 256  # texts of one side of a group that meets in a task
-MET_MARKS = 1 << 21
+MET_MARKS = 1 << 19
 ROUNDING = 1e-6
 
 
@@ -256,13 +256,14 @@ def prefixes(texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
     )
 
 
-def _similar_enough(left: list[dict], right: list[dict], least: float) -> np.ndarray:
+def _similar_enough(left: pa.Table, right: pa.Table, least: float) -> np.ndarray:
     """Places (i, j) of rows of prefixes that may be similar: they share marks, and weight enough may be shared in all."""
     sides = []
     for rows in (left, right):
-        sizes = [len(r["marks"]["token"]) for r in rows]
-        fields = [np.concatenate([r["marks"][f] for r in rows] or [[]]) for f in ("token", "weight", "rest")]
-        sides.append((np.repeat(np.arange(len(rows)), sizes), *fields, np.array([r["total"] for r in rows])))
+        marks = rows.column("marks").combine_chunks()
+        at = np.repeat(np.arange(len(rows)), marks.value_lengths().to_numpy(zero_copy_only=False))
+        fields = [marks.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("token", "weight", "rest")]
+        sides.append((at, *fields, rows.column("total").to_numpy()))
     (at, token, weight, rest, total), (at_r, token_r, weight_r, rest_r, total_r) = sides
     order = np.argsort(token_r, kind="stable")
     at_r, token_r, weight_r, rest_r = at_r[order], token_r[order], weight_r[order], rest_r[order]
@@ -322,17 +323,15 @@ def _unmet(marked: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -
     dealt = dealt.select(*key, "g.low", "g.high", "g.with_main", "node", "component", "main", "own").join(marks, "node")
 
     def meet(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        for r in rows:
-            r["marks"] = {f: [m[f] for m in r["marks"]] for f in ("token", "weight", "rest")}
-        rows.sort(key=lambda r: r["node"])
-        low, high, with_main = (rows[0][c] for c in ("low", "high", "with_main"))
-        mine = [r for r in rows if not r["main"] and r["own"] == low]
-        others = [r for r in rows if r["main"] == with_main and r["own"] == high]
+        low, high, with_main = (table.column(c)[0].as_py() for c in ("low", "high", "with_main"))
+        own, main = table.column("own").to_numpy(), table.column("main").to_numpy(zero_copy_only=False)
+        sides = [table.filter(pa.array(~main & (own == low))), table.filter(pa.array((main == with_main) & (own == high)))]
         pairs = set()
-        for i, j in _similar_enough(mine, others, least).tolist() if mine and others else []:
-            if mine[i]["component"] != others[j]["component"]:
-                pairs.add(tuple(sorted((mine[i]["node"], others[j]["node"]))))
+        if len(sides[0]) and len(sides[1]):
+            (a, first), (b, second) = ([s.column(c).to_pylist() for c in ("node", "component")] for s in sides)
+            for i, j in _similar_enough(*sides, least).tolist():
+                if first[i] != second[j]:
+                    pairs.add((min(a[i], b[j]), max(a[i], b[j])))
         pairs = sorted(pairs)
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
 

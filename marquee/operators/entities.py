@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marquee.fixed_values import FALLBACK_CAST, FALLBACK_DIRECTORS, LABEL_ALIASES, QUERY_TEMPLATES
 from marquee.functions.labels import split_names, strip
 from marquee.functions.values import ratio
-from marquee.runtime import dense_index, skew_join, stable_hash, write_once
+from marquee.runtime import dense_index, input_bytes, skew_join, stable_hash, write_once
 
+BROADCAST_BYTES = 32 << 20
+FILTER_BITS = 1 << 28
 LABELS = ["DIRECTOR", "CAST", "GENRE"]
 
 
@@ -122,42 +129,111 @@ def normal_name(name: Column) -> Column:
     return F.array_join(F.transform(words_of(strip(name)), normal_token), " ")
 
 
+def _places(lengths: Column) -> Column:
+    """Where each of the words of these lengths begins."""
+    @F.pandas_udf("array<int>")
+    def before(own: pd.Series) -> pd.Series:
+        return own.map(lambda x: None if x is None else (np.cumsum(x) - x).astype(np.int32))
+
+    return before(lengths)
+
+
+def _bits_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Three bits of the filter for each 64-bit hash, in 32-bit steps of one another."""
+    h = hashes.view(np.uint64)
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    return np.stack([(h + np.uint64(j) * step) % np.uint64(bits) for j in range(3)]).astype(np.int64)
+
+
+def bloom_filter(df: DataFrame, column: str, rows: int) -> np.ndarray:
+    """A Bloom filter of the values of ``column``, as bytes: 10 bits a value, ``FILTER_BITS`` at most.
+
+    Every task sets the bits of its own rows, and equal stretches of the bit field are united before they reach the driver.
+    """
+    bits = 1 << max(13, min(FILTER_BITS.bit_length() - 1, (rows * 10).bit_length()))
+    stretch = 1 << 13
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            for at in _bits_of(batch.column(0).to_numpy(), bits):
+                np.bitwise_or.at(field, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        parts = field.reshape(-1, stretch // 8)
+        used = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=["part", "bits"]
+        )
+
+    def united(table: pa.Table) -> pa.Table:
+        fields = np.stack([np.frombuffer(x.as_py(), np.uint8) for x in table.column("bits")])
+        return pa.table({"part": table.column("part")[:1], "bits": pa.array([np.bitwise_or.reduce(fields).tobytes()], pa.binary())})
+
+    hashed = df.select(F.xxhash64(column).alias("h")).mapInArrow(own, "part long, bits binary")
+    field = np.zeros((bits // stretch, stretch // 8), np.uint8)
+    for row in hashed.groupBy("part").applyInArrow(united, "part long, bits binary").collect():
+        field[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    return field.ravel()
+
+
+def may_hold(df: DataFrame, column: str, field: np.ndarray) -> DataFrame:
+    """The rows whose ``column`` may be a value of the filter; none that is one goes."""
+    shared = df.sparkSession.sparkContext.broadcast(field)
+
+    @F.pandas_udf("boolean")
+    def held(hashes: pd.Series) -> pd.Series:
+        at = _bits_of(hashes.to_numpy(), len(shared.value) * 8)
+        return pd.Series(((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0))
+
+    return df.filter(held(F.xxhash64(column)))
+
+
 def tag(queries: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
     """(key, start, end, label, surface) of dictionary entries in each text.
 
-    Runs of 1 to n words are matched to the dictionary by an equi-join, n being the longest entry.
-    Overlaps are settled per text: longest first, then leftmost. Frequent runs are spread over tasks.
+    Runs of 1 to n words are matched to the dictionary, n being the longest entry, before anything is shuffled: by a broadcast of
+    the dictionary while its written size is at most ``BROADCAST_BYTES``; a larger one is made a Bloom filter first, and only
+    the runs that it lets through are shuffled to the dictionary, frequent ones spread over tasks.
+    Overlaps are settled per text: longest first, then leftmost.
     """
     names = dictionary.select("label", normal_name(F.col("entity")).alias("run")).filter("run <> ''")
     names = write_once(names.groupBy("run").agg(F.min("label").alias("label")))
-    lengths = sorted(
-        r["n"] for r in names.select(F.size(F.split("run", " ")).alias("n")).distinct().collect()
-    )
+    sizes = names.groupBy(F.size(F.split("run", " ")).alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    lengths = sorted(r["n"] for r in sizes)
     if not lengths:
         return queries.select(key).limit(0).selectExpr(
             key, "0 AS start", "0 AS end", "'' AS label", "'' AS surface"
         )
     words = queries.select(key, words_of(F.col(text)).alias("_words"))
-    words = words.withColumn("_normal", F.transform("_words", normal_token))
+    words = words.select(
+        "*", F.transform("_words", normal_token).alias("_normal"), _places(F.transform("_words", F.length)).alias("_places")
+    )
     size = F.size("_words")
     starts = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
 
     def runs(n: int) -> Column:
         fits = F.filter(starts, lambda i: i + n <= size)
         return F.transform(fits, lambda i: F.struct(
-            i.alias("i"), F.lit(n).alias("n"),
+            i.alias("i"), F.lit(n).alias("n"), F.get("_places", i).alias("at"),
             F.array_join(F.slice("_normal", i + 1, F.lit(n)), " ").alias("run"),
+            F.array_join(F.slice("_words", i + 1, F.lit(n)), "").alias("raw"),
         ))
 
-    spans = words.select(key, F.inline_outer(F.concat(*[runs(n) for n in lengths])))
-    hits = skew_join(spans.filter("run <> ''").select(key, "i", "n", "run"), names, ["run"])
+    spans = words.select(key, F.inline_outer(F.concat(*[runs(n) for n in lengths]))).filter("run <> ''")
+    if input_bytes(queries.sparkSession, names.written_to) <= BROADCAST_BYTES:
+        hits = spans.join(F.broadcast(names), "run")
+    else:
+        field = bloom_filter(names, "run", sum(r["rows"] for r in sizes))
+        hits = skew_join(write_once(may_hold(spans, "run", field)), names, ["run"])
+    surface = F.regexp_replace("raw", _EDGE, "")
+    start = F.col("at") + F.length("raw") - F.length(F.regexp_replace("raw", _HEAD, ""))
+    hits = hits.select(key, "i", "n", "label", start.alias("start"), surface.alias("surface"))
     # runs that touch no other are settled alone, so a long text is no long list
     order = Window.partitionBy(key).orderBy("i", "n")
     reached = F.max(F.col("i") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.coalesce(F.col("i") >= reached, F.lit(True)).cast("int")
     clustered = hits.withColumn("_opens", opens).withColumn("_cluster", F.sum("_opens").over(order))
     candidates = clustered.groupBy(key, "_cluster").agg(F.collect_list(F.struct(
-        (-F.col("n")).alias("longest"), F.col("i"), F.col("n"), F.col("label")
+        (-F.col("n")).alias("longest"), F.col("i"), F.col("n"), F.col("label"), F.col("start"), F.col("surface")
     )).alias("found"))
     kept = F.aggregate(
         F.array_sort("found"),
@@ -166,15 +242,9 @@ def tag(queries: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataF
             F.exists(acc, lambda o: (s["i"] < o["i"] + o["n"]) & (o["i"] < s["i"] + s["n"])), acc
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    chosen = candidates.select(key, F.explode_outer(kept).alias("s")).filter("s IS NOT NULL")
-    settled = chosen.join(words.select(key, "_words"), key)
-    before = F.length(F.array_join(F.slice("_words", F.lit(1), F.col("s.i")), ""))
-    raw = F.array_join(F.slice("_words", F.col("s.i") + 1, F.col("s.n")), "")
-    surface = F.regexp_replace(raw, _EDGE, "")
-    start = before + F.length(raw) - F.length(F.regexp_replace(raw, _HEAD, ""))
-    return settled.select(
-        key, start.alias("start"), (start + F.length(surface)).alias("end"), F.col("s.label").alias("label"),
-        surface.alias("surface"),
+    chosen = candidates.select(key, F.explode(kept).alias("s"))
+    return chosen.select(
+        key, "s.start", (F.col("s.start") + F.length("s.surface")).alias("end"), "s.label", "s.surface"
     )
 
 

@@ -161,3 +161,28 @@ def test_conversations(spark):
     assert (records["calls"], records["database_accessed"], records["num_retrieved"]) == (1, 1, 0)
     results = spark.createDataFrame([(1, [["a", "b"], ["c"], []]), (2, []), (3, None)], "id int, r array<array<string>>")
     assert rows(results.select("id", conversations.retrieved_rows(F.col("r")))) == [(1, 3), (2, 0), (3, 0)]
+
+
+def test_bloom_filter_loses_nothing(spark):
+    names = spark.range(3000).selectExpr("concat('name ', id) AS run").repartition(5)
+    field = entities.bloom_filter(names, "run", 3000)
+    every = spark.range(30_000).selectExpr("concat('name ', id) AS run", "id")
+    left = {r["id"] for r in entities.may_hold(every, "run", field).collect()}
+    assert set(range(3000)) <= left and len(left) < 3000 + 27_000 * 0.05
+
+
+def test_large_dictionaries_tag_as_small_ones_do(spark, monkeypatch):
+    names = spark.createDataFrame(
+        [("CAST", "Ann Lee"), ("CAST", "Lee"), ("GENRE", "sci-fi"), ("DIRECTOR", "Ann Lee Park"), ("GENRE", "war")], "label string, entity string"
+    )
+    texts = [(1, "Films by Ann Lee Park/Lee and \"war\" or sci-fi's best, Ann  Lee!"), (2, None), (3, ""), (4, "Lee " * 500), (5, "nothing here")]
+    df = spark.createDataFrame(texts, "id int, text string")
+
+    def found():
+        return sorted((r["id"], r["start"], r["end"], r["label"], r["surface"]) for r in entities.tag(df, "id", "text", names).collect())
+
+    small = found()
+    assert [(x[3], x[4]) for x in small if x[0] == 1][:3] == [("DIRECTOR", "Ann Lee Park"), ("CAST", "Lee"), ("GENRE", "war")]
+    assert all(texts[x[0] - 1][1][x[1] : x[2]] == x[4] for x in small) and sum(x[0] == 4 for x in small) == 500
+    monkeypatch.setattr(entities, "BROADCAST_BYTES", 0)
+    assert found() == small

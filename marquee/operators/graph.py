@@ -113,3 +113,15 @@ def largest_component(labels: DataFrame) -> DataFrame:
         .orderBy(F.desc("n"), "component").limit(1).select("component")
     )
     return labels.join(F.broadcast(biggest), "component", "left_semi").select("node")
+
+
+def largest_subgraph(edges: DataFrame, k: int = 100) -> DataFrame:
+    """``top_subgraph`` of the largest component alone.
+
+    An edge lies in the component of either end, so one join keeps the edges; they are written once for the
+    components and the degrees.
+    """
+    edges = write_once(edges)
+    nodes = write_once(largest_component(write_once(components(edges))))
+    inside = edges.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi")
+    return top_subgraph(write_once(inside), k)

@@ -99,7 +99,7 @@ def analyze_importance(
             tables["permutation"] = mean.orderBy(F.desc("importance"), "feature").limit(top_n)
         for method, table in tables.items():
             parts.append(table.select(F.lit(name).alias("model"), F.lit(method).alias("method"), "feature", "importance"))
-    result = parts[0]
-    for part in parts[1:]:
+    result = spark.createDataFrame([], "model string, method string, feature string, importance double")
+    for part in parts:
         result = result.unionByName(part)
     return result

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions.values import ratio
+from marquee.runtime import write_once
 
 
 def outcomes(truth: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
@@ -72,37 +73,34 @@ def subset_accuracy(truth: DataFrame, predicted: DataFrame, rows: DataFrame, key
 
 # ---------------------------------------------------------------- ROC
 
-BINS = 256
-
-
 def roc_points(scores: DataFrame) -> DataFrame:
     """ROC points of (label, score, truth) rows: (label, score, pos, neg, fpr, tpr), one per distinct score.
 
-    Equal scores are counted before any shuffle. Running sums need no single sorted task: distinct
-    scores fall in bins by the quantiles over all labels, so no (label, bin) holds more than about
-    1/256 of the points; the bin totals of a label are summed in order, and the exact sums inside a
-    bin are added to them.
+    Equal scores are counted before any shuffle. Running sums are exact and need no single task for a label: the distinct scores
+    are range-partitioned by label and score, the totals of each label in each partition are summed in order, and sums inside
+    a partition are added to them.
     """
     points = scores.groupBy("label", "score").agg(
         F.sum(F.col("truth").cast("long")).alias("pos"),
         F.sum(F.lit(1) - F.col("truth").cast("long")).alias("neg"),
     )
-    cuts = [i / BINS for i in range(1, BINS)]
-    # 255 numbers reach the driver
-    edges = sorted(set(points.agg(F.percentile_approx("score", cuts, F.lit(10_000))).first()[0] or []))
-    bins = F.array(*[F.lit(float(e)) for e in edges]).cast("array<double>")
-    binned = points.withColumn("bin", F.size(F.filter(bins, lambda e: e < F.col("score"))))
-    above = Window.partitionBy("label").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
-    all_bins = Window.partitionBy("label")
-    sums = binned.groupBy("label", "bin").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn")).select(
-        "label", "bin",
+    order = [F.col("label"), F.col("score").desc()]
+    # written, so that the partitions stay what they are
+    placed = write_once(
+        points.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    )
+    above = Window.partitionBy("label").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("label")  # one row a partition
+    sums = placed.groupBy("label", "part").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn")).select(
+        F.col("label").alias("_label"), F.col("part").alias("_part"),
         F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("pos_above"),
         F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("neg_above"),
-        F.sum("bp").over(all_bins).alias("all_pos"),
-        F.sum("bn").over(all_bins).alias("all_neg"),
+        F.sum("bp").over(every).alias("all_pos"),
+        F.sum("bn").over(every).alias("all_neg"),
     )
-    inside = Window.partitionBy("label", "bin").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return binned.join(sums, ["label", "bin"]).select(
+    inside = Window.partitionBy("label", "part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("label").eqNullSafe(F.col("_label")) & (F.col("part") == F.col("_part"))
+    return placed.join(sums, same).select(
         "label", "score", "pos", "neg", "all_pos", "all_neg",
         (F.col("neg_above") + F.sum("neg").over(inside)).alias("fp"),
         (F.col("pos_above") + F.sum("pos").over(inside)).alias("tp"),

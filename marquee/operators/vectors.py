@@ -274,15 +274,41 @@ def centroids(df: DataFrame, label: str, vector: str, min_rows: int = 10) -> Dat
     return grouped.filter(F.col("n") >= min_rows).select("label", "n", vector_to_array("m").alias("centroid"))
 
 
+LABEL_BLOCK = 512
+
+
 def centroid_cosines(means: DataFrame) -> DataFrame:
-    """Cosine of every two label centroids; the result is the matrix, one row per cell.
+    """Cosine of every two label centroids, as (label, other, cosine); the result is the matrix, one row per cell.
 
-    Unit centroids are joined on the position, so the work is labels^2 * dimensions sums.
+    Labels are dealt into blocks, and every two blocks meet in one matrix product of unit centroids. A label without direction
+    has null cosines.
     """
-    norm = F.sqrt(F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x * x))
-    unit = means.select("label", F.posexplode(F.transform("centroid", lambda x: F.try_divide(x, norm))).alias("pos", "x"))
-    other = unit.select(F.col("label").alias("other"), "pos", F.col("x").alias("y"))
-    return unit.join(other, "pos").groupBy("label", "other").agg(F.sum(F.col("x") * F.col("y")).alias("cosine"))
+    means = write_once(means.select("label", "centroid"))
+    blocks = means.count() // LABEL_BLOCK + 1
+    own = F.pmod(F.xxhash64("label"), F.lit(blocks))
+    dealt = means.withColumns({"own": own, "with": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))})
+    dealt = dealt.withColumns({"low": F.least("own", "with"), "high": F.greatest("own", "with")})
+    schema = T.StructType([
+        T.StructField("label", means.schema["label"].dataType), T.StructField("other", means.schema["label"].dataType),
+        T.StructField("cosine", T.DoubleType()),
+    ])
+
+    def product(frame: pd.DataFrame) -> pd.DataFrame:
+        low, high = frame["low"].iloc[0], frame["high"].iloc[0]
+        x = _stack(frame["centroid"])
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        x = np.divide(x, norm, out=np.full_like(x, np.nan), where=norm > 0)
+        label, place = frame["label"].to_numpy(), frame["own"].to_numpy()
+        first, second = np.flatnonzero(place == low), np.flatnonzero(place == high)
+        cells = pd.DataFrame({
+            "label": np.repeat(label[first], len(second)), "other": np.tile(label[second], len(first)), "cosine": (x[first] @ x[second].T).ravel(),
+        })
+        if low != high:
+            cells = pd.concat([cells, cells.rename(columns={"label": "other", "other": "label"})])
+        return cells[["label", "other", "cosine"]]
+
+    cells = dealt.groupBy("low", "high").applyInPandas(product, schema)
+    return cells.withColumn("cosine", F.nullif("cosine", F.lit(float("nan"))))
 
 
 def embed(

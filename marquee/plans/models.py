@@ -61,15 +61,16 @@ def tune_model(spark, folder):
 
 @query()
 def permutation_importance(spark, folder):
-    """Direct, above-mean and permutation importance of vector dimensions for the first two labels."""
-    rows = write_once(table(spark, folder, "embeddings").select(
-        "vec_id", (F.col("label") == 0).cast("int").alias("first"), (F.col("label") == 1).cast("int").alias("second"),
+    """Direct, above-mean and permutation importance of vector dimensions over all labels."""
+    vectors = table(spark, folder, "embeddings")
+    labels = [r["label"] for r in vectors.select("label").distinct().filter("label is not null").orderBy("label").collect()]
+    rows = write_once(vectors.select(
+        "vec_id", *[F.coalesce((F.col("label") == x).cast("int"), F.lit(0)).alias(f"is_{x}") for x in labels],
         array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
     ))
     names = [f"x{i:02d}" for i in range(rows.first()["features"].size)]
-    labels = ["first", "second"]
     runs = {
-        name: models.fit_per_label(rows, labels, models.families(len(names))[name])
+        name: models.fit_per_label(rows, [f"is_{x}" for x in labels], models.families(len(names))[name])
         for name in ("logistic_regression", "decision_tree")
     }
     return importance.analyze_importance(spark, runs, names, rows, "vec_id", top_n=10, repeats=2)

@@ -329,3 +329,18 @@ def components(spark, folder):
     ORDER BY count(*) DESC, component LIMIT 1)""")
 def largest_component(spark, folder):
     return graph.largest_component(graph.components(_part_edges(spark, folder)))
+
+
+@query(COMPONENT_SQL + """,
+    big AS (SELECT node FROM labels WHERE component = (SELECT component FROM labels GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)),
+    people AS (SELECT DISTINCT film, person FROM p),
+    edges AS (SELECT a.person AS src, b.person AS dst, count(*) AS weight FROM people a JOIN people b ON a.film = b.film AND a.person < b.person
+              WHERE a.person IN (SELECT node FROM big) GROUP BY 1, 2),
+    deg AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1),
+    top AS (SELECT node FROM deg ORDER BY degree DESC, node LIMIT 100)
+    SELECT src, dst, weight, 0.5::DOUBLE + 0.5::DOUBLE * weight AS edge_width FROM edges
+    WHERE src IN (SELECT node FROM top) AND dst IN (SELECT node FROM top)
+""")
+def largest_subgraph(spark, folder):
+    """The 100 parts of highest degree in the largest component; at any size there are more."""
+    return graph.largest_subgraph(_part_edges(spark, folder), 100).withColumn("edge_width", F.col("edge_width").cast("double"))

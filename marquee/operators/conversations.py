@@ -9,19 +9,23 @@ from marquee.functions.text import has_keyword
 from marquee.functions.values import ratio
 
 
-def exchanges(log: DataFrame) -> DataFrame:
-    """One row per user turn with the assistant's answer in the next turn.
+def exchanges(log: DataFrame, time: str | None = None) -> DataFrame:
+    """One row per user turn with the assistant's answer in the next turn; with ``time``, also ``asked_at`` and ``answered_at``.
 
     Both turns get the user's turn number and are grouped by it: a long conversation is spread over
     its turns instead of being sorted in one task.
     """
     own = F.when(F.col("role") == "user", F.col("turn")).when(F.col("role") == "assistant", F.col("turn") - 1)
-    keyed = log.withColumn("at", own).filter("at IS NOT NULL")
-    paired = keyed.groupBy("conv_id", "at").agg(
+    keyed = log.withColumn("_at", own).filter("_at IS NOT NULL")
+    times = [] if time is None else [
+        F.max(F.when(F.col("role") == "user", F.col(time))).alias("asked_at"),
+        F.max(F.when(F.col("role") == "assistant", F.col(time))).alias("answered_at"),
+    ]
+    paired = keyed.groupBy("conv_id", "_at").agg(
         F.max(F.when(F.col("role") == "user", F.col("text"))).alias("user_message"),
-        F.max(F.when(F.col("role") == "assistant", F.col("text"))).alias("assistant_message"),
+        F.max(F.when(F.col("role") == "assistant", F.col("text"))).alias("assistant_message"), *times,
     )
-    return paired.filter("user_message IS NOT NULL").withColumnRenamed("at", "turn")
+    return paired.filter("user_message IS NOT NULL").withColumnRenamed("_at", "turn")
 
 
 def with_route(df: DataFrame, text: str = "user_message") -> DataFrame:
@@ -73,9 +77,14 @@ def retrieved_rows(results: Column) -> Column:
 
 
 def turn_record(exchange: DataFrame, retrieved: Column, calls: Column) -> DataFrame:
-    """One record per exchange: question, answer, calls, whether the catalog was read, rows retrieved."""
+    """One record per exchange: question, answer, calls, whether the catalog was read, rows retrieved.
+
+    Where the exchanges have times, also when it was asked and the seconds until the answer (null without one).
+    """
+    seconds = (F.col("answered_at").cast("timestamp").cast("double") - F.col("asked_at").cast("timestamp").cast("double"))
+    times = [F.col("asked_at"), seconds.alias("processing_seconds")] if "asked_at" in exchange.columns else []
     return exchange.select(
         "conv_id", "turn", F.col("user_message").alias("query"), F.col("assistant_message").alias("response"),
         calls.alias("calls"), (calls > 0).cast("int").alias("database_accessed"),
-        F.coalesce(retrieved, F.lit(0)).alias("num_retrieved"),
+        F.coalesce(retrieved, F.lit(0)).alias("num_retrieved"), *times,
     )

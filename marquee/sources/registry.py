@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marquee.operators.models import Features, Run
 
+REPORT_SCHEMA = "position int, model string, label string, precision double, recall double, f1 double, support long"
 METRIC_SCHEMA = "position int, model string, metric string, value double"
 RUN_SCHEMA = (
     "run string, dataset string, saved_at string, best_only boolean, model_count int, best string, info string"
@@ -36,12 +37,14 @@ def save_run(
             model.write().overwrite().save(f"{folder}/models/{safe(family)}/{label}")
     metrics = [m for m in run.metrics if m[1] in kept]
     spark.createDataFrame(metrics, METRIC_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{folder}/metrics")
+    reports = [r for r in run.reports if r[1] in kept]
+    spark.createDataFrame(reports, REPORT_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{folder}/reports")
     if features is not None:
         features.model.write().overwrite().save(f"{folder}/features")
     if data is not None:
         data.write.mode("overwrite").parquet(f"{folder}/data")
     classes = {f: {l: f"{type(m).__module__}.{type(m).__name__}" for l, m in ms.items()} for f, ms in kept.items()}
-    info = json.dumps({"feature_names": feature_names, "labels": labels, "classes": classes})
+    info = json.dumps({"feature_names": feature_names, "labels": labels, "classes": classes, "has_features": features is not None})
     row = [(name, dataset, stamp, best_only, len(kept), run.best, info)]
     spark.createDataFrame(row, RUN_SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/list")
     return folder
@@ -64,7 +67,7 @@ def load_model(path: str, class_name: str):
 
 
 def load_run(spark: SparkSession, root: str, name: str | None = None) -> tuple[Run, dict]:
-    """All models and scores of a run, the newest by default, with its feature and label names."""
+    """All models, scores and class reports of a run, the newest by default, with its feature and label names."""
     runs = saved_runs(spark, root)
     row = (runs.filter(F.col("run") == name) if name else runs).first()
     if row is None:
@@ -74,8 +77,18 @@ def load_run(spark: SparkSession, root: str, name: str | None = None) -> tuple[R
     for family, classes in info["classes"].items():
         run.models[family] = {l: load_model(f"{folder}/models/{safe(family)}/{l}", c) for l, c in classes.items()}
     run.metrics = [tuple(r) for r in spark.read.schema(METRIC_SCHEMA).parquet(f"{folder}/metrics").collect()]
+    if "has_features" in info:  # runs saved before had no reports
+        run.reports = [tuple(r) for r in spark.read.schema(REPORT_SCHEMA).parquet(f"{folder}/reports").collect()]
     return run, info
 
 
-def load_features(root: str, run: str, names: list[str]) -> Features:
-    return Features(PipelineModel.load(f"{root}/runs/{run}/features"), names)
+def load_features(spark: SparkSession, root: str, name: str | None = None) -> Features:
+    """The feature pipeline saved with a run; by default that of the newest run that has one."""
+    runs = saved_runs(spark, root)
+    if name:
+        row = runs.filter(F.col("run") == name).first()
+    else:
+        row = runs.filter(F.get_json_object("info", "$.has_features") == "true").first()
+    if row is None:
+        raise ValueError(f"no saved features {name or ''} in {root}")
+    return Features(PipelineModel.load(f"{root}/runs/{row['run']}/features"), json.loads(row["info"])["feature_names"])

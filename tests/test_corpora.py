@@ -159,6 +159,10 @@ def test_conversations(spark):
     }
     records = conversations.turn_record(turns, F.lit(None).cast("int"), F.col("routed")).filter("turn = 1").first()
     assert (records["calls"], records["database_accessed"], records["num_retrieved"]) == (1, 1, 0)
+    timed = log.filter("conv_id = 1").withColumn("at", F.timestamp_seconds(F.col("turn") * 3 + 100))
+    found = conversations.turn_record(conversations.exchanges(timed, "at"), F.lit(0), F.lit(0))
+    seconds = {r["turn"]: (r["s"], r["processing_seconds"]) for r in found.withColumn("s", F.unix_seconds("asked_at")).collect()}
+    assert seconds == {1: (103, 3.0), 3: (109, 3.0), 5: (115, 3.0), 7: (121, None)}
     results = spark.createDataFrame([(1, [["a", "b"], ["c"], []]), (2, []), (3, None)], "id int, r array<array<string>>")
     assert rows(results.select("id", conversations.retrieved_rows(F.col("r")))) == [(1, 3), (2, 0), (3, 0)]
 

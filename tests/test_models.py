@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -69,7 +69,13 @@ def test_evaluate_save_and_load(spark, films, prepared, tmp_path):
     best, info = registry.load_run(spark, root)
     assert list(best.models) == [run.best] and info["labels"] == LABELS
     again, info = registry.load_run(spark, root, "films_20240101_000000")
-    prep = registry.load_features(root, "films_20240101_000000", info["feature_names"])
+    assert sorted(again.reports) == sorted(run.reports) and {r[1] for r in best.reports} == {run.best}
+    counted = {l: test.filter(F.col(l) == 1).count() for l in LABELS}
+    assert {(m, l): s for _, m, l, *_, s in run.reports} == {(m, l): counted[l] for m in chosen for l in LABELS}
+    prep = registry.load_features(spark, root)  # the newest run has no features, the one before has
+    assert prep.names == info["feature_names"]
+    with pytest.raises(ValueError):
+        registry.load_features(spark, root, "nothing")
     fresh = prep.model.transform(films.filter("id >= 120"))
     guess = lambda df, ms: sorted(tuple(r) for r in models.predict_per_label(df, ms, "id").select("id", "label", "prediction").collect())
     assert guess(fresh, again.models["decision_tree"]) == guess(test, run.models["decision_tree"])
@@ -92,6 +98,25 @@ def test_tune_draws_without_repeats(prepared):
     assert len(tried) == 2 and tried[0] != tried[1] and len(found.avgMetrics) == 2
 
 
+def test_tuning_over_all_labels_sums_counts_and_puts_the_best_back(prepared):
+    _, rows = prepared
+    make = lambda depth: DecisionTreeClassifier(maxDepth=depth, seed=1, featuresCol="features", labelCol="target")
+    run = models.Run(models={"tree": {}})
+    tuned = models.tune_labels(rows, "id", LABELS, make, {"depth": [1, 0]}, draws=5, folds=2, run=run, name="tree")
+    table = rows.withColumn("fold", models.fold_column("id", 2))
+    for _, params, fold, score in tuned.scores:
+        tp = wrong = 0
+        for label in LABELS:
+            data = table.withColumn("target", F.col(label).cast("double"))
+            model = make(**params).fit(data.filter(F.col("fold") != fold))
+            for r in model.transform(data.filter(F.col("fold") == fold)).select("target", "prediction").collect():
+                tp += r["target"] == r["prediction"] == 1
+                wrong += r["target"] != r["prediction"]
+        assert score == pytest.approx(2 * tp / (2 * tp + wrong) if tp + wrong else 0.0)
+    assert len(tuned.scores) == 4 and tuned.params == {"depth": 1} and run.models["tree"] is tuned.models
+    assert set(tuned.models) == set(LABELS) and tuned.models["x"].getMaxDepth() == 1
+
+
 def test_importance(spark, prepared):
     fitted, rows = prepared
     fits = models.fit_per_label(rows, ["x"], models.families(len(fitted.names))["logistic_regression"])

@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +17,7 @@ from marquee.functions.text import word_count, word_tokens
 from marquee.functions.values import ratio
 from marquee.operators.features import split_column
 from marquee.operators.tables import drop_short, seeded_sample
-from marquee.runtime import broadcast_rows
+from marquee.runtime import broadcast_rows, write_once
 
 
 def corpus(
@@ -90,12 +93,40 @@ def token_vocabulary(df: DataFrame, text: str, size: int = 30_000) -> DataFrame:
     return broadcast_rows(top.select("term", (place + FIRST_ID - 1).alias("id")), size)
 
 
+VOCABULARY_BYTES = 32 << 20
+
+
 def padded_ids(df: DataFrame, key: str, text: str, terms: DataFrame, length: int, name: str = "ids") -> DataFrame:
     """(key, ids): the first ``length`` words as ids, unknown words 1, filled up with 0.
 
-    The cut at ``length`` is what the operator is for; a row holds at most that many ids.
+    The cut at ``length`` is what the operator is for; a row holds at most that many ids. ``key`` names a row. A vocabulary of
+    at most ``VOCABULARY_BYTES``, as measured, goes to the tasks and words are looked up where they lie; a larger one is joined.
     """
     words = df.select(key, F.slice(word_tokens(F.coalesce(F.col(text), F.lit("")), []), 1, length).alias("w"))
+    terms = write_once(terms.select("term", F.col("id").cast("int").alias("id")))
+    size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + 12), F.lit(0))).first()[0]
+    if size > VOCABULARY_BYTES:
+        return joined_ids(words, key, terms, length, name)
+    held = df.sparkSession.sparkContext.broadcast(terms.toArrow().to_pydict())
+    schema = T.StructType([words.schema[key], T.StructField(name, T.ArrayType(T.IntegerType()))])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ids = pa.array(held.value["term"], pa.string()), np.array([*held.value["id"], UNKNOWN], np.int32)
+        for batch in batches:
+            lists = batch.column(1)
+            ends = lists.offsets.to_numpy()
+            found = pc.index_in(lists.values.slice(ends[0], ends[-1] - ends[0]).cast(pa.string()), value_set=known)
+            row = np.repeat(np.arange(len(lists)), np.diff(ends))
+            out = np.full((len(lists), length), PAD, np.int32)
+            out[row, np.arange(len(row)) - (ends[:-1] - ends[0])[row]] = ids[found.fill_null(len(ids) - 1).to_numpy()]
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * length, pa.int32()), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), rows], names=[key, name])
+
+    return words.mapInArrow(number, schema)
+
+
+def joined_ids(words: DataFrame, key: str, terms: DataFrame, length: int, name: str = "ids") -> DataFrame:
+    """(key, ids) of (key, w) by a join with a vocabulary of any size."""
     placed = words.select(key, F.posexplode_outer("w").alias("pos", "term"))
     numbered = placed.join(terms.withColumnRenamed("id", "_id"), "term", "left").select(
         key, "pos", F.when(F.col("term").isNotNull(), F.coalesce("_id", F.lit(UNKNOWN))).alias("_id")

@@ -131,6 +131,17 @@ def test_padded_ids(spark):
     terms = summaries.token_vocabulary(df, "text", 2)
     assert rows(terms) == [("aa", 2), ("bb", 3)]
     assert rows(summaries.padded_ids(df, "id", "text", terms, 3)) == [(1, [3, 2, 2]), (2, [2, 0, 0]), (3, [0, 0, 0]), (4, [0, 0, 0])]
+    empty = summaries.padded_ids(df, "id", "text", terms.limit(0), 2)
+    assert rows(empty) == [(1, [1, 1]), (2, [1, 0]), (3, [0, 0]), (4, [0, 0])]
+
+
+def test_padded_ids_joined_are_the_same(spark, monkeypatch):
+    texts = [(i, " ".join(f"w{(i * j) % 17}" for j in range(i % 9)) if i % 5 else None) for i in range(60)]
+    df = spark.createDataFrame(texts, "id int, text string").repartition(4)
+    terms = summaries.token_vocabulary(df, "text", 10)
+    looked_up = rows(summaries.padded_ids(df, "id", "text", terms, 6))
+    monkeypatch.setattr(summaries, "VOCABULARY_BYTES", 0)
+    assert rows(summaries.padded_ids(df, "id", "text", terms, 6)) == looked_up
 
 
 def test_length_report(spark):

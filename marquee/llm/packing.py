@@ -22,8 +22,8 @@ from marquee.runtime import write_once
 WINDOW = 4096
 END = 2
 MOST_SOURCES = 100_000
-CACHED_WORDS = 600_000
-GATHERED_BYTES = 4 << 20
+CACHED_WORDS = 200_000
+GATHERED_BYTES = 2 << 20
 # the vocabulary's own pattern of runs, and what it is not used for here
 _RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _OTHER = re.compile("[^\x21-\x7e\u00a1-\u024f]")
@@ -165,7 +165,7 @@ def tokenized(df: DataFrame, path: str, end: int = END) -> DataFrame:
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of about 4 MB from smaller ones, in order."""
+    """Batches of about ``GATHERED_BYTES`` from smaller ones, in order."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)

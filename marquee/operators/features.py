@@ -2,13 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marquee.fixed_values import STOP_WORDS
 from marquee.functions.text import word_tokens
 from marquee import runtime
-from marquee.runtime import skew_join, stable_hash
+from marquee.runtime import skew_join, stable_hash, write_once
+
+
+WORDS_AT_ONCE = 1 << 20
+VOCABULARY_BYTES = 32 << 20
+
+
+def _counted(lists: pa.ListArray, bigrams: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """For some rows at a time: row, number of the term and its count, for all distinct terms of each row, and the terms.
+
+    A piece holds about ``WORDS_AT_ONCE`` words, one row at least. Neighbouring pairs are counted as pairs of numbers and
+    spelled once each.
+    """
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    first = 0
+    while first < len(lists):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + WORDS_AT_ONCE, "right")) - 1)
+        last = min(last, len(lists))
+        words = lists.values.slice(ends[first], ends[last] - ends[first]).dictionary_encode()
+        terms, code = words.dictionary.cast(pa.string()), words.indices.to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(first, last), np.diff(ends[first : last + 1]))
+        if bigrams and len(code):
+            near = row[1:] == row[:-1]
+            pairs, which = np.unique((code[:-1] * len(terms) + code[1:])[near], return_inverse=True)
+            left, right = (terms.take(pa.array(side)) for side in np.divmod(pairs, len(terms)))
+            code, row = np.append(code, len(terms) + which), np.append(row, row[:-1][near])
+            terms = pa.concat_arrays([terms, pc.binary_join_element_wise(left, right, " ")])
+        found, tf = np.unique(row * len(terms) + code, return_counts=True)
+        row, code = np.divmod(found, max(1, len(terms)))
+        yield row, code, tf, terms
+        first = last
 
 
 def with_bigrams(tokens: Column) -> Column:
@@ -18,29 +54,50 @@ def with_bigrams(tokens: Column) -> Column:
     return F.concat(tokens, pairs)
 
 
-def term_rows(df: DataFrame, key: str, words: Column, bigrams: bool = False) -> DataFrame:
-    """(key, term) for every word, and every neighbouring pair where asked.
+def _words(df: DataFrame, key: str, words: Column) -> DataFrame:
+    return df.select(key, F.coalesce(F.array_compact(words), F.array().cast("array<string>")).alias("_words"))
+
 
-    The raw rows are shuffled by key once, before they are cut into terms: text is several times
-    smaller than its terms, and everything later that groups by key stays where it is.
+def term_counts(df: DataFrame, key: str, words: Column, bigrams: bool = False) -> DataFrame:
+    """(key, term, tf) of every row, counted where the row lies: no text and no word is shuffled.
+
+    ``key`` names a row; two rows of one key are two texts. Null words, and rows without words, have no terms.
     """
-    rows = df.repartition(key).select(key, words.alias("_words"))
-    terms = with_bigrams(F.col("_words")) if bigrams else F.col("_words")
-    # a plain explode would make Spark check the array for rows below the shuffle, and cut words there too
-    return rows.select(key, F.explode_outer(terms).alias("term")).filter("term IS NOT NULL")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, code, tf, terms in _counted(batch.column(1), bigrams):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row)), terms.take(pa.array(code)), pa.array(tf)], names=[key, "term", "tf"]
+                )
 
+    rows = _words(df, key, words)
+    schema = T.StructType([rows.schema[key], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    return rows.mapInArrow(count, schema)
 
-def term_counts(df: DataFrame, key: str, words: Column, bigrams: bool = False) -> DataFrame:
-    """(key, term, tf)."""
-    return term_rows(df, key, words, bigrams).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+def term_totals(counts: DataFrame) -> DataFrame:
+    """(term, cf, df) of (key, term, tf): occurrences, and rows that hold the term."""
+    return counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
+
+
+def _totals_of_words(rows: DataFrame, bigrams: bool) -> DataFrame:
+    """(term, cf, df) of (key, words), added up in the tasks before terms are shuffled."""
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, code, tf, terms in _counted(batch.column(0), bigrams):
+                cf = np.bincount(code, tf, len(terms)).astype(np.int64)
+                rows_of = np.bincount(code, minlength=len(terms))
+                yield pa.RecordBatch.from_arrays([terms, pa.array(cf), pa.array(rows_of)], names=["term", "cf", "df"])
+
+    parts = rows.select("_words").mapInArrow(total, "term string, cf long, df long")
+    return parts.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
 
 
 def vocabulary(
-    counts: DataFrame, n_rows: Column, max_features: int | None, min_df: int = 1, max_df: float = 1.0
+    totals: DataFrame, n_rows: Column, max_features: int | None, min_df: int = 1, max_df: float = 1.0
 ) -> DataFrame:
-    """(term, df) of the ``max_features`` most frequent terms whose row frequency is in range."""
-    terms = counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
-    kept = terms.filter((F.col("df") >= min_df) & (F.col("df") <= n_rows * F.lit(max_df)))
+    """(term, df) of the ``max_features`` most frequent terms of (term, cf, df) whose row frequency is in range."""
+    kept = totals.filter((F.col("df") >= min_df) & (F.col("df") <= n_rows * F.lit(max_df)))
     if max_features is not None:
         kept = kept.orderBy(F.desc("cf"), "term").limit(max_features)
     return kept.select("term", "df")
@@ -60,19 +117,42 @@ def tfidf(
     """L2-normalised TF-IDF weights as (key, term, weight).
 
     Weight before the norm: (1 + ln tf) or tf, times ln((1 + n) / (1 + df)) + 1.
+
+    Texts are cut into words once. Terms are counted inside the row; what is shuffled are totals by term, added up in the
+    tasks. A vocabulary of at most ``VOCABULARY_BYTES``, as measured, goes to the tasks, and rows are weighted and normalised where they
+    lie; with a larger one the counts of (key, term) are joined. ``key`` names a row. Rows without any term of the vocabulary have no weights.
     """
-    rows = term_rows(df.select(key, text), key, word_tokens(F.col(text), stop_words), bigrams)
-    n_rows = df.agg(F.count(F.lit(1))).scalar()
-    counts = rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    kept = vocabulary(counts, n_rows, max_features, min_df, max_df)
-    idf = kept.select("term", smooth_idf(n_rows, F.col("df")).alias("idf"))
-    if max_features is not None and max_features <= runtime.BROADCAST_ROWS:
-        # terms out of the vocabulary go before they are counted
-        rows = rows.join(F.broadcast(idf), "term")
-        counts = rows.groupBy(key, "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
-    else:
-        return whole_weights(counts, kept.withColumn("idf", smooth_idf(n_rows, F.col("df"))), key, sublinear)
-    return normalised(counts.select(key, "term", term_weight(sublinear).alias("weight")), key)
+    rows = write_once(_words(df, key, word_tokens(F.col(text), stop_words)))
+    n_rows = F.lit(rows.count())
+    kept = vocabulary(_totals_of_words(rows, bigrams), n_rows, max_features, min_df, max_df)
+    kept = write_once(kept.withColumn("idf", smooth_idf(n_rows, F.col("df"))))
+    size = kept.agg(F.coalesce(F.sum(F.octet_length("term") + 12), F.lit(0))).first()[0]
+    if size > VOCABULARY_BYTES:
+        return whole_weights(term_counts(rows, key, F.col("_words"), bigrams), kept, key, sublinear)
+    return _weights_in_row(rows, kept, key, sublinear, bigrams)
+
+
+def _weights_in_row(rows: DataFrame, kept: DataFrame, key: str, sublinear: bool, bigrams: bool) -> DataFrame:
+    """(key, term, weight) of (key, words) with a vocabulary (term, idf) that fits in a task; nothing is shuffled."""
+    table = kept.select("term", "idf").toArrow().combine_chunks()
+    held = rows.sparkSession.sparkContext.broadcast((table.column("term").to_pylist(), table.column("idf").to_numpy()))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, idf = pa.array(held.value[0], pa.string()), held.value[1]
+        for batch in batches:
+            for row, code, tf, terms in _counted(batch.column(1), bigrams):
+                place = pc.index_in(terms, value_set=known).fill_null(-1).to_numpy()[code]
+                used = place >= 0
+                row, code, tf, place = row[used], code[used], tf[used], place[used]
+                weight = (1.0 + np.log(tf) if sublinear else tf.astype(float)) * idf[place]
+                norm = np.sqrt(np.bincount(row, weight * weight, len(batch)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row)), terms.take(pa.array(code)), pa.array(weight / norm[row])],
+                    names=[key, "term", "weight"],
+                )
+
+    schema = T.StructType([rows.schema[key], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
+    return rows.mapInArrow(weigh, schema)
 
 
 def smooth_idf(n_rows: Column, df: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marquee.operators.features import smooth_idf, term_counts, vocabulary, whole_weights
+from marquee.operators.features import smooth_idf, term_counts, term_totals, vocabulary, whole_weights
 from marquee.runtime import block_rows, write_once
 
 DOC_BLOCK = 16_384
@@ -31,7 +31,7 @@ def tfidf_search(
     # written once: cutting text into words costs more than reading the counts again
     counts = write_once(term_counts(docs, doc_key, doc_terms))
     n_docs = docs.count()
-    idf = vocabulary(counts, F.lit(n_docs), None).withColumn("idf", smooth_idf(F.lit(n_docs), F.col("df")))
+    idf = vocabulary(term_totals(counts), F.lit(n_docs), None).withColumn("idf", smooth_idf(F.lit(n_docs), F.col("df")))
     idf = write_once(idf)
     query_weights = write_once(whole_weights(term_counts(queries, query_key, query_terms), idf, query_key))
     # numbers instead of words go to the blocks; they are written, so they stay what they are

@@ -170,6 +170,25 @@ def test_tfidf_against_hand_weights(spark):
     assert rows(pairs) == [("fox",), ("red",)]
 
 
+def test_tfidf_is_one_result_on_both_paths(spark, monkeypatch):
+    """Lookup inside the row and join with the vocabulary; pieces of one word; a long row, null words, two rows of one key."""
+    texts = [(1, "aa bb aa bb cc"), (2, "bb cc"), (2, "bb cc"), (3, None), (4, "dd " * 3000), (5, "")]
+    docs = spark.createDataFrame(texts, "id int, text string")
+    near = sorted((r["id"], r["term"], r["weight"]) for r in features.tfidf(docs.filter("id <> 2"), "id", "text", None).collect())
+    monkeypatch.setattr(features, "VOCABULARY_BYTES", 0)
+    monkeypatch.setattr(features, "WORDS_AT_ONCE", 1)
+    far = sorted((r["id"], r["term"], r["weight"]) for r in features.tfidf(docs.filter("id <> 2"), "id", "text", None).collect())
+    assert [x[:2] for x in near] == [x[:2] for x in far] and np.allclose([x[2] for x in near], [x[2] for x in far])
+    words = F.split("text", " ")
+    counts = features.term_counts(docs.filter("id < 4"), "id", words, bigrams=True)
+    expected = [(1, "aa", 2), (1, "aa bb", 2), (1, "bb", 2), (1, "bb aa", 1), (1, "bb cc", 1), (1, "cc", 1)]
+    assert rows(counts) == expected + sorted([(2, "bb", 1), (2, "bb cc", 1), (2, "cc", 1)] * 2)
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    totals = {r["term"]: (r["cf"], r["df"]) for r in features.term_totals(counts).collect()}
+    assert totals["bb"] == (4, 3) and totals["bb aa"] == (1, 1)
+    assert features.tfidf(docs.limit(0), "id", "text").count() == 0
+
+
 def test_chi2_counts_absent_pairs(spark):
     weights = spark.createDataFrame([(1, "a", 1.0), (2, "a", 1.0), (2, "b", 2.0), (3, "b", 1.0)], "id int, term string, weight double")
     labels = spark.createDataFrame([(1, "x"), (2, "x"), (2, "y"), (3, None)], "id int, label string")

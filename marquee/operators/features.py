@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from marquee.fixed_values import STOP_WORDS
 from marquee.functions.text import word_tokens
 from marquee import runtime
-from marquee.runtime import skew_join, stable_hash, write_once
+from marquee.runtime import skew_join, spread, stable_hash, write_once
 
 
 WORDS_AT_ONCE = 1 << 20
@@ -119,10 +119,10 @@ def tfidf(
     Weight before the norm: (1 + ln tf) or tf, times ln((1 + n) / (1 + df)) + 1.
 
     Texts are cut into words once. Terms are counted inside the row; what is shuffled are totals by term, added up in the
-    tasks. A vocabulary of at most ``VOCABULARY_BYTES``, as measured, goes to the tasks, and rows are weighted and normalised where they
+    tasks; only a table smaller than a few MB a core is dealt out first (``runtime.spread``). A vocabulary of at most ``VOCABULARY_BYTES``, as measured, goes to the tasks, and rows are weighted and normalised where they
     lie; with a larger one the counts of (key, term) are joined. ``key`` names a row. Rows without any term of the vocabulary have no weights.
     """
-    rows = write_once(_words(df, key, word_tokens(F.col(text), stop_words)))
+    rows = write_once(_words(spread(df.select(key, text)), key, word_tokens(F.col(text), stop_words)))
     n_rows = F.lit(rows.count())
     kept = vocabulary(_totals_of_words(rows, bigrams), n_rows, max_features, min_df, max_df)
     kept = write_once(kept.withColumn("idf", smooth_idf(n_rows, F.col("df"))))

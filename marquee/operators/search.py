@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marquee.operators.features import smooth_idf, term_counts, term_totals, vocabulary, whole_weights
-from marquee.runtime import block_rows, write_once
+from marquee.runtime import block_rows, spread, write_once
 
 DOC_BLOCK = 16_384
 QUERY_BLOCK = 512
@@ -29,7 +29,7 @@ def tfidf_search(
     k best, so no term list is ever joined with all its documents and queries.
     """
     # written once: cutting text into words costs more than reading the counts again
-    counts = write_once(term_counts(docs, doc_key, doc_terms))
+    counts = write_once(term_counts(spread(docs), doc_key, doc_terms))
     n_docs = docs.count()
     idf = vocabulary(term_totals(counts), F.lit(n_docs), None).withColumn("idf", smooth_idf(F.lit(n_docs), F.col("df")))
     idf = write_once(idf)

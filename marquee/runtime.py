@@ -135,6 +135,17 @@ def block_rows(spark: SparkSession, rows: int, most: int, least: int = 256) -> i
     return max(least, min(most, rows // spark.sparkContext.defaultParallelism))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table too small to be read by as many tasks as there are cores, dealt over the cores; any other as it is.
+
+    Spark cuts no input finer than ``spark.sql.files.openCostInBytes``, so below that much for each core some would be idle
+    while rows that are costly to work on lie in few tasks. The size is Spark's own estimate of the plan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * (4 << 20) else df
+
+
 def input_bytes(spark: SparkSession, *paths: str) -> int:
     """Size of files or folders, whatever file system they are in."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

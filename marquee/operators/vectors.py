@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -19,6 +20,8 @@ from marquee.runtime import block_rows, stable_hash, write_once
 
 BLOCK_VALUES = 4_000_000  # numbers in the vectors of a block: 32 MB
 QUERY_CHUNK = 256
+CHUNK_VALUES = 1 << 20  # distances in work at once: 8 MB for each of their matrices
+STRETCH = 64
 ROWS_PER_CELL = 50_000
 MAX_CELLS = 2048
 
@@ -27,6 +30,18 @@ def _stack(series: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in series])
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of equal length as the rows of a matrix."""
+    if not len(column):
+        return np.zeros((0, 0))
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).reshape(len(column), -1).astype(np.float64, copy=False)
+
+
+def _chunk(rows: int) -> int:
+    """Queries whose distances to so many rows are in work at once."""
+    return max(1, min(QUERY_CHUNK, CHUNK_VALUES // max(1, rows)))
+
+
 def _squared_distances(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Squared L2 distances by one matrix product, and a bound on their errors."""
     squares = (left**2).sum(1)[:, None] + (right**2).sum(1)[None, :]
@@ -35,22 +50,37 @@ def _squared_distances(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray,
 
 
 def _best_of_block(
-    query: np.ndarray, vectors: np.ndarray, distance: np.ndarray, error: np.ndarray, ids: np.ndarray, k: int, digits: int | None
-) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and distances of the k nearest rows, ties by id.
+    asked: np.ndarray, vectors: np.ndarray, qids: np.ndarray, ids: np.ndarray, k: int, exclude_self: bool, digits: int | None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of the k nearest rows of each query, by query and rank, ties by id.
 
-    Rows that the error bound leaves in question get their squared differences added up one by one in the order of the
-    positions, so a distance does not depend on the block it is computed in.
+    The matrix product and a bound on its error only choose candidates: the k-th smallest upper bound is taken from the least of
+    stretches of rows, which is no smaller than that of all rows. Candidates get their squared differences added up one by one in
+    the order of the positions, so a distance does not depend on the block it is computed in.
     """
-    near = np.flatnonzero(np.isfinite(distance))
-    if len(near) > k:
-        least = np.partition(distance[near] + error[near], k - 1)[k - 1] + (0.0 if digits is None else 10.0**-digits)
-        near = near[distance[near] - error[near] <= least]
-    exact = np.cumsum((vectors[near] - query) ** 2, axis=1)[:, -1] if vectors.shape[1] else np.zeros(len(near))
+    slack = 4 * (vectors.shape[1] + 4) * np.finfo(np.float64).eps
+    own, others = (asked**2).sum(1), (vectors**2).sum(1)
+    near = (-2.0 * asked) @ vectors.T
+    if exclude_self:
+        near[qids[:, None] == ids[None, :]] = np.inf
+    upper = near + others * (1 + slack)
+    if len(ids) >= 2 * STRETCH * k:
+        upper = np.fmin.reduceat(upper, np.arange(0, len(ids), STRETCH), axis=1)
+    least = np.full(len(asked), np.inf)
+    if upper.shape[1] > k:
+        least = np.partition(upper, k - 1, axis=1)[:, k - 1] + 2 * slack * own + (0.0 if digits is None else 10.0**-digits)
+    near += others * (1 - slack)
+    query, row = np.nonzero((near <= least[:, None]) & np.isfinite(near))
+    exact = np.zeros(len(row))
+    for at in range(0, len(row), most := max(1, CHUNK_VALUES // max(1, vectors.shape[1]))):
+        piece = slice(at, at + most)
+        exact[piece] = np.cumsum((vectors[row[piece]] - asked[query[piece]]) ** 2, axis=1)[:, -1]
     if digits is not None:
         exact = np.round(exact, digits)
-    order = np.lexsort((ids[near], exact))[:k]
-    return near[order], exact[order]
+    order = np.lexsort((ids[row], exact, query))
+    query, row, exact = query[order], row[order], exact[order]
+    best = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[best], row[best], exact[best]
 
 
 def _pivots(corpus: DataFrame, key: str, vector: str, cells: int) -> np.ndarray:
@@ -136,31 +166,26 @@ def knn(
     ])
     names = list(payload)
 
-    def block(corpus_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
-        if corpus_rows.empty or query_rows.empty:
-            return pd.DataFrame({f.name: pd.Series(dtype="object") for f in schema.fields})
-        vectors, asked = _stack(corpus_rows["v"]), _stack(query_rows["v"])
+    def block(corpus_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
+        if not len(corpus_rows) or not len(query_rows):
+            kinds = [query_rows.schema.field("qid").type, *[corpus_rows.schema.field(c).type for c in ("id", *names)], pa.float64()]
+            return pa.table([pa.array([], t) for t in kinds], names=schema.names)
+        vectors, asked = _matrix(corpus_rows["v"]), _matrix(query_rows["v"])
         ids, qids = corpus_rows["id"].to_numpy(), query_rows["qid"].to_numpy()
-        parts = []
-        for start in range(0, len(qids), QUERY_CHUNK):
-            chunk = qids[start:start + QUERY_CHUNK]
-            part = asked[start:start + QUERY_CHUNK]
-            near, error = _squared_distances(part, vectors)
-            if exclude_self:
-                near[chunk[:, None] == ids[None, :]] = np.inf
-            picks = [_best_of_block(q, vectors, d, e, ids, k, digits) for q, d, e in zip(part, near, error)]
-            at = np.concatenate([p[0] for p in picks])
-            which = np.repeat(np.arange(len(chunk)), [len(p[0]) for p in picks])
-            found = corpus_rows.iloc[at][["id", *names]].reset_index(drop=True)
-            found.insert(0, "qid", chunk[which])
-            found["d2"] = np.concatenate([p[1] for p in picks])
-            parts.append(found)
-        return pd.concat(parts)
+        found = []
+        step = _chunk(len(ids))
+        for at in range(0, len(qids), step):
+            part = slice(at, at + step)
+            query, row, d2 = _best_of_block(asked[part], vectors, qids[part], ids, k, exclude_self, digits)
+            found.append((query + at, row, d2))
+        query, row, d2 = (np.concatenate(x) for x in zip(*found))
+        columns = [query_rows["qid"].take(pa.array(query)), *[corpus_rows[c].take(pa.array(row)) for c in ("id", *names)]]
+        return pa.table([*columns, pa.array(d2)], names=schema.names)
 
     near = (
         left.groupBy("cell", "cblock", "qblock")
         .cogroup(right.groupBy("cell", "cblock", "qblock"))
-        .applyInPandas(block, schema)
+        .applyInArrow(block, schema)
     )
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("d2", "id"))
     return (

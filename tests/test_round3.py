@@ -1,5 +1,7 @@
 """Exact ROC over many partitions, blocked centroid products, the subgraph of the largest component."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -55,3 +57,27 @@ def test_largest_subgraph(spark):
 def test_models_without_importances_give_no_rows(spark):
     empty = importance.analyze_importance(spark, {"none": {}}, ["a"], spark.range(1).select(F.col("id")), "id", permute=False)
     assert empty.collect() == [] and empty.columns == ["model", "method", "feature", "importance"]
+
+
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_neighbours_of_a_block_are_exact_and_its_memory_is_bounded(exclude_self):
+    draw = np.random.default_rng(3)
+    rows = draw.normal(size=(40_000, 8))
+    rows[500:900], rows[7], rows[8, 2] = rows[3], 1e3, np.nan
+    ids, few = np.arange(len(rows))[::-1].copy(), np.r_[0:12, 500:520]
+    step = vectors._chunk(len(rows))
+    assert step * len(rows) <= vectors.CHUNK_VALUES
+    tracemalloc.start()
+    parts = [few[at : at + step] for at in range(0, len(few), step)]
+    found = [vectors._best_of_block(rows[p], rows, ids[p], ids, 6, exclude_self, 9) for p in parts]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 * 8 * vectors.CHUNK_VALUES
+    got = {int(p[q]): [] for p in parts for q in range(len(p))}
+    for p, (query, row, d2) in zip(parts, found):
+        for q, r, d in zip(query, row, d2):
+            got[int(p[q])].append((d, int(ids[r])))
+    for q in few:
+        exact = np.round(np.cumsum((rows - rows[q]) ** 2, axis=1)[:, -1], 9)
+        near = sorted((d, int(i)) for d, i in zip(exact, ids) if np.isfinite(d) and not (exclude_self and i == ids[q]))
+        assert got[int(q)] == near[:6]

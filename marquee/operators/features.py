@@ -17,8 +17,9 @@ from marquee import runtime
 from marquee.runtime import skew_join, spread, stable_hash, write_once
 
 
-WORDS_AT_ONCE = 1 << 20
+WORDS_AT_ONCE = 1 << 17
 VOCABULARY_BYTES = 32 << 20
+BATCH_ROWS = "512"
 
 
 def _counted(lists: pa.ListArray, bigrams: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
@@ -55,6 +56,8 @@ def with_bigrams(tokens: Column) -> Column:
 
 
 def _words(df: DataFrame, key: str, words: Column) -> DataFrame:
+    # long texts make a batch as large as its rows are many
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return df.select(key, F.coalesce(F.array_compact(words), F.array().cast("array<string>")).alias("_words"))
 
 
@@ -80,6 +83,11 @@ def term_totals(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
 
 
+def totals_by_term(df: DataFrame, words: Column, bigrams: bool = False) -> DataFrame:
+    """(term, cf, df) over all rows; no counts of single rows leave a task."""
+    return _totals_of_words(_words(df.withColumn("_row", F.lit(0)), "_row", words), bigrams)
+
+
 def _totals_of_words(rows: DataFrame, bigrams: bool) -> DataFrame:
     """(term, cf, df) of (key, words), added up in the tasks before terms are shuffled."""
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

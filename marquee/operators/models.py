@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.text import word_tokens
-from marquee.operators.features import term_counts, term_totals, vocabulary, with_bigrams
+from marquee.operators.features import totals_by_term, vocabulary, with_bigrams
 from marquee.operators.scoring import class_report, confusion, multilabel_metrics, threshold_labels
 from marquee.runtime import stable_hash, write_once
 
@@ -100,8 +100,8 @@ def fit_features(
     """
     lister = TermLister(inputCol=text, outputCol="_terms")
     n = df.count()
-    counts = term_counts(df.select(key, text), key, word_tokens(F.coalesce(F.col(text), F.lit(""))), bigrams=True)
-    terms = sorted((r["term"], r["df"]) for r in vocabulary(term_totals(counts), F.lit(n), max_features, min_df, max_df).collect())
+    totals = totals_by_term(df.select(text), word_tokens(F.coalesce(F.col(text), F.lit(""))), bigrams=True)
+    terms = sorted((r["term"], r["df"]) for r in vocabulary(totals, F.lit(n), max_features, min_df, max_df).collect())
     idf = [math.log((1 + n) / (1 + d)) + 1 for _, d in terms]
     vocab = [t for t, _ in terms]
     stages = [

@@ -149,3 +149,17 @@ def test_projection_is_centred(spark):
     expected = np.abs(centred @ vt[:2].T)
     found = np.abs(np.array([[r["pc1"], r["pc2"]] for r in out.orderBy("id").collect()]))
     assert np.allclose(found, expected, atol=1e-6) and shares == pytest.approx(list((s**2 / (s**2).sum())[:2]))
+
+
+def test_terms_are_counted_in_small_pieces(spark):
+    import pyarrow as pa
+
+    sizes = []
+    lists = pa.array([[f"w{i % 7}" for i in range(1000)]] * 700)
+    for row, code, tf, terms in features._counted(lists, True):
+        sizes.append(int(tf[code < 7].sum()))
+    assert sum(sizes) == 700_000 and max(sizes) <= 1 << 17
+    df = spark.createDataFrame([(i, "red blue red") for i in range(5)], "id int, text string")
+    got = {r["term"]: (r["cf"], r["df"]) for r in features.totals_by_term(df, F.split("text", " "), True).collect()}
+    assert got == {"red": (10, 5), "blue": (5, 5), "red blue": (5, 5), "blue red": (5, 5)}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "512"

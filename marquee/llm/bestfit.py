@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.common import prepare, text_or_empty, texts_of
+from marquee.llm.common import kept, prepare, text_or_empty, texts_of
 from marquee.runtime import write_once
 
 WINDOW = 2048
@@ -65,13 +65,8 @@ class Encoder:
             self.ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def _encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept(f"bestfit {path}", lambda: Encoder(path))
 
 
 PIECES = "item long, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.common import mix, prepare, slices, text_or_empty, texts_of
+from marquee.llm.common import mix, prepare, release, slices, text_or_empty, texts_of
 from marquee.llm.quality import held_out
 
 DIMENSIONS = 4096
@@ -45,6 +45,7 @@ def profile(data: np.ndarray, offsets: np.ndarray, dimensions: int = DIMENSIONS)
 
 
 def _profiles(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, int, np.ndarray]]:
+    release()
     data, offsets = texts_of(batch.column(batch.schema.get_field_index(name)))
     for first, last in slices(offsets):
         yield first, last, profile(data, offsets[first : last + 1])
@@ -181,6 +182,7 @@ def identify(df: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
 
     @F.pandas_udf("lang int, score double")
     def predict(text: pd.Series) -> pd.DataFrame:
+        release()
         languages, scores = np.zeros(len(text), np.int32), np.zeros(len(text))
         data, offsets = texts_of(pa.array(text, pa.string()))
         for first, last in slices(offsets):

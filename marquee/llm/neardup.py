@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.common import mix, prepare, slices, text_or_empty, texts_of
+from marquee.llm.common import mix, prepare, release, slices, text_or_empty, texts_of
 from marquee.llm.shingles import WIDTH, shingles
 from marquee.operators.graph import components
 from marquee.runtime import write_once
@@ -30,6 +30,7 @@ def _node() -> F.Column:
 
 
 def _rows(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    release()
     data, offsets = texts_of(batch.column(batch.schema.get_field_index(name)))
     for first, last in slices(offsets):
         yield first, last, *shingles(data, offsets[first : last + 1])

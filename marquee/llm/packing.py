@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.common import prepare, slices, text_or_empty, texts_of
+from marquee.llm.common import kept, prepare, slices, text_or_empty, texts_of
 from marquee.llm.shingles import word_bounds, word_hashes
 from marquee.runtime import write_once
 
@@ -117,13 +117,8 @@ class Encoder:
         return ids, counts[places + np.arange(len(places))]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def _encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept(f"packing {path}", lambda: Encoder(path))
 
 
 def tokenized(df: DataFrame, path: str, end: int = END) -> DataFrame:

@@ -201,3 +201,29 @@ def test_large_dictionaries_tag_as_small_ones_do(spark, monkeypatch):
     assert all(texts[x[0] - 1][1][x[1] : x[2]] == x[4] for x in small) and sum(x[0] == 4 for x in small) == 500
     monkeypatch.setattr(entities, "BROADCAST_BYTES", 0)
     assert found() == small
+
+
+def test_tagging_in_place_shuffles_nothing_and_cuts_long_batches(spark, monkeypatch):
+    names = spark.createDataFrame(
+        [("CAST", "a b"), ("GENRE", "b c d"), ("DIRECTOR", "d"), ("CAST", "é x")], "label string, entity string"
+    )
+    texts = [(1, "a b c d"), (2, None), (3, "a b d d"), (4, ""), (5, "É X, (a b)"), (6, "a"), (7, "b c")]
+    df = spark.createDataFrame(texts, "id int, text string").coalesce(1)
+    want = [(1, 2, 7, "GENRE", "b c d"), (3, 0, 3, "CAST", "a b"), (3, 4, 5, "DIRECTOR", "d"), (3, 6, 7, "DIRECTOR", "d"),
+            (5, 0, 3, "CAST", "É X"), (5, 6, 9, "CAST", "a b")]
+    for words in (1, 5, 1 << 17):
+        monkeypatch.setattr(entities, "PIECE_WORDS", words)
+        for most in (32 << 20, 0):
+            monkeypatch.setattr(entities, "BROADCAST_BYTES", most)
+            tags = entities.tag(df, "id", "text", names)
+            assert rows(tags) == want
+            assert ("Exchange" in tags._jdf.queryExecution().toString()) == (most == 0)
+
+
+def test_names_of_small_and_large_kinds_are_drawn_alike(spark, monkeypatch):
+    names = entities.fallback_dictionary(spark)
+    made = entities.generate_queries(spark.range(300), "id", names)
+    assert "template#" not in made._jdf.queryExecution().optimizedPlan().toString()  # no text is shuffled but the names
+    whole = sorted(map(str, made.collect()))
+    monkeypatch.setattr(entities, "BROADCAST_ROWS", 0)
+    assert len(whole) == 300 and sorted(map(str, entities.generate_queries(spark.range(300), "id", names).collect())) == whole

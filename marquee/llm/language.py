@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, groupby, islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from marquee.llm.quality import held_out
 DIMENSIONS = 4096
 SAMPLE_PER_LANGUAGE = 500
 LANGUAGES = 2000
+FITTED_ROWS = 128  # texts of the sample that are in double precision at a time
 FAMILY_SIZE = 4
 UNKNOWN = "und"
 _LETTER = np.zeros(256, bool)
@@ -71,13 +73,20 @@ def families(centres: np.ndarray, size: int = FAMILY_SIZE) -> list[list[int]]:
 
 
 def svm(x: np.ndarray, y: np.ndarray, rounds: int = 30, penalty: float = 1e-3) -> np.ndarray:
-    """Weights of a linear SVM (last one: bias), by averaged subgradient steps on the hinge loss in a fixed order."""
-    z = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w, mean = np.zeros(z.shape[1]), np.zeros(z.shape[1])
-    balance = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
+    """Weights of a linear SVM (last one: bias), by averaged subgradient steps on the hinge loss in a fixed order.
+
+    The steps are in double precision over ``FITTED_ROWS`` rows at a time, so that ``x`` is neither widened nor copied whole.
+    """
+    w, mean = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
+    pull = y * np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
     for t in range(1, rounds * 10 + 1):
-        off = (z @ w) * y < 1
-        w -= 1 / (penalty * (t + 20)) * (penalty * w - z[off].T @ (y[off] * balance[off]))
+        step = penalty * w
+        for i in range(0, len(x), FITTED_ROWS):
+            z, own = x[i : i + FITTED_ROWS].astype(np.float64), y[i : i + FITTED_ROWS]
+            force = np.where((z @ w[:-1] + w[-1]) * own < 1, pull[i : i + FITTED_ROWS], 0.0)
+            step[:-1] -= force @ z
+            step[-1] -= force.sum()
+        w -= 1 / (penalty * (t + 20)) * step
         if t > rounds * 5:
             mean += w
     return mean / (rounds * 5)
@@ -156,10 +165,16 @@ def learn(df: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Discriminator | N
                 part = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(blobs, pa.binary())], names=["lang", "h", "x"])
 
-    found = chosen.select("lang", "h", "text").mapInArrow(measure, "lang string, h long, x binary").toPandas()
-    found = found.sort_values(["lang", "h", "x"]).groupby("lang").head(sample)
-    x = np.stack([np.frombuffer(v, np.float16) for v in found["x"]]).astype(np.float32)
-    return Discriminator(x, found["lang"].tolist())
+    # Arrow columns hold the sample once; rows would hold it on the driver's heap and again as Python objects
+    found = chosen.select("lang", "h", "text").mapInArrow(measure, "lang string, h long, x binary").toArrow()
+    order = pc.sort_indices(found, sort_keys=[(c, "ascending") for c in found.column_names]).to_pylist()
+    languages = found.column("lang").to_pylist()
+    order = [i for _, own in groupby(order, key=lambda i: languages[i]) for i in islice(own, sample)]
+    x = np.empty((len(order), DIMENSIONS), np.float32)
+    for k, i in enumerate(order):
+        x[k] = np.frombuffer(found.column("x")[i].as_buffer(), np.float16)
+    del found
+    return Discriminator(x, [languages[i] for i in order])
 
 
 def identify(df: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> DataFrame:

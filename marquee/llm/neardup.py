@@ -40,7 +40,8 @@ def document_frequency(df: DataFrame) -> tuple[int, np.ndarray]:
     """Number of documents, and in how many each hash bucket of shingles occurs.
 
     As in a hashed TF-IDF, shingles share 2^18 buckets, so what reaches the driver is bounded at any size
-    of the corpus while every shingle of every document is counted. Each task adds up its own documents.
+    of the corpus while every shingle of every document is counted. Each task adds up its own documents. The counts come
+    as Arrow columns, 4 MB: as rows they would be as many objects, on the driver's heap and again in its Python.
     """
     prepare(df.sparkSession)
 
@@ -59,10 +60,10 @@ def document_frequency(df: DataFrame) -> tuple[int, np.ndarray]:
 
     found = (
         df.select(text_or_empty().alias("text")).mapInArrow(count, "bucket long, n long")
-        .groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+        .groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     )
     counts = np.zeros(IDF_BUCKETS + 1, np.int64)
-    counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     return int(counts[-1]), counts[:-1]
 
 
@@ -381,8 +382,10 @@ def _classes(df: DataFrame, least: float) -> DataFrame:
         members = write_once(marked.join(split, key).filter("component <> main").select(*key, "node"))
 
     unmet = write_once(_unmet(marked, texts, idf, least).join(tried, ["a", "b"], "left_anti"))
-    links = links.unionByName(verified(unmet, texts, idf, least))
-    classes = write_once(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    found = write_once(verified(unmet, texts, idf, least))
+    if not found.isEmpty():  # else the classes stand: the last round linked no more
+        links = links.unionByName(found)
+        classes = write_once(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
 
     named = write_once(
         named.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -257,7 +257,6 @@ def pack(df: DataFrame, tokenizer: str, window: int = WINDOW, weights: dict[str
     totals = [r["n"] for r in found]
     given = totals if weights is None else [weights[r["source"]] for r in found]
     place = {r["source"]: i for i, r in enumerate(found)}
-    width = 2 if _encoder(tokenizer).size <= 65536 else 4
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixture = Mixture(totals, given, window)
@@ -265,7 +264,7 @@ def pack(df: DataFrame, tokenizer: str, window: int = WINDOW, weights: dict[str
         for batch in batches:
             out: list[tuple] = []
             for doc_id, source, n, first, ids in zip(*[c.to_pylist() for c in batch.columns]):
-                values = np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()
+                values = np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4").tobytes()  # n is 1 at least
                 s, done = place[source], 0
                 r, begin, end, start = turns.get(s, (0, 0, 0, 0))
                 while done < n:

@@ -85,7 +85,8 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(pairs)
     while state[0]:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = (
+        # written, as the smallest of its nodes and the join with them would each compute it
+        large = write_once(
             _with_smallest(both)
             .filter("b > a")
             .select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
@@ -100,6 +101,7 @@ def components(edges: DataFrame) -> DataFrame:
         finished, pairs = pairs, write_once(small)
         previous, state = state, _state(pairs)
         delete_written(finished)
+        delete_written(large)
         if state == previous:
             break
     roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

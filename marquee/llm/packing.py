@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gc
-import re
+import json
 from collections.abc import Iterator
 from fractions import Fraction
 from itertools import islice
@@ -22,11 +22,73 @@ from marquee.runtime import write_once
 WINDOW = 4096
 END = 2
 MOST_SOURCES = 100_000
-CACHED_WORDS = 200_000
+CACHED_RUNS = 300_000
 GATHERED_BYTES = 2 << 20
-# the vocabulary's own pattern of runs, and what it is not used for here
-_RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-_OTHER = re.compile("[^\x21-\x7e\u00a1-\u024f]")
+# the pattern by which these vocabularies cut a text; a fixed value of the public format, which _run_bounds follows
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPACE, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
+_QUOTE = ord("'")
+
+
+def _kind(c: str) -> int:
+    """What a character is to the pattern; U+0130 is two characters when lowered, and left to the tokenizer like all beyond U+024F."""
+    if "\xa1" <= c <= "\u024f" and c != "\u0130" or "!" <= c <= "~":
+        return _LETTER if regex.match(r"\p{L}", c) else _DIGIT if regex.match(r"\p{N}", c) else _SIGN
+    return _SPACE if c in "\t\n\v\f\r " else _OTHER
+
+
+_KINDS = np.array([_kind(chr(c)) for c in range(0x280)], np.uint8)
+_BYTE_KINDS = np.where(np.arange(256) < 0x80, _KINDS[:256], _OTHER).astype(np.uint8)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _kinds(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The kind of each byte's character; a word that holds a character of ``_OTHER`` is all of that kind."""
+    kinds = _BYTE_KINDS[part]
+    first = np.flatnonzero((part >= 0xC2) & (part <= 0xC9))  # of the two bytes of U+0080 to U+027F
+    own = _KINDS[(part[first].astype(np.int64) & 0x1F) << 6 | part[first + 1] & 0x3F]
+    kinds[first] = kinds[first + 1] = own
+    odd = np.flatnonzero(kinds == _OTHER)
+    if len(odd):
+        words = np.unique(np.searchsorted(starts, odd, "right") - 1)
+        lengths = ends[words] - starts[words]
+        kinds[np.arange(int(lengths.sum())) + np.repeat(starts[words] - np.cumsum(lengths) + lengths, lengths)] = _OTHER
+    return kinds
+
+
+def _run_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First byte of each run and the byte after it, counted from the first text's; whether it is a whole word for the
+    tokenizer; where each text's runs begin."""
+    low = int(offsets[0])
+    part, bounds = data[low : int(offsets[-1])], offsets - low
+    if not len(part):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(len(offsets), np.int64)
+    starts, ends, _ = word_bounds(data, offsets)
+    kinds = _kinds(part, starts, ends)
+    first = np.empty(len(part), bool)
+    first[0] = True
+    np.not_equal(kinds[1:], kinds[:-1], out=first[1:])
+    first |= (kinds == _DIGIT) & ((part < 0x80) | (part >= 0xC0))  # each digit is a run
+    first[starts] = True
+    first &= kinds != _SPACE
+    # a sign of one quote with letters of the same word behind it
+    heads = np.zeros(len(part) + 2, bool)
+    heads[starts] = True
+    quotes = np.flatnonzero((part[:-1] == _QUOTE) & (kinds[:-1] == _SIGN) & first[:-1] & (kinds[1:] == _LETTER) & ~heads[1:-2])
+    if len(quotes):
+        one = _LOWER[part[quotes + 1]]
+        two = np.where(heads[quotes + 2], 0, _LOWER[part[np.minimum(quotes + 2, len(part) - 1)]])
+        short = np.isin(one, [*b"stmd"])
+        long = np.isin(one * np.int64(256) + two, [a << 8 | b for a, b in (b"re", b"ve", b"ll")]) & (quotes + 2 < len(part))
+        first[quotes[short | long] + 1] = False
+        after = np.concatenate([quotes[short] + 2, quotes[long] + 3])
+        after = after[after < len(part)]
+        first[after] |= kinds[after] == _LETTER
+    runs = np.flatnonzero(first)
+    last = kinds != _SPACE
+    last[:-1] &= first[1:] | (kinds[1:] == _SPACE)
+    return runs, np.flatnonzero(last) + 1, kinds[runs] == _OTHER, np.searchsorted(runs, bounds)
 
 
 class _Remembered(dict):
@@ -43,14 +105,15 @@ class Encoder:
     """Ids of texts, equal to the tokenizer's own for each whole text.
 
     White space separates tokens of these vocabularies, so a text's ids are those of its words one after the
-    other, and a word's those of its runs of letters, digits and signs. The different words of many texts are found by
-    their hashes at once; what is new of them goes through the tokenizer in one call, where every run ends in a token that
-    is marked as a word's end, and is remembered up to a bound. Words with other than Latin characters, and texts
-    that spell a special token, go through it whole.
+    other, and a word's those of its runs of letters, digits and signs. The runs of many texts are cut by the kinds of their
+    bytes and the different ones found by their hashes at once; what is new of them goes through the vocabulary's merges in
+    one call, where every run ends in a token that is marked as a word's end, and is remembered up to a bound. Words with other
+    than Latin characters, and texts that spell a special token, go through the tokenizer whole, as do all texts where a file
+    cuts or prepares them in another way.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -58,38 +121,29 @@ class Encoder:
         self.size = max(vocabulary.values(), default=0) + 1
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.by_runs = bool(self.ends.any())
-        self.words, self.runs = _Remembered(), _Remembered()
+        self.by_runs = bool(self.ends.any()) and _cuts_as_known(self.tokenizer)
+        if self.by_runs:  # runs are lowered and cut already: only spaces are left to cut at
+            to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.merges = Tokenizer(self.tokenizer.model)
+            self.merges.normalizer = normalizers.Sequence([])
+            self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), to_bytes])
+        self.runs = _Remembered()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_runs(self, runs: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, "<u4")
+    def _learn_runs(self, runs: list[bytes]) -> None:
+        text = b" ".join(runs).decode().lower()
+        ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
         if len(ends) != len(runs):
-            self.runs.update((r, self.whole(r)) for r in runs)
+            self.runs.update((r, self.whole(r.decode())) for r in runs)
             return
         data, start = ids.tobytes(), 0
         for run, end in zip(runs, ends.tolist()):
             self.runs[run] = data[start:end]
             start = end
 
-    def _ids_of_words(self, words: list[bytes]) -> list[bytes]:
-        known, runs = self.words, self.runs
-        found = list(map(known.get, words))
-        new = [i for i, x in enumerate(found) if x is None]
-        texts = [words[i].decode() for i in new]
-        split = [None if _OTHER.search(t) else _RUNS.findall(t.lower()) for t in texts]
-        unknown = list({r for own in split if own for r in own if r not in runs})
-        if unknown:
-            self._learn_runs(unknown)
-        for i, text, own in zip(new, texts, split):
-            found[i] = known[words[i]] = self.whole(text) if own is None else b"".join([runs[r] for r in own])
-        known.make_room(CACHED_WORDS)
-        runs.make_room(CACHED_WORDS)
-        return found
-
     def __call__(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each with ``end`` behind it, and where each text's begin."""
         low = int(offsets[0])
@@ -99,15 +153,15 @@ class Encoder:
             texts = [raw[a - low : b - low].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             ids = [np.append(np.frombuffer(self.whole(t), "<u4"), np.uint32(end)) for t in texts]
             return np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-        starts, ends, places = word_bounds(data, offsets)
+        starts, ends, whole, places = _run_bounds(data, offsets)
         _, first, which = np.unique(word_hashes(part, starts, ends), return_index=True, return_inverse=True)
         gc.disable()  # many short lists and no cycles: collections in between would walk all that is remembered
         try:
-            own = self._ids_of_words([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
+            own = self._ids_of_runs(raw, part, starts[first], ends[first], whole[first])
         finally:
             gc.enable()
         pool = np.frombuffer(b"".join(own) + np.array([end], "<u4").tobytes(), "<u4")
-        lengths = np.array([len(x) // 4 for x in own] + [1], np.int64)
+        lengths = np.array([*map(len, own), 4], np.int64) // 4
         begins = np.cumsum(lengths) - lengths
         stream = np.insert(which, places[1:], len(own))  # the end follows each text's words
         sizes = lengths[stream]
@@ -116,6 +170,38 @@ class Encoder:
         counts = np.append(0, to)
         return ids, counts[places + np.arange(len(places))]
 
+    def _ids_of_runs(self, raw: bytes, part: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> list[bytes]:
+        lowered, known = _LOWER[part].tobytes(), self.runs
+        runs = [lowered[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+        found = list(map(known.get, runs))
+        new = [i for i, x in enumerate(found) if x is None]
+        cut = []
+        for i in new:
+            if whole[i]:  # as written: lowered it might spell a special token
+                known[runs[i]] = self.whole(raw[starts[i] : ends[i]].decode())
+            else:
+                cut.append(runs[i])
+        if cut:
+            self._learn_runs(cut)
+        for i in new:
+            found[i] = known[runs[i]]
+        known.make_room(CACHED_RUNS)
+        return found
+
+
+def _cuts_as_known(tokenizer) -> bool:
+    """Whether a file's texts are composed, lowered and cut as ``Encoder`` does it."""
+    if tokenizer.normalizer is None or tokenizer.pre_tokenizer is None:
+        return False
+    steps = [json.loads(x.__getstate__()) for x in (tokenizer.normalizer, tokenizer.pre_tokenizer)]
+    spaces = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    split = {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}
+    to_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    return steps == [
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, spaces, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [split, to_bytes]},
+    ]
+
 
 def _encoder(path: str) -> Encoder:
     return kept(f"packing {path}", lambda: Encoder(path))

@@ -23,6 +23,7 @@ WINDOW = 4096
 END = 2
 MOST_SOURCES = 100_000
 CACHED_RUNS = 300_000
+LEARNED_RUNS = 4096
 GATHERED_BYTES = 2 << 20
 # the pattern by which these vocabularies cut a text; a fixed value of the public format, which _run_bounds follows
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -181,8 +182,8 @@ class Encoder:
                 known[runs[i]] = self.whole(raw[starts[i] : ends[i]].decode())
             else:
                 cut.append(runs[i])
-        if cut:
-            self._learn_runs(cut)
+        for k in range(0, len(cut), LEARNED_RUNS):
+            self._learn_runs(cut[k : k + LEARNED_RUNS])
         for i in new:
             found[i] = known[runs[i]]
         known.make_room(CACHED_RUNS)
